@@ -28,6 +28,16 @@ def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Join a large side to a keyed, narrow side; broadcast the latter when proven small."""
-    return big.join(maybe_broadcast(small, max_rows), on, how)
+               max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+               broadcast: bool | None = None) -> DataFrame:
+    """Join a large side to a keyed, narrow side; broadcast the latter when proven small.
+
+    ``broadcast`` given by the caller means the bound was already proven on a
+    table that bounds ``small`` (e.g. one row per session, checked once on the
+    sessions table); None probes ``small`` itself.
+    """
+    if broadcast is None:
+        side = maybe_broadcast(small, max_rows)
+    else:
+        side = F.broadcast(small) if broadcast else small
+    return big.join(side, on, how)

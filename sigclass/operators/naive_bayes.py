@@ -73,9 +73,8 @@ def predict(features, classes):
 
 def score(rows: DataFrame, nb_models: DataFrame, key: str = "calibrationid",
           features: str = "features_idx", out: str = "prediction",
-          broadcast_rows: int | None = None) -> DataFrame:
+          broadcast: bool | None = None) -> DataFrame:
     """M6: add ``out`` (class index, double) to rows whose session has a valid model."""
     m = nb_models.where("ok").select(key, "classes")
-    kw = {} if broadcast_rows is None else {"max_rows": broadcast_rows}
-    j = join_small(rows, m, key, "inner", **kw)
+    j = join_small(rows, m, key, "inner", broadcast=broadcast)
     return j.withColumn(out, predict(features, "classes")).drop("classes")

@@ -56,7 +56,8 @@ def packets_per_calibration(packets: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------ join
 
 def training_frame(calibrations: DataFrame, packets: DataFrame,
-                   max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                   max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                   broadcast: bool | None = None) -> DataFrame:
     """J1 + P3: packets of eligible sessions with their channel vector.
 
     Output: pk, calibrationid, userid, label, eeg, features (array<double>),
@@ -65,7 +66,7 @@ def training_frame(calibrations: DataFrame, packets: DataFrame,
     """
     sessions = eligible_calibrations(calibrations).select("calibrationid")
     j = join_small(packets.select("pk", "calibrationid", "userid", "label", "eeg"),
-                   sessions, "calibrationid", "inner", max_broadcast_rows)
+                   sessions, "calibrationid", "inner", max_broadcast_rows, broadcast)
     f = j.withColumn("features", channel_values("eeg"))
     return f.withColumn("valid", vector_ok("features"))
 
@@ -91,7 +92,7 @@ def label_orders(label_index: DataFrame) -> DataFrame:
 def channel_distinct_values(frame: DataFrame, features: str = "features") -> DataFrame:
     """(calibrationid, channel, value) deduplicated; partial aggregation dedupes map-side."""
     stacked = frame.select("calibrationid", F.posexplode(features).alias("channel", "value"))
-    return stacked.groupBy("calibrationid", "channel", "value").agg()
+    return stacked.distinct()
 
 
 def channel_index_fit(frame: DataFrame, max_categories: int = MAX_CATEGORIES,
@@ -144,11 +145,13 @@ def feature_spec(frame: DataFrame, max_categories: int = MAX_CATEGORIES) -> Data
 
 
 def indexed_frame(frame: DataFrame, spec: DataFrame, train_percent: int = TRAIN_PERCENT,
-                  max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """P7 + P8 + split: label_idx, features_idx and is_train on the valid packets."""
-    j = join_small(frame.where("valid"), spec, "calibrationid", "inner", max_broadcast_rows)
+                  max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                  broadcast: bool | None = None) -> DataFrame:
+    """P7 + P8 + split: labels (fitted order), label_idx, features_idx, is_train on valid packets."""
+    j = join_small(frame.where("valid"), spec, "calibrationid", "inner", max_broadcast_rows,
+                   broadcast)
     return j.select(
-        "pk", "calibrationid", "userid", "label", "eeg", "features",
+        "pk", "calibrationid", "userid", "label", "eeg", "features", "labels",
         encode("label", "labels").alias("label_idx"),
         apply_categories("features", "cat_maps").alias("features_idx"),
         is_train("pk", train_percent).alias("is_train"),

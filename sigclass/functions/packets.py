@@ -44,9 +44,10 @@ def with_features(df: DataFrame, eeg: str = "eeg", out: str = "features") -> Dat
     return df.withColumn(out, channel_values(eeg))
 
 
-def packet_key(*coords: Column) -> Column:
-    """Replay-stable key from source coordinates (topic, partition, offset, ...)."""
-    return F.sha2(F.concat_ws("|", *[c.cast("string") for c in coords]), 256)
+def packet_key(coords: Column | str = "coords") -> Column:
+    """Replay-stable key from the source coordinates array (topic, partition, offset, ...)."""
+    c = F.col(coords) if isinstance(coords, str) else coords
+    return F.sha2(F.array_join(c, "|"), 256)
 
 
 def parse_labelled(df: DataFrame, value: str = "value") -> DataFrame:

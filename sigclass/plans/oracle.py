@@ -239,3 +239,6 @@ LPAIRS = """pairs AS (SELECT 'labels' calibrationid, 'given' model, cast(quality
 SQL["label_pair_metrics"] = _with(LPAIRS, CELLS, TOT, CLS, PCL, CM) + \
     """SELECT calibrationid, model, class, total, n_actual, n_predicted, tp, round("precision", 6) AS "precision",
               round(recall, 6) recall, round(f1, 6) f1, round(fpr, 6) fpr, round(tpr, 6) tpr FROM cm"""
+
+# The ingest stream stores every well-formed labelled message of the topic.
+SQL["stream_calibration_ingest"] = _with(PKT) + f"SELECT calibrationid, userid, label, {CH} FROM pkt"

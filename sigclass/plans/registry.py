@@ -4,11 +4,7 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from sigclass.plans import queries
+    from sigclass.plans import queries, queries_rows
     out = dict(queries.ORACLE_QUERIES)
-    try:
-        from sigclass.plans import queries_rows
-        out.update(queries_rows.ROWS_QUERIES)
-    except ImportError:
-        pass
+    out.update(queries_rows.ROWS_QUERIES)
     return out

@@ -9,7 +9,9 @@ once; no per-session loop and no collect.
 Grouping never puts a session's packets into one task: every aggregation
 over packets is a hash aggregate with a map-side partial step, and the only
 window functions run over per-session summaries bounded by the label domain
-or by MAX_CATEGORIES.
+or by MAX_CATEGORIES. Label counts and per-channel HLL sketches come from one
+pass (``session_profile``); only channels the sketch cannot rule out as
+continuous are deduplicated exactly.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from sigclass.functions.labels import encode
 from sigclass.functions.packets import channel_values, vector_ok
 from sigclass.functions.split import is_train
 from sigclass.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_small
-from sigclass.schemas import MAX_CATEGORIES, TRAIN_PERCENT
+from sigclass.schemas import LABELS, MAX_CATEGORIES, N_CHANNELS, TRAIN_PERCENT
 
 
 # --------------------------------------------------------------------- filters
@@ -61,21 +63,52 @@ def training_frame(calibrations: DataFrame, packets: DataFrame,
     """J1 + P3: packets of eligible sessions with their channel vector.
 
     Output: pk, calibrationid, userid, label, eeg, features (array<double>),
-    valid (six finite channels). The session side has one narrow row per
-    session and is broadcast when a probe proves it small.
+    valid (six finite channels and a label of the domain). The session side
+    has one narrow row per session and is broadcast when proven small.
     """
-    sessions = eligible_calibrations(calibrations).select("calibrationid")
+    sessions = calibrations if calibrations.columns == ["calibrationid"] else \
+        eligible_calibrations(calibrations).select("calibrationid")
     j = join_small(packets.select("pk", "calibrationid", "userid", "label", "eeg"),
                    sessions, "calibrationid", "inner", max_broadcast_rows, broadcast)
     f = j.withColumn("features", channel_values("eeg"))
-    return f.withColumn("valid", vector_ok("features"))
+    return f.withColumn("valid", vector_ok("features") & F.col("label").isin(*LABELS))
+
+
+# ------------------------------------------------------------ session profile
+
+def session_profile(frame: DataFrame, n_channels: int = N_CHANNELS,
+                    features: str = "features") -> DataFrame:
+    """One pass over the packets: per session, label counts and an HLL estimate per channel.
+
+    Output: calibrationid, label_counts array<struct<label, n>> (labels with
+    n > 0), approx_distinct array<long> (one per channel). ``approx_count_distinct``
+    is HyperLogLog++; at low cardinality it uses linear counting, whose estimate
+    for k <= MAX_CATEGORIES distinct values is at most m·ln(m/(m-k)) < k + 0.5,
+    so an estimate above MAX_CATEGORIES proves a channel continuous. -0.0 is
+    folded into 0.0 first (x + 0.0) so both count as one value, as in grouping.
+    """
+    f = F.col(features)
+    aggs = [F.count_if(F.col("label") == F.lit(lab)).alias(f"_l{i}") for i, lab in enumerate(LABELS)]
+    aggs += [F.approx_count_distinct(F.element_at(f, j + 1) + F.lit(0.0)).alias(f"_d{j}")
+             for j in range(n_channels)]
+    g = frame.groupBy("calibrationid").agg(*aggs)
+    counts = F.filter(F.array(*[F.struct(F.lit(lab).alias("label"), F.col(f"_l{i}").alias("n"))
+                                for i, lab in enumerate(LABELS)]), lambda e: e["n"] > 0)
+    return g.select("calibrationid", counts.alias("label_counts"),
+                    F.array(*[F.col(f"_d{j}") for j in range(n_channels)]).alias("approx_distinct"))
 
 
 # ---------------------------------------------------------------- label index
 
-def label_index_fit(frame: DataFrame) -> DataFrame:
-    """A2/O1: (calibrationid, label, n, label_idx) — index by count desc, then label asc."""
-    counts = frame.groupBy("calibrationid", "label").agg(F.count(F.lit(1)).alias("n"))
+def label_index_fit(frame: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    """A2/O1: (calibrationid, label, n, label_idx) — index by count desc, then label asc.
+
+    Counts come from the session profile (one pass, conditional counts over
+    the closed label domain); the window then ranks at most len(LABELS) rows
+    per session.
+    """
+    p = profile if profile is not None else session_profile(frame)
+    counts = p.select("calibrationid", F.inline("label_counts"))
     w = Window.partitionBy("calibrationid").orderBy(F.desc("n"), F.asc("label"))
     return counts.withColumn("label_idx", (F.row_number().over(w) - 1).cast("double"))
 
@@ -89,23 +122,46 @@ def label_orders(label_index: DataFrame) -> DataFrame:
 
 # -------------------------------------------------------------- channel index
 
-def channel_distinct_values(frame: DataFrame, features: str = "features") -> DataFrame:
-    """(calibrationid, channel, value) deduplicated; partial aggregation dedupes map-side."""
-    stacked = frame.select("calibrationid", F.posexplode(features).alias("channel", "value"))
-    return stacked.distinct()
+def channel_candidates(profile: DataFrame, max_categories: int = MAX_CATEGORIES) -> DataFrame:
+    """(calibrationid, cand array<int>): channels whose HLL estimate does not rule out categorical."""
+    idx = F.sequence(F.lit(0), F.size("approx_distinct") - 1)
+    return profile.select("calibrationid", F.filter(
+        idx, lambda j: F.element_at("approx_distinct", j + 1) <= max_categories).alias("cand"))
+
+
+def channel_distinct_values(frame: DataFrame, candidates: DataFrame | None = None,
+                            features: str = "features", broadcast: bool | None = None) -> DataFrame:
+    """(calibrationid, channel, value) deduplicated (map-side partial aggregation).
+
+    With ``candidates`` only the candidate channels of each session are
+    emitted, so continuous channels are never shuffled value by value.
+    """
+    if candidates is None:
+        stacked = frame.select("calibrationid", F.posexplode(features).alias("channel", "value"))
+    else:
+        j = join_small(frame, candidates.where(F.size("cand") > 0), "calibrationid", "inner",
+                       broadcast=broadcast)
+        stacked = j.select("calibrationid", F.inline(F.transform(
+            "cand", lambda c: F.struct(c.alias("channel"),
+                                       F.element_at(features, c + 1).alias("value")))))
+    return stacked.withColumn("value", F.col("value") + F.lit(0.0)).distinct()
 
 
 def channel_index_fit(frame: DataFrame, max_categories: int = MAX_CATEGORIES,
-                      features: str = "features") -> DataFrame:
+                      features: str = "features", profile: DataFrame | None = None,
+                      broadcast: bool | None = None) -> DataFrame:
     """A3: (calibrationid, channel, value, code) for every categorical channel.
 
     A channel is categorical in a session when it takes at most
     ``max_categories`` distinct values there. Codes are 0..k-1 in ascending
-    value order, except that 0.0, when present, always gets code 0.
-    Continuous channels are counted (bounded partial aggregates) but never
-    ranked, so no window partition holds more than ``max_categories`` rows.
+    value order, except that 0.0, when present, always gets code 0. Channels
+    proven continuous by the profile's HLL estimate are skipped; the rest
+    are counted exactly, and only channels with at most ``max_categories``
+    values are ranked, so no window partition holds more rows than that.
     """
-    distinct = channel_distinct_values(frame, features)
+    p = profile if profile is not None else session_profile(frame)
+    distinct = channel_distinct_values(frame, channel_candidates(p, max_categories), features,
+                                       broadcast)
     n = distinct.groupBy("calibrationid", "channel").agg(F.count(F.lit(1)).alias("n_values"))
     cat = n.where(F.col("n_values") <= max_categories).select("calibrationid", "channel")
     vals = distinct.join(cat, ["calibrationid", "channel"], "left_semi")
@@ -136,11 +192,13 @@ def apply_categories(features: Column | str = "features", cat_maps: Column | str
 
 # -------------------------------------------------------------- feature spec
 
-def feature_spec(frame: DataFrame, max_categories: int = MAX_CATEGORIES) -> DataFrame:
+def feature_spec(frame: DataFrame, max_categories: int = MAX_CATEGORIES,
+                 profile: DataFrame | None = None, broadcast: bool | None = None) -> DataFrame:
     """Per-session spec: (calibrationid, labels, cat_maps). Travels with every model (fixes Q1, Q2)."""
     good = frame.where("valid")
-    labels = label_orders(label_index_fit(good))
-    maps = category_maps(channel_index_fit(good, max_categories))
+    p = profile if profile is not None else session_profile(good)
+    labels = label_orders(label_index_fit(good, p))
+    maps = category_maps(channel_index_fit(good, max_categories, profile=p, broadcast=broadcast))
     return labels.join(maps, "calibrationid", "left")
 
 

@@ -4,9 +4,14 @@ sessions (F1) ⋈ packets (J1) → label index (A2) + channel index (A3) →
 indexed features + md5 split (P7, P8, R1) → naive Bayes fit (M1) → score
 the test side (M6) → prediction pairs → metrics (A4-A11).
 
-Per-session side tables (spec, models) have one bounded row per eligible
-session, so one row-count probe on the sessions table decides whether they
-are broadcast; beyond the bound every join is a shuffle join.
+Per-session side tables (sessions, spec, models) have one bounded row per
+eligible session, so one row-count probe on the sessions table decides
+whether they are broadcast; beyond the bound every join is a shuffle join.
+Those tables are small and feed several branches (fit and scoring), so they
+are materialised with a reliable ``checkpoint()`` in the shared checkpoint
+folder: computed once, and never recomputed after an executor loss. The
+packets themselves are scanned by three passes: profile (+ exact distinct
+values of candidate channels), naive Bayes fit, scoring.
 """
 
 from __future__ import annotations
@@ -37,20 +42,32 @@ class Flow:
             self._cache[name] = fn()
         return self._cache[name]
 
+    @property
+    def sessions(self) -> DataFrame:
+        """Eligible session ids (F1), materialised."""
+        return self._memo("sessions", lambda: prepare.eligible_calibrations(self.calibrations)
+                          .select("calibrationid").checkpoint())
+
     @property
     def small_sessions(self) -> bool:
         """One probe: are there few enough eligible sessions to broadcast per-session tables?"""
-        return self._memo("small", lambda: row_count_at_most(
-            prepare.eligible_calibrations(self.calibrations), self.max_broadcast_rows))
+        return self._memo("small", lambda: row_count_at_most(self.sessions, self.max_broadcast_rows))
 
     @property
     def frame(self) -> DataFrame:
         return self._memo("frame", lambda: prepare.training_frame(
-            self.calibrations, self.packets, self.max_broadcast_rows, self.small_sessions))
+            self.sessions, self.packets, self.max_broadcast_rows, self.small_sessions))
+
+    @property
+    def profile(self) -> DataFrame:
+        """Label counts + per-channel HLL estimates per session (one pass), materialised."""
+        return self._memo("profile", lambda: prepare.session_profile(
+            self.frame.where("valid"), self.n_channels).checkpoint())
 
     @property
     def spec(self) -> DataFrame:
-        return self._memo("spec", lambda: prepare.feature_spec(self.frame, self.max_categories))
+        return self._memo("spec", lambda: prepare.feature_spec(
+            self.frame, self.max_categories, self.profile, self.small_sessions).checkpoint())
 
     @property
     def indexed(self) -> DataFrame:
@@ -64,7 +81,7 @@ class Flow:
 
     @property
     def nb_models(self) -> DataFrame:
-        return self._memo("nb_models", lambda: naive_bayes.models(self.nb_params))
+        return self._memo("nb_models", lambda: naive_bayes.models(self.nb_params).checkpoint())
 
     @property
     def nb_predictions(self) -> DataFrame:

@@ -99,7 +99,8 @@ def packet_vectors(spark, sf):
 
 def label_index_fit(spark, sf):
     """A2: per-session label index (count desc, label asc)."""
-    return prepare.label_index_fit(_flow(spark, sf).frame.where("valid"))
+    fl = _flow(spark, sf)
+    return prepare.label_index_fit(fl.frame.where("valid"), fl.profile)
 
 
 def label_index_apply(spark, sf):
@@ -110,7 +111,9 @@ def label_index_apply(spark, sf):
 
 def channel_index_fit(spark, sf):
     """A3: categorical channels (<= 6 values) and their codes, per session."""
-    return present(prepare.channel_index_fit(_flow(spark, sf).frame.where("valid")))
+    fl = _flow(spark, sf)
+    return present(prepare.channel_index_fit(fl.frame.where("valid"), profile=fl.profile,
+                                             broadcast=fl.small_sessions))
 
 
 def channel_index_apply(spark, sf):

@@ -128,3 +128,14 @@ def embedding_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("emb").alias("userid"),
         F.lit("emb").alias("calibrationid"),
     )
+
+
+def single_session(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All labelled packets as one finished session (the published reports' workload shape:
+    one user, one large session). Returns (calibrations, packets)."""
+    p = calibration_packets(spark, sf_dir).withColumn("calibrationid", F.lit("all")) \
+        .withColumn("userid", F.lit("u0"))
+    c = p.groupBy("calibrationid", "userid").agg(
+        F.min("date").alias("startdate"), F.max("date").alias("enddate")) \
+        .withColumn("modelsgenerated", F.lit(False))
+    return c, p

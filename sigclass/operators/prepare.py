@@ -63,15 +63,21 @@ def training_frame(calibrations: DataFrame, packets: DataFrame,
     """J1 + P3: packets of eligible sessions with their channel vector.
 
     Output: pk, calibrationid, userid, label, eeg, features (array<double>),
-    valid (six finite channels and a label of the domain). The session side
-    has one narrow row per session and is broadcast when proven small.
+    valid (six finite channels and a label of the domain). ``features`` is the
+    stored parsed vector when the table has it, else parsed from ``eeg``. The
+    session side has one narrow row per session and is broadcast when proven
+    small.
     """
     sessions = calibrations if calibrations.columns == ["calibrationid"] else \
         eligible_calibrations(calibrations).select("calibrationid")
-    j = join_small(packets.select("pk", "calibrationid", "userid", "label", "eeg"),
-                   sessions, "calibrationid", "inner", max_broadcast_rows, broadcast)
-    f = j.withColumn("features", channel_values("eeg"))
-    return f.withColumn("valid", vector_ok("features") & F.col("label").isin(*LABELS))
+    cols = ["pk", "calibrationid", "userid", "label", "eeg"]
+    if "features" in packets.columns:
+        cols.append("features")
+    j = join_small(packets.select(*cols), sessions, "calibrationid", "inner", max_broadcast_rows,
+                   broadcast)
+    if "features" not in packets.columns:
+        j = j.withColumn("features", channel_values("eeg"))
+    return j.withColumn("valid", vector_ok("features") & F.col("label").isin(*LABELS))
 
 
 # ------------------------------------------------------------ session profile

@@ -8,8 +8,8 @@ Per-session side tables (sessions, spec, models) have one bounded row per
 eligible session, so one row-count probe on the sessions table decides
 whether they are broadcast; beyond the bound every join is a shuffle join.
 Those tables are small and feed several branches (fit and scoring), so they
-are materialised with a reliable ``checkpoint()`` in the shared checkpoint
-folder: computed once, and never recomputed after an executor loss. The
+are materialised as tables in the shared checkpoint folder: computed once,
+and never recomputed after an executor loss. The
 packets themselves are scanned by three passes: profile (+ exact distinct
 values of candidate channels), naive Bayes fit, scoring.
 """
@@ -25,6 +25,7 @@ from sigclass.functions.labels import decode
 from sigclass.operators import metrics, naive_bayes, prepare
 from sigclass.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, row_count_at_most
 from sigclass.schemas import MAX_CATEGORIES, N_CHANNELS, TRAIN_PERCENT
+from sigclass.session import materialize
 
 
 @dataclass
@@ -45,8 +46,8 @@ class Flow:
     @property
     def sessions(self) -> DataFrame:
         """Eligible session ids (F1), materialised."""
-        return self._memo("sessions", lambda: prepare.eligible_calibrations(self.calibrations)
-                          .select("calibrationid").checkpoint())
+        return self._memo("sessions", lambda: materialize(
+            prepare.eligible_calibrations(self.calibrations).select("calibrationid"), "sessions"))
 
     @property
     def small_sessions(self) -> bool:
@@ -61,13 +62,13 @@ class Flow:
     @property
     def profile(self) -> DataFrame:
         """Label counts + per-channel HLL estimates per session (one pass), materialised."""
-        return self._memo("profile", lambda: prepare.session_profile(
-            self.frame.where("valid"), self.n_channels).checkpoint())
+        return self._memo("profile", lambda: materialize(prepare.session_profile(
+            self.frame.where("valid"), self.n_channels), "profile"))
 
     @property
     def spec(self) -> DataFrame:
-        return self._memo("spec", lambda: prepare.feature_spec(
-            self.frame, self.max_categories, self.profile, self.small_sessions).checkpoint())
+        return self._memo("spec", lambda: materialize(prepare.feature_spec(
+            self.frame, self.max_categories, self.profile, self.small_sessions), "spec"))
 
     @property
     def indexed(self) -> DataFrame:
@@ -81,7 +82,8 @@ class Flow:
 
     @property
     def nb_models(self) -> DataFrame:
-        return self._memo("nb_models", lambda: naive_bayes.models(self.nb_params).checkpoint())
+        return self._memo("nb_models", lambda: materialize(
+            naive_bayes.models(self.nb_params), "nb_models"))
 
     @property
     def nb_predictions(self) -> DataFrame:

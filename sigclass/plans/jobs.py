@@ -86,7 +86,7 @@ def train_pending(spark: SparkSession, calibrations: DataFrame, packets: DataFra
         t1 = time.time()
         rows_path = f"{root}/rows"
         mllib_train.stage_rows(fl.indexed, rows_path)
-        sessions = mllib_train.pending_sessions(spec, calibrations)
+        sessions = mllib_train.pending_sessions(spec, fl.profile, calibrations)
         status_rows = mllib_train.fit_all(spark, rows_path, sessions, ml_types,
                                           f"{root}/models", f"{root}/pairs", cfg)
         run.timings["mllib"] = time.time() - t1
@@ -177,15 +177,14 @@ def score_instructions(rows: DataFrame, registry_rows: DataFrame,
     scored = classify.nb_labels(rows, nb)
     ml = cur.where("model_type in ('rf', 'mlp')")
     scored = scorers.score(scored, ml, rows_per_group=rows_per_group)
-    return classify.with_prediction_map(scored).drop("rf_label", "mlp_label", "nb_label", "features")
+    return classify.with_prediction_map(scored).drop("rf_label", "mlp_label", "nb_label")
 
 
 def backfill(stored: DataFrame, registry_rows: DataFrame, rows_per_group: int = 100_000) -> DataFrame:
     """The stored table after re-scoring its pending rows (last write wins)."""
     todo = classify.pending(stored).drop("predictedlabels", "pending")
     rescored = score_instructions(todo, registry_rows, rows_per_group)
-    cols = stored.columns
-    return upsert.upsert(stored, rescored.select(*cols), "pk")
+    return upsert.replace_rows(stored, ~F.col("pending"), rescored)
 
 
 def mark_generated(calibrations: DataFrame, run: TrainRun) -> DataFrame:

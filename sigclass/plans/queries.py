@@ -239,8 +239,8 @@ def reclassify_pending(spark, sf):
     todo = classify.pending(stored).drop("predictedlabels", "pending")
     scored = classify.nb_labels(todo, cur, broadcast=fl.small_sessions)
     scored = classify.with_prediction_map(scored)
-    merged = upsert.upsert(stored.select("pk", "userid", "predictedlabels", "pending"),
-                           scored.select("pk", "userid", "predictedlabels", "pending"), "pk")
+    merged = upsert.replace_rows(stored.select("pk", "userid", "predictedlabels", "pending"),
+                                 ~F.col("pending"), scored)
     return merged.select("pk", "userid",
                          F.col("predictedlabels")["NaiveBayes"].alias("nb_label"), "pending")
 

@@ -52,6 +52,8 @@ CALIBRATION_PACKETS = T.StructType([
     T.StructField("label", T.StringType(), True),
     T.StructField("userid", T.StringType(), True),
     T.StructField("calibrationid", T.StringType(), True),
+    # the packet's channel vector, parsed and validated at ingest (the record's eegVector)
+    T.StructField("features", T.ArrayType(T.DoubleType()), True),
 ])
 
 # Stored unlabelled packets with their predictions.
@@ -61,6 +63,9 @@ INSTRUCTION_PACKETS = T.StructType([
     T.StructField("eeg", T.ArrayType(T.StringType()), True),
     T.StructField("predictedlabels", T.MapType(T.StringType(), T.StringType()), True),
     T.StructField("userid", T.StringType(), True),
+    T.StructField("features", T.ArrayType(T.DoubleType()), True),
+    # any entry still the placeholder; a stored boolean so the backfill filter reaches Parquet
+    T.StructField("pending", T.BooleanType(), True),
 ])
 
 # JSON payloads of the two topics. Channel values arrive as strings; numbers

@@ -24,6 +24,7 @@ DEFAULT_CONF = {
     # Many small groups per task in applyInPandas; keep Arrow batches bounded.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
     "spark.scheduler.mode": "FAIR",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -121,3 +122,15 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(zpath)
     _SHIPPED.add(sc.applicationId)
+
+
+def materialize(df, name: str):
+    """Cut lineage: write ``df`` as a table under the shared folder and read it back.
+
+    One computation (unlike an eager ``checkpoint()``, which evaluates its input
+    twice), and the result survives executor loss.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

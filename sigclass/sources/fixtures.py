@@ -63,11 +63,13 @@ def calibration_packet_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calibration_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored labelled packet table: pk, date, eeg array<string>, label, userid, calibrationid."""
+    """Stored labelled packet table: pk, date, eeg array<string>, label, userid, calibrationid,
+    features array<double> (the parsed vector the ingest stores beside the strings)."""
     c = calibration_packet_channels(spark, sf_dir)
     return c.select("pk", "date",
                     _channels_as_strings(*[F.col(f"c{i}") for i in range(6)]).alias("eeg"),
-                    "label", "userid", "calibrationid")
+                    "label", "userid", "calibrationid",
+                    F.array(*[F.col(f"c{i}") for i in range(6)]).alias("features"))
 
 
 def instruction_packet_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,11 +90,11 @@ def instruction_packet_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def instruction_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw unlabelled packets: pk, date, eeg array<string>, userid."""
+    """Unlabelled packets as ingested: pk, date, eeg array<string>, userid, features array<double>."""
     c = instruction_packet_channels(spark, sf_dir)
     return c.select("pk", "date",
                     _channels_as_strings(*[F.col(f"c{i}") for i in range(6)]).alias("eeg"),
-                    "userid")
+                    "userid", F.array(*[F.col(f"c{i}") for i in range(6)]).alias("features"))
 
 
 def labelled_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +129,7 @@ def embedding_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(labels, (F.col("label") % 3 + 1).cast("int")).alias("label"),
         F.lit("emb").alias("userid"),
         F.lit("emb").alias("calibrationid"),
+        F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double")).alias("features"),
     )
 
 

@@ -30,7 +30,7 @@ from sigclass.operators import classify, metrics, mllib_train, registry, scorers
 from sigclass.operators.mllib_train import TrainConfig
 from sigclass.plans.flow import Flow
 from sigclass.schemas import MODEL_TYPES
-from sigclass.session import fresh_path
+from sigclass.session import exists, fresh_path
 
 STATUS_SCHEMA = T.StructType([
     T.StructField("calibrationid", T.StringType()), T.StructField("userid", T.StringType()),
@@ -81,16 +81,17 @@ def train_pending(spark: SparkSession, calibrations: DataFrame, packets: DataFra
 
     # 2. rf / mlp through the MLlib pool on staged rows.
     ml_types = [m for m in model_types if m in ("rf", "mlp")]
-    status_rows: list[dict] = []
+    statuses = spark.createDataFrame([], STATUS_SCHEMA)
     if ml_types:
         t1 = time.time()
         rows_path = f"{root}/rows"
         mllib_train.stage_rows(fl.indexed, rows_path)
         sessions = mllib_train.pending_sessions(spec, fl.profile, calibrations)
-        status_rows = mllib_train.fit_all(spark, rows_path, sessions, ml_types,
-                                          f"{root}/models", f"{root}/pairs", cfg)
+        mllib_train.fit_all(spark, rows_path, sessions, ml_types, f"{root}/models",
+                            f"{root}/pairs", f"{root}/ml_status", cfg)
+        if exists(spark, f"{root}/ml_status"):
+            statuses = spark.read.schema(STATUS_SCHEMA).parquet(f"{root}/ml_status")
         run.timings["mllib"] = time.time() - t1
-    statuses = spark.createDataFrame(status_rows, STATUS_SCHEMA)
     if nb_ok is not None:
         nb_status = nb_ok.join(calibrations.select("calibrationid", "userid"), "calibrationid").select(
             "calibrationid", "userid", F.lit("nb").alias("model_type"),
@@ -102,13 +103,12 @@ def train_pending(spark: SparkSession, calibrations: DataFrame, packets: DataFra
     run.statuses = spark.read.parquet(f"{root}/status")
 
     # 3. prediction pairs of every model (nb from the set-wise flow, rf/mlp from the pool).
-    pairs = None
+    pairs = spark.createDataFrame([], "calibrationid string, model string, actual double, predicted double")
     if "nb" in model_types:
-        pairs = fl.pairs("nb")
-    if ml_types:
-        ml_pairs = spark.read.schema(mllib_train.PAIRS_SCHEMA).parquet(f"{root}/pairs").select(
-            "calibrationid", "model", "actual", "predicted")
-        pairs = ml_pairs if pairs is None else pairs.unionByName(ml_pairs)
+        pairs = pairs.unionByName(fl.pairs("nb"))
+    if ml_types and exists(spark, f"{root}/pairs"):
+        pairs = pairs.unionByName(spark.read.schema(mllib_train.PAIRS_SCHEMA).parquet(f"{root}/pairs")
+                                  .select("calibrationid", "model", "actual", "predicted"))
     pairs.write.mode("overwrite").parquet(f"{root}/all_pairs")
     run.pairs = spark.read.parquet(f"{root}/all_pairs")
 
@@ -142,11 +142,12 @@ def build_registry(spark: SparkSession, run: TrainRun, spec: DataFrame, calibrat
             F.lit(None).cast("string").alias("model_path")))
     ok = run.statuses.where("status = 'ok' and model_path is not null")
     for mt in ("rf", "mlp"):
-        if mt not in run.model_types:
+        if mt not in run.model_types or not exists(spark, f"{run.root}/models"):
             continue
         st = ok.where(F.col("model_type") == mt).join(published, "calibrationid", "left_semi")
-        paths = [r["model_path"] for r in st.select("model_path").collect()]
-        exp = scorers.export_rf(spark, paths) if mt == "rf" else scorers.export_mlp(spark, paths)
+        # every saved model of this type, listed by a glob (no path list through the driver)
+        glob = f"{run.root}/models/*/model-{mt}"
+        exp = scorers.export_rf(spark, [glob]) if mt == "rf" else scorers.export_mlp(spark, [glob])
         st = st.withColumn("model_dir", F.concat_ws("-", "calibrationid", "userid"))
         j = base.join(st.select("calibrationid", "model_dir", "model_path"), "calibrationid").join(
             exp, "model_dir")
@@ -190,3 +191,34 @@ def backfill(stored: DataFrame, registry_rows: DataFrame, rows_per_group: int =
 def mark_generated(calibrations: DataFrame, run: TrainRun) -> DataFrame:
     """K3 for a finished run."""
     return upsert.mark_models_generated(calibrations, run.published)
+
+
+def run_cycle(spark: SparkSession, paths, model_types: list[str] | None = None,
+              cfg: TrainConfig | None = None) -> TrainRun:
+    """One pass of the periodic job over stored tables — idempotent, safe to re-run.
+
+    train every eligible session → append registry rows and the metrics table
+    → upsert the session table (K3) → re-score pending instruction rows and
+    append them as a newer version (K4). A session that failed is not marked,
+    so the next cycle retries only it.
+    """
+    from sigclass.sources import tables
+    from sigclass.operators.upsert import append_version
+
+    version = int(time.time() * 1000)
+    cal = tables.read_calibrations(spark, paths.calibrations)
+    pk = tables.read_packets(spark, paths.packets)
+    run = train_pending(spark, cal, pk, model_types, cfg)
+    run.registry.write.mode("append").parquet(paths.registry)
+    report = run.metrics_report().join(cal.select("calibrationid", "userid"), "calibrationid") \
+        .withColumn("trained_at", F.current_timestamp())
+    report.write.mode("append").parquet(paths.metrics)
+    run.statuses.withColumn("run", F.lit(run.root)).write.mode("append").parquet(paths.status)
+    upd = cal.join(run.published, "calibrationid", "left_semi").withColumn("modelsgenerated", F.lit(True))
+    append_version(upd, paths.calibrations, version)
+    if exists(spark, paths.instructions):
+        todo = tables.read_pending_instructions(spark, paths.instructions)
+        reg = spark.read.parquet(paths.registry)
+        rescored = score_instructions(todo.drop("predictedlabels", "pending"), reg)
+        append_version(rescored.select(*todo.columns), paths.instructions, version)
+    return run

@@ -19,6 +19,7 @@ from sigclass.plans import jobs
 from sigclass.plans.queries import present
 from sigclass.session import fresh_path
 from sigclass.sources import fixtures as fx
+from sigclass.sources.tables import read_parquet
 from sigclass.sources.streams import file_topic
 from sigclass.streaming.ingest import start_calibration_ingest
 from sigclass.streaming.scoring import start_instruction_scoring
@@ -134,7 +135,7 @@ def stream_calibration_ingest(spark, sf):
                                  f"{base}/quarantine", f"{base}/checkpoint",
                                  trigger={"availableNow": True})
     q.awaitTermination()
-    stored = spark.read.parquet(f"{base}/table")
+    stored = read_parquet(spark, f"{base}/table")
     return present(stored.select("calibrationid", "userid", "label",
                                  *[F.element_at("features", i + 1).alias(f"c{i}") for i in range(6)]))
 
@@ -148,7 +149,7 @@ def stream_instruction_score(spark, sf):
                                   f"{base}/quarantine", f"{base}/checkpoint",
                                   registry_path=f"{run.root}/registry", trigger={"availableNow": True})
     q.awaitTermination()
-    stored = spark.read.parquet(f"{base}/table")
+    stored = read_parquet(spark, f"{base}/table")
     return stored.select("pk", "userid",
                          F.col("predictedlabels")["RandomForest"].alias("rf_label"),
                          F.col("predictedlabels")["MLPerceptron"].alias("mlp_label"),

@@ -36,6 +36,12 @@ def fit(train: DataFrame, n_channels: int = N_CHANNELS, smoothing: float = NB_SM
     bad = F.max(F.when(F.exists(f, lambda x: (x < 0) | F.isnan(x) | (F.abs(x) == float("inf"))),
                        1).otherwise(0)).alias("bad")
     agg = train.groupBy(key, label).agg(F.count(F.lit(1)).alias("n"), *sums, bad)
+    return from_statistics(agg, n_channels, smoothing, key, label)
+
+
+def from_statistics(agg: DataFrame, n_channels: int = N_CHANNELS, smoothing: float = NB_SMOOTHING,
+                    key: str = "calibrationid", label: str = "label_idx") -> DataFrame:
+    """Parameters from per-class sufficient statistics (key, label, n, s0..s{D-1}, bad)."""
     w = Window.partitionBy(key)
     lam = F.lit(float(smoothing))
     s_tot = sum((F.col(f"s{j}") for j in range(n_channels)), F.lit(0.0))

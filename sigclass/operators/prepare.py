@@ -106,7 +106,7 @@ def session_profile(frame: DataFrame, n_channels: int = N_CHANNELS,
 
 # ---------------------------------------------------------------- label index
 
-def label_index_fit(frame: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+def label_index_fit(frame: DataFrame | None, profile: DataFrame | None = None) -> DataFrame:
     """A2/O1: (calibrationid, label, n, label_idx) — index by count desc, then label asc.
 
     Counts come from the session profile (one pass, conditional counts over
@@ -221,3 +221,78 @@ def indexed_frame(frame: DataFrame, spec: DataFrame, train_percent: int = TRAIN_
         is_train("pk", train_percent).alias("is_train"),
     )
 
+
+
+# ------------------------------------------------------- fit pass (one scan)
+
+def fit_pass(frame: DataFrame, profile: DataFrame, max_categories: int = MAX_CATEGORIES,
+             n_channels: int = N_CHANNELS, train_percent: int = TRAIN_PERCENT,
+             broadcast: bool | None = None) -> DataFrame:
+    """One aggregation over the valid packets that yields everything training needs.
+
+    Each packet contributes one item for itself (channel = -1: row count, raw
+    per-channel sums and minima) and one item per candidate channel of its
+    session (channel = j, value = x_j: a count). Grouped by (calibrationid,
+    label, is_train, channel, value) with map-side partial aggregation, the
+    output has a handful of rows per session: the channel = -1 rows are the
+    per-class sufficient statistics, and the candidate rows give the exact
+    distinct values (category maps) and the per-class counts of each value.
+    """
+    cand = channel_candidates(profile, max_categories)
+    j = join_small(frame.where("valid"), cand, "calibrationid", "inner", broadcast=broadcast)
+    f = F.col("features")
+    none = F.lit(None).cast("double")
+    # the packet's own item carries its channel values; candidate items carry one value
+    self_item = F.struct(F.lit(-1).alias("channel"), none.alias("value"),
+                         *[F.element_at(f, i + 1).alias(f"x{i}") for i in range(n_channels)])
+    cand_items = F.transform("cand", lambda c: F.struct(
+        c.alias("channel"), (F.element_at(f, c + 1) + F.lit(0.0)).alias("value"),
+        *[none.alias(f"x{i}") for i in range(n_channels)]))
+    items = j.select("calibrationid", "label", is_train("pk", train_percent).alias("is_train"),
+                     F.inline(F.concat(F.array(self_item), cand_items)))
+    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs += [F.sum(f"x{i}").alias(f"s{i}") for i in range(n_channels)]
+    aggs += [F.min(f"x{i}").alias(f"m{i}") for i in range(n_channels)]
+    return items.groupBy("calibrationid", "label", "is_train", "channel", "value").agg(*aggs)
+
+
+def categories_from_fit_pass(summary: DataFrame, max_categories: int = MAX_CATEGORIES) -> DataFrame:
+    """A3 from the fit pass: (calibrationid, channel, value, code) for categorical channels."""
+    distinct = summary.where(F.col("channel") >= 0).select("calibrationid", "channel", "value").distinct()
+    n = distinct.groupBy("calibrationid", "channel").agg(F.count(F.lit(1)).alias("n_values"))
+    cat = n.where(F.col("n_values") <= max_categories).select("calibrationid", "channel")
+    vals = distinct.join(cat, ["calibrationid", "channel"], "left_semi")
+    w = Window.partitionBy("calibrationid", "channel").orderBy(
+        (F.col("value") != 0.0).asc(), F.col("value").asc())
+    return vals.withColumn("code", (F.dense_rank().over(w) - 1).cast("double"))
+
+
+def class_statistics(summary: DataFrame, codes: DataFrame, labels: DataFrame,
+                     n_channels: int = N_CHANNELS) -> DataFrame:
+    """Per (calibrationid, label_idx) over the training side: n, sums of the indexed features, bad.
+
+    A categorical channel's sum is Σ_value count × code (exact); a continuous
+    channel's is the raw sum. ``bad`` marks a negative continuous channel
+    value (the re-coded categorical channels are never negative).
+    """
+    train = summary.where(F.col("is_train"))
+    own = train.where(F.col("channel") == -1)
+    # per (calibrationid, label) the categorical channels' code sums, as channel -> sum
+    cat_sum = (train.where(F.col("channel") >= 0)
+               .join(codes, ["calibrationid", "channel", "value"])
+               .groupBy("calibrationid", "label", "channel")
+               .agg(F.sum(F.col("n") * F.col("code")).alias("cs"))
+               .groupBy("calibrationid", "label")
+               .agg(F.map_from_entries(F.collect_list(F.struct("channel", "cs"))).alias("csum")))
+    is_cat = codes.select("calibrationid", "channel").distinct().groupBy("calibrationid").agg(
+        F.collect_set("channel").alias("cat_channels"))
+    s = (own.join(cat_sum, ["calibrationid", "label"], "left")
+         .join(is_cat, "calibrationid", "left")
+         .join(labels.select("calibrationid", "labels"), "calibrationid"))
+    cats = F.coalesce(F.col("cat_channels"), F.array().cast("array<int>"))
+    sums = [F.when(F.array_contains(cats, i), F.coalesce(F.col("csum")[i], F.lit(0.0)))
+            .otherwise(F.col(f"s{i}")).alias(f"s{i}") for i in range(n_channels)]
+    bad = F.greatest(*[F.when(~F.array_contains(cats, i) & (F.col(f"m{i}") < 0), 1).otherwise(0)
+                       for i in range(n_channels)])
+    return s.select("calibrationid", encode("label", "labels").alias("label_idx"), "n", *sums,
+                    bad.alias("bad"))

@@ -1,17 +1,20 @@
 """The set-wise training/evaluation flow for all eligible sessions (§7.2 slice).
 
-sessions (F1) ⋈ packets (J1) → label index (A2) + channel index (A3) →
-indexed features + md5 split (P7, P8, R1) → naive Bayes fit (M1) → score
-the test side (M6) → prediction pairs → metrics (A4-A11).
+sessions (F1) ⋈ packets (J1) → profile: label index (A2) + HLL per channel →
+fit pass: md5 split (R1), per-class sufficient statistics and exact values of
+candidate channels → channel categories (A3) and naive Bayes (M1) → indexed
+test rows (P7, P8) scored (M6) → prediction pairs → metrics (A4-A11).
 
 Per-session side tables (sessions, spec, models) have one bounded row per
 eligible session, so one row-count probe on the sessions table decides
 whether they are broadcast; beyond the bound every join is a shuffle join.
 Those tables are small and feed several branches (fit and scoring), so they
 are materialised as tables in the shared checkpoint folder: computed once,
-and never recomputed after an executor loss. The
-packets themselves are scanned by three passes: profile (+ exact distinct
-values of candidate channels), naive Bayes fit, scoring.
+and never recomputed after an executor loss. The packets themselves are
+scanned by three passes: the profile (label counts, HLL per channel), the
+fit pass (per-class sufficient statistics plus exact values of the
+candidate channels, from which category maps and naive Bayes follow), and
+scoring.
 """
 
 from __future__ import annotations
@@ -65,10 +68,27 @@ class Flow:
         return self._memo("profile", lambda: materialize(prepare.session_profile(
             self.frame.where("valid"), self.n_channels), "profile"))
 
+    @property
+    def fit_summary(self) -> DataFrame:
+        """Second and last training pass: per-class statistics + candidate channel values."""
+        return self._memo("fit_summary", lambda: materialize(prepare.fit_pass(
+            self.frame, self.profile, self.max_categories, self.n_channels, self.train_percent,
+            self.small_sessions), "fit_summary"))
+
+    @property
+    def codes(self) -> DataFrame:
+        """A3: category codes of every categorical channel, from the fit pass."""
+        return self._memo("codes", lambda: prepare.categories_from_fit_pass(
+            self.fit_summary, self.max_categories))
+
     @property
     def spec(self) -> DataFrame:
-        return self._memo("spec", lambda: materialize(prepare.feature_spec(
-            self.frame, self.max_categories, self.profile, self.small_sessions), "spec"))
+        """Per-session (labels, cat_maps), materialised."""
+        def build():
+            labels = prepare.label_orders(prepare.label_index_fit(None, self.profile))
+            maps = prepare.category_maps(self.codes)
+            return materialize(labels.join(maps, "calibrationid", "left"), "spec")
+        return self._memo("spec", build)
 
     @property
     def indexed(self) -> DataFrame:
@@ -77,8 +97,10 @@ class Flow:
 
     @property
     def nb_params(self) -> DataFrame:
-        return self._memo("nb_params", lambda: naive_bayes.fit(
-            self.indexed.where("is_train"), self.n_channels))
+        """M1 from the fit pass's sufficient statistics (no further scan of the packets)."""
+        return self._memo("nb_params", lambda: naive_bayes.from_statistics(
+            prepare.class_statistics(self.fit_summary, self.codes, self.spec, self.n_channels),
+            self.n_channels))
 
     @property
     def nb_models(self) -> DataFrame:

@@ -196,17 +196,7 @@ def apply_categories(features: Column | str = "features", cat_maps: Column | str
     return F.transform(f, one)
 
 
-# -------------------------------------------------------------- feature spec
-
-def feature_spec(frame: DataFrame, max_categories: int = MAX_CATEGORIES,
-                 profile: DataFrame | None = None, broadcast: bool | None = None) -> DataFrame:
-    """Per-session spec: (calibrationid, labels, cat_maps). Travels with every model (fixes Q1, Q2)."""
-    good = frame.where("valid")
-    p = profile if profile is not None else session_profile(good)
-    labels = label_orders(label_index_fit(good, p))
-    maps = category_maps(channel_index_fit(good, max_categories, profile=p, broadcast=broadcast))
-    return labels.join(maps, "calibrationid", "left")
-
+# ------------------------------------------------------------- indexed rows
 
 def indexed_frame(frame: DataFrame, spec: DataFrame, train_percent: int = TRAIN_PERCENT,
                   max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,

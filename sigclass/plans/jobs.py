@@ -188,11 +188,6 @@ def backfill(stored: DataFrame, registry_rows: DataFrame, rows_per_group: int =
     return upsert.replace_rows(stored, ~F.col("pending"), rescored)
 
 
-def mark_generated(calibrations: DataFrame, run: TrainRun) -> DataFrame:
-    """K3 for a finished run."""
-    return upsert.mark_models_generated(calibrations, run.published)
-
-
 def run_cycle(spark: SparkSession, paths, model_types: list[str] | None = None,
               cfg: TrainConfig | None = None) -> TrainRun:
     """One pass of the periodic job over stored tables — idempotent, safe to re-run.

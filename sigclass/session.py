@@ -80,11 +80,6 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return shared_path(spark, "sigclass", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme (for local-only helpers in tests)."""
-    return path[5:] if path.startswith("file:") else path
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     """Existence test through the Hadoop file system of the path."""
     jvm = spark.sparkContext._jvm
@@ -93,10 +88,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def env_sf_dir(default: str = "/root/testdata/sf0.01") -> str:
-    return os.environ.get("SIGCLASS_SF_DIR", default)
-
-
 _SHIPPED: set = set()
 
 

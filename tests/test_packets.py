@@ -52,3 +52,13 @@ def test_vectors_and_keys(spark):
     k2 = spark.createDataFrame([(["kafka", "t", "0", "17"],)], "coords array<string>") \
         .select(packet_key(F.col("coords")).alias("k")).collect()[0]["k"]
     assert k == k2 and len(k) == 64
+
+
+def test_fixed_label_forms(spark):
+    """P9/P10 in the application's fixed form (index into Shallow, Medium, Deep; unknown -> 0)."""
+    from sigclass.functions.labels import fixed_label_name, fixed_label_number
+    df = spark.createDataFrame([("Shallow",), ("Medium",), ("Deep",), ("Other",)], "l string")
+    nums = [r[0] for r in df.select(fixed_label_number("l")).collect()]
+    assert nums == [0.0, 1.0, 2.0, 0.0]
+    names = [r[0] for r in df.select(fixed_label_name(fixed_label_number("l"))).collect()]
+    assert names == ["Shallow", "Medium", "Deep", "Shallow"]

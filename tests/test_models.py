@@ -6,6 +6,7 @@ from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from sigclass.operators import metrics as metrics_mod
 from sigclass.operators import mllib_train, scorers
 from sigclass.plans import jobs
 from sigclass.plans.flow import Flow
@@ -89,3 +90,10 @@ def test_mlp_predict_layout():
     h = 1 / (1 + np.exp(-(x @ W1 + b1)))
     exp = np.argmax(h @ W2 + b2, axis=1)
     assert (scorers.mlp_predict(x, layers, w) == exp).all()
+
+
+def test_matrix_total_equals_test_rows(spark, flow):
+    """Invariant: per session, the confusion matrix counts every scored test row once."""
+    cm = metrics_mod.confusion_matrix(flow.pairs()).groupBy("calibrationid").agg(F.sum("n").alias("t"))
+    test = flow.indexed.where("not is_train").groupBy("calibrationid").agg(F.count("*").alias("t"))
+    assert cm.exceptAll(test).count() == 0 and test.exceptAll(cm).count() == 0

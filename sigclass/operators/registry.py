@@ -25,7 +25,10 @@ def with_session(models: DataFrame, calibrations: DataFrame) -> DataFrame:
 
 
 def current_per_user(registry: DataFrame, model_col: str = "model_type") -> DataFrame:
-    """Newest session per (userid, model type): enddate desc, then calibrationid desc."""
-    w = Window.partitionBy("userid", model_col).orderBy(
-        F.col("enddate").desc_nulls_last(), F.col("calibrationid").desc())
+    """Newest session per (userid, model type): enddate desc, then calibrationid desc
+    (then the latest training of that session, when the registry has ``trained_at``)."""
+    order = [F.col("enddate").desc_nulls_last(), F.col("calibrationid").desc()]
+    if "trained_at" in registry.columns:
+        order.append(F.col("trained_at").desc_nulls_last())
+    w = Window.partitionBy("userid", model_col).orderBy(*order)
     return registry.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

@@ -1,4 +1,4 @@
-"""Idempotent batch jobs (T6, M9, M11): train every pending session, then backfill.
+"""Batch jobs (T6, M9, M11): train every pending session, then backfill.
 
 ``train_pending`` does in one call what the reference's minute timer did per
 session in a driver loop:
@@ -6,14 +6,18 @@ session in a driver loop:
 1. naive Bayes for all eligible sessions at once (``Flow``);
 2. random forest and perceptron per session in a bounded MLlib job pool, on
    rows staged once to the shared folder;
-3. one registry row per (session, model type), published only for sessions
-   whose three fits all succeeded (K7), with exported parameters;
-4. the metrics table for all sessions and models in one plan (K6);
-5. the session table upserted with ``modelsgenerated = true`` (K3).
-
-``backfill`` re-scores stored unlabelled rows that still hold the
-placeholder with the users' current models and upserts them (M11, K4).
-All outputs go under one run directory in the shared checkpoint folder.
+3. prediction pairs of every model, from which ``TrainRun.metrics_report``
+   gives the metrics of all sessions and models in one plan (K6);
+4. one registry row per (session, model type), published only for sessions
+   whose fits all succeeded (K7), with exported parameters.
+
+Its outputs go under one run directory in the shared checkpoint folder.
+``score_instructions`` classifies rows with the current models (J2, P11);
+``backfill`` re-scores the stored rows that still hold the placeholder
+(M11, K4). ``run_cycle`` is the periodic pass over stored tables: it calls
+``train_pending``, appends registry, metrics and status rows, upserts
+``modelsgenerated = true`` (K3) and backfills; a re-run retrains only what
+is still unmarked.
 """
 
 from __future__ import annotations
@@ -190,12 +194,16 @@ def backfill(stored: DataFrame, registry_rows: DataFrame, rows_per_group: int =
 
 def run_cycle(spark: SparkSession, paths, model_types: list[str] | None = None,
               cfg: TrainConfig | None = None) -> TrainRun:
-    """One pass of the periodic job over stored tables — idempotent, safe to re-run.
+    """One pass of the periodic job over stored tables.
 
-    train every eligible session → append registry rows and the metrics table
-    → upsert the session table (K3) → re-score pending instruction rows and
-    append them as a newer version (K4). A session that failed is not marked,
-    so the next cycle retries only it.
+    train every eligible session → append registry rows, the metrics table and
+    the statuses → upsert the session table (K3) → re-score pending
+    instruction rows and append them as a newer version (K4).
+
+    Sessions with a recorded failure are not retried (Q6/Q7: a bad session
+    would otherwise fail every cycle). A crash before the session table is
+    upserted only means the next cycle trains those sessions again; registry
+    readers take the newest row per user, so the repeat is harmless.
     """
     from sigclass.sources import tables
     from sigclass.operators.upsert import append_version
@@ -203,7 +211,11 @@ def run_cycle(spark: SparkSession, paths, model_types: list[str] | None = None,
     version = int(time.time() * 1000)
     cal = tables.read_calibrations(spark, paths.calibrations)
     pk = tables.read_packets(spark, paths.packets)
-    run = train_pending(spark, cal, pk, model_types, cfg)
+    candidates = cal
+    if exists(spark, paths.status):
+        failed = spark.read.parquet(paths.status).where(F.col("status") == "failed").select("calibrationid")
+        candidates = cal.join(failed.distinct(), "calibrationid", "left_anti")
+    run = train_pending(spark, candidates, pk, model_types, cfg)
     run.registry.write.mode("append").parquet(paths.registry)
     report = run.metrics_report().join(cal.select("calibrationid", "userid"), "calibrationid") \
         .withColumn("trained_at", F.current_timestamp())

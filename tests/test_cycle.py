@@ -15,8 +15,14 @@ def test_cycle(spark):
     base = fresh_path(spark, "t-cycle")
     paths = tables.TablePaths(calibrations=f"{base}/cal", packets=f"{base}/pk", instructions=f"{base}/ins",
                               registry=f"{base}/registry", metrics=f"{base}/metrics", status=f"{base}/status")
-    fx.calibrations(spark, SF001).write.parquet(paths.calibrations)
-    fx.calibration_packets(spark, SF001).write.parquet(paths.packets)
+    # plus one session with negative channels (from embeddings): naive Bayes must fail for it
+    emb = fx.embedding_packets(spark, SF001)
+    emb_cal = emb.groupBy("calibrationid", "userid").agg(
+        F.lit(None).cast("timestamp_ntz").alias("startdate"),
+        F.max(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("enddate")) \
+        .withColumn("modelsgenerated", F.lit(False))
+    fx.calibrations(spark, SF001).unionByName(emb_cal).write.parquet(paths.calibrations)
+    fx.calibration_packets(spark, SF001).unionByName(emb).write.parquet(paths.packets)
     # instructions arrive before any model: stored with placeholders
     fx.unlabelled_json_lines(spark, SF001).write.text(f"{base}/topic")
     q = start_instruction_scoring(spark, file_topic(spark, f"{base}/topic"), paths.instructions,
@@ -30,9 +36,12 @@ def test_cycle(spark):
                 .where("enddate is not null and not modelsgenerated").select("calibrationid").collect()}
     run = jobs.run_cycle(spark, paths)
     published = {r[0] for r in run.published.collect()}
-    assert published == eligible
+    assert published == eligible  # every lineitem session, and not the negative-channel one
+    st = {(r["calibrationid"], r["model_type"]): r["status"] for r in run.statuses.collect()}
+    assert st[("emb", "nb")] == "failed"
     cal = tables.read_calibrations(spark, paths.calibrations)
-    assert cal.count() == fx.calibrations(spark, SF001).count()
+    assert cal.count() == fx.calibrations(spark, SF001).count() + 1
+    assert cal.where("calibrationid = 'emb'").collect()[0]["modelsgenerated"] is False
     marked = {r[0] for r in cal.where("modelsgenerated").select("calibrationid").collect()}
     assert published <= marked
     # registry holds three model types per published session; metrics table got rows for each
@@ -50,9 +59,10 @@ def test_cycle(spark):
     assert tables.read_pending_instructions(spark, paths.instructions).count() == \
         ins.where("pending").count()
 
-    # second cycle: nothing eligible any more, nothing changes
+    # second cycle: nothing eligible any more (the failed session is not retried), nothing changes
     run2 = jobs.run_cycle(spark, paths)
     assert run2.published.count() == 0
+    assert run2.statuses.count() == 0
     assert spark.read.parquet(paths.registry).count() == reg.count()
     assert tables.read_instructions(spark, paths.instructions).where("pending").count() == \
         ins.where("pending").count()

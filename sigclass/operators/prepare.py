@@ -1,4 +1,4 @@
-"""Session selection, session ⋈ packets, and the per-session feature spec.
+"""Session selection, session ⋈ packets, label index and channel categories.
 
 Covers F1/F2 (eligibility), J1/J3 (sessions ⋈ / ⋉ packets), A1 (packets per
 session), A2 (label index: frequency-descending, ties alphabetical), A3
@@ -11,7 +11,9 @@ over packets is a hash aggregate with a map-side partial step, and the only
 window functions run over per-session summaries bounded by the label domain
 or by MAX_CATEGORIES. Label counts and per-channel HLL sketches come from one
 pass (``session_profile``); only channels the sketch cannot rule out as
-continuous are deduplicated exactly.
+continuous are deduplicated exactly — either on their own
+(``channel_index_fit``) or inside the training pass (``fit_pass``), which
+also yields the per-class sufficient statistics for naive Bayes.
 """
 
 from __future__ import annotations

@@ -125,3 +125,15 @@ def materialize(df, name: str):
     path = fresh_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin an under-split input over the cluster; a no-op for a well-split one.
+
+    A Parquet file with a single row group is read by one task however big it
+    is, and every operator pipelined on that scan (parsing, hashing, partial
+    aggregation) then runs on one core. Inputs already split into at least
+    ``min_partitions`` (default: the cluster's parallelism) are left as they are.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigclass.session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -24,7 +26,7 @@ def _channels_as_strings(*cols: Column) -> Column:
 def calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One session per supplier; every tenth still running, every third ready."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate")
+    li = spread(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate"))
     g = (s.join(li, s.s_suppkey == li.l_suppkey, "left")
          .groupBy("s_suppkey", "s_nationkey")
          .agg(F.min("l_shipdate").alias("startdate"), F.max("l_shipdate").alias("maxdate")))
@@ -40,7 +42,7 @@ def calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calibration_packet_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled packets with the six channels still as doubles c0..c5."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     j = li.join(s, li.l_suppkey == s.s_suppkey)
     pk = F.concat_ws("-", *[F.col(c).cast("string") for c in
@@ -74,7 +76,7 @@ def calibration_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def instruction_packet_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unlabelled packets from events (users 0-24), channels as doubles c0..c5."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     return e.select(
         F.col("event_id").cast("string").alias("pk"),
         F.col("ts").alias("date"),

@@ -31,3 +31,14 @@ def test_flow_is_jvm_only_and_broadcasts_sessions(spark):
     assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
     # the packet table is scanned once per pass, not once per consumer
     assert plan.count("lineitem.parquet") <= 2
+
+
+def test_shuffle_join_path_gives_same_results(spark):
+    """Beyond the broadcast bound the flow joins by shuffle; results must not change."""
+    cal, pk = fx.calibrations(spark, SF001), fx.calibration_packets(spark, SF001)
+    small = Flow(cal, pk)
+    big = Flow(cal, pk, max_broadcast_rows=0)
+    assert small.small_sessions and not big.small_sessions
+    a = small.nb_predictions.select("pk", "prediction", "predicted_label")
+    b = big.nb_predictions.select("pk", "prediction", "predicted_label")
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0

@@ -172,16 +172,25 @@ def build_registry(spark: SparkSession, run: TrainRun, spec: DataFrame, calibrat
     return out.select(*REGISTRY_COLUMNS)
 
 
-def score_instructions(rows: DataFrame, registry_rows: DataFrame,
-                       rows_per_group: int = 100_000) -> DataFrame:
-    """J2 + P11: rows (pk, userid, eeg, ...) -> with predictedlabels from the current models."""
+def score_instructions(rows: DataFrame, registry_rows: DataFrame, rows_per_group: int = 100_000,
+                       engine: str = "jvm", cfg: TrainConfig | None = None) -> DataFrame:
+    """J2 + P11: rows (pk, userid, eeg, ...) -> with predictedlabels from the current models.
+
+    ``engine="jvm"`` evaluates forest and perceptron with built-in higher-order
+    functions after a per-user join (no Python); ``engine="arrow"`` uses the
+    NumPy scorers behind a salted cogroup. Both equal MLlib's ``transform``.
+    """
+    cfg = cfg or TrainConfig()
     cur = registry.current_per_user(registry_rows)
     if "features" not in rows.columns:
         rows = rows.withColumn("features", channel_values("eeg"))
     nb = cur.where("model_type = 'nb'")
     scored = classify.nb_labels(rows, nb)
     ml = cur.where("model_type in ('rf', 'mlp')")
-    scored = scorers.score(scored, ml, rows_per_group=rows_per_group)
+    if engine == "arrow":
+        scored = scorers.score(scored, ml, rows_per_group=rows_per_group, n_classes=cfg.n_classes)
+    else:
+        scored = scorers.score_jvm(scored, ml, cfg.mlp_layers, cfg.n_classes, max_depth=cfg.rf_max_depth)
     return classify.with_prediction_map(scored).drop("rf_label", "mlp_label", "nb_label")
 
 

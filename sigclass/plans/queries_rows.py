@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sigclass.functions.packets import channel_values
 from sigclass.functions.split import random_split
 from sigclass.operators import metrics, registry, scorers
+from sigclass.operators.mllib_train import TrainConfig
 from sigclass.plans import jobs
 from sigclass.plans.queries import present
 from sigclass.session import fresh_path
@@ -62,24 +63,25 @@ def _test_rows(spark, sf) -> DataFrame:
 
 
 def _score_by_session(spark, sf, model_type: str) -> DataFrame:
-    """Score each session's test rows with that session's exported model (Arrow scorer)."""
+    """Score each session's test rows with that session's exported model (built-in expressions)."""
     run = training_run(spark, sf)
     reg = run.registry.where(F.col("model_type") == model_type)
-    # key the cogroup by session: reuse 'userid' as the grouping key of the scorer
-    rows = _test_rows(spark, sf).withColumn("userid", F.col("calibrationid"))
-    models = reg.withColumn("userid", F.col("calibrationid"))
-    out = scorers.score(rows, models)
+    # join on the session: each test row meets the model of its own session
+    rows = _test_rows(spark, sf)
+    cfg = TrainConfig()
+    out = scorers.score_jvm(rows, reg, cfg.mlp_layers, cfg.n_classes, key="calibrationid",
+                            max_depth=cfg.rf_max_depth)
     col = "rf_label" if model_type == "rf" else "mlp_label"
     return out.select("pk", "calibrationid", "label_idx", F.col(col).alias("predicted_label"))
 
 
 def rf_score(spark, sf):
-    """M7: exported-forest predictions (Arrow) for every test packet of every published session."""
+    """M7: exported-forest predictions for every test packet of every published session."""
     return _score_by_session(spark, sf, "rf")
 
 
 def mlp_score(spark, sf):
-    """M8: exported-perceptron predictions (Arrow) for every test packet of every published session."""
+    """M8: exported-perceptron predictions for every test packet of every published session."""
     return _score_by_session(spark, sf, "mlp")
 
 

@@ -59,15 +59,20 @@ def test_exported_scorers_equal_transform(spark):
     ml = spark.read.schema(mllib_train.PAIRS_SCHEMA).parquet(f"{run.root}/pairs")
     test = run.flow.indexed.where("not is_train").select(
         "pk", "calibrationid", F.col("calibrationid").alias("userid"), "features")
+    spec = run.flow.spec.select("calibrationid", "labels")
+    cfg = mllib_train.TrainConfig()
     for mt, col in (("rf", "rf_label"), ("mlp", "mlp_label")):
         reg = run.registry.where(F.col("model_type") == mt).withColumn("userid", F.col("calibrationid"))
-        out = scorers.score(test, reg, rows_per_group=50)  # small groups: exercises salting
-        spec = run.flow.spec.select("calibrationid", "labels")
-        ours = out.join(spec, "calibrationid").select(
-            "pk", (F.array_position("labels", F.col(col)) - 1).cast("double").alias("p"))
-        j = ours.join(ml.where(F.col("model") == mt), "pk")
-        assert j.count() == test.count()
-        assert j.where("p <> predicted").count() == 0, mt
+        engines = {
+            "arrow": scorers.score(test, reg, rows_per_group=50),  # small groups: exercises salting
+            "jvm": scorers.score_jvm(test, reg, cfg.mlp_layers, cfg.n_classes, max_depth=cfg.rf_max_depth),
+        }
+        for name, out in engines.items():
+            ours = out.join(spec, "calibrationid").select(
+                "pk", (F.array_position("labels", F.col(col)) - 1).cast("double").alias("p"))
+            j = ours.join(ml.where(F.col("model") == mt), "pk")
+            assert j.count() == test.count(), (mt, name)
+            assert j.where("p <> predicted").count() == 0, (mt, name)
     # the forest used a categorical split on the re-coded channel 4
     nodes = run.registry.where("model_type = 'rf'").select(F.explode("rf_nodes").alias("n")) \
         .where("n.ncat >= 0 and n.left >= 0").count()

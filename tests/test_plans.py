@@ -42,3 +42,14 @@ def test_shuffle_join_path_gives_same_results(spark):
     a = small.nb_predictions.select("pk", "prediction", "predicted_label")
     b = big.nb_predictions.select("pk", "prediction", "predicted_label")
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
+def test_jvm_serving_has_no_python(spark):
+    """Serving with the default engine stays in the JVM (no Arrow/Python exchange)."""
+    from sigclass.plans import jobs
+    run = jobs.train_pending(spark, fx.calibrations(spark, SF001), fx.calibration_packets(spark, SF001),
+                             model_types=["nb"])
+    out = jobs.score_instructions(fx.instruction_packets(spark, SF001), run.registry)
+    plan = _plan(out)
+    assert "ArrowEvalPython" not in plan and "FlatMapCoGroupsInPandas" not in plan
+    assert out.count() == fx.instruction_packets(spark, SF001).count()

@@ -1,0 +1,18 @@
+"""Expression helpers."""
+
+from __future__ import annotations
+
+from typing import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``body`` as a lambda variable.
+
+    A column computed in one projection and read many times inside a lambda of
+    the next one is inlined by the optimizer (it sees one reference) and then
+    re-evaluated at every read; a lambda variable holds the evaluated value.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -173,12 +173,14 @@ def build_registry(spark: SparkSession, run: TrainRun, spec: DataFrame, calibrat
 
 
 def score_instructions(rows: DataFrame, registry_rows: DataFrame, rows_per_group: int = 100_000,
-                       engine: str = "jvm", cfg: TrainConfig | None = None) -> DataFrame:
+                       engine: str = "arrow", cfg: TrainConfig | None = None) -> DataFrame:
     """J2 + P11: rows (pk, userid, eeg, ...) -> with predictedlabels from the current models.
 
-    ``engine="jvm"`` evaluates forest and perceptron with built-in higher-order
-    functions after a per-user join (no Python); ``engine="arrow"`` uses the
-    NumPy scorers behind a salted cogroup. Both equal MLlib's ``transform``.
+    ``engine="arrow"`` (default) scores forest and perceptron with vectorised
+    NumPy behind a salted cogroup; ``engine="jvm"`` uses built-in higher-order
+    functions after a per-user join (no Python, but interpreted: measured about
+    0.7 ms per row per core for a 20-tree forest, against microseconds in
+    NumPy). Both equal MLlib's ``transform``. Naive Bayes is always JVM-side.
     """
     cfg = cfg or TrainConfig()
     cur = registry.current_per_user(registry_rows)

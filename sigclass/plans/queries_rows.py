@@ -63,14 +63,13 @@ def _test_rows(spark, sf) -> DataFrame:
 
 
 def _score_by_session(spark, sf, model_type: str) -> DataFrame:
-    """Score each session's test rows with that session's exported model (built-in expressions)."""
+    """Score each session's test rows with that session's exported model (Arrow scorer)."""
     run = training_run(spark, sf)
     reg = run.registry.where(F.col("model_type") == model_type)
-    # join on the session: each test row meets the model of its own session
-    rows = _test_rows(spark, sf)
-    cfg = TrainConfig()
-    out = scorers.score_jvm(rows, reg, cfg.mlp_layers, cfg.n_classes, key="calibrationid",
-                            max_depth=cfg.rf_max_depth)
+    # key the cogroup by session: reuse 'userid' as the grouping key of the scorer
+    rows = _test_rows(spark, sf).withColumn("userid", F.col("calibrationid"))
+    models = reg.withColumn("userid", F.col("calibrationid"))
+    out = scorers.score(rows, models, n_classes=TrainConfig().n_classes)
     col = "rf_label" if model_type == "rf" else "mlp_label"
     return out.select("pk", "calibrationid", "label_idx", F.col(col).alias("predicted_label"))
 

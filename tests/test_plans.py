@@ -45,11 +45,11 @@ def test_shuffle_join_path_gives_same_results(spark):
 
 
 def test_jvm_serving_has_no_python(spark):
-    """Serving with the default engine stays in the JVM (no Arrow/Python exchange)."""
+    """Serving with engine="jvm" stays in the JVM (no Arrow/Python exchange)."""
     from sigclass.plans import jobs
     run = jobs.train_pending(spark, fx.calibrations(spark, SF001), fx.calibration_packets(spark, SF001),
                              model_types=["nb"])
-    out = jobs.score_instructions(fx.instruction_packets(spark, SF001), run.registry)
+    out = jobs.score_instructions(fx.instruction_packets(spark, SF001), run.registry, engine="jvm")
     plan = _plan(out)
     assert "ArrowEvalPython" not in plan and "FlatMapCoGroupsInPandas" not in plan
     assert out.count() == fx.instruction_packets(spark, SF001).count()

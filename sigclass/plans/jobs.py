@@ -173,7 +173,8 @@ def build_registry(spark: SparkSession, run: TrainRun, spec: DataFrame, calibrat
 
 
 def score_instructions(rows: DataFrame, registry_rows: DataFrame, rows_per_group: int = 100_000,
-                       engine: str = "arrow", cfg: TrainConfig | None = None) -> DataFrame:
+                       engine: str = "arrow", cfg: TrainConfig | None = None,
+                       micro_batch: bool = False) -> DataFrame:
     """J2 + P11: rows (pk, userid, eeg, ...) -> with predictedlabels from the current models.
 
     ``engine="arrow"`` (default) scores forest and perceptron with vectorised
@@ -190,7 +191,8 @@ def score_instructions(rows: DataFrame, registry_rows: DataFrame, rows_per_group
     scored = classify.nb_labels(rows, nb)
     ml = cur.where("model_type in ('rf', 'mlp')")
     if engine == "arrow":
-        scored = scorers.score(scored, ml, rows_per_group=rows_per_group, n_classes=cfg.n_classes)
+        scored = scorers.score(scored, ml, rows_per_group=rows_per_group, n_classes=cfg.n_classes,
+                               write_side_table=not micro_batch)
     else:
         scored = scorers.score_jvm(scored, ml, cfg.mlp_layers, cfg.n_classes, max_depth=cfg.rf_max_depth)
     return classify.with_prediction_map(scored).drop("rf_label", "mlp_label", "nb_label")

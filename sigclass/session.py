@@ -92,15 +92,17 @@ _SHIPPED: set = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``sigclass`` importable in Python workers (the ``--py-files`` of a submit).
+    """Make ``sigclass`` importable in Python workers on a local master (tests, development).
 
     Zips the package once per application and adds it with ``addPyFile``;
-    Python UDFs (the Arrow scorers) import their helpers from it.
+    Python UDFs (the Arrow scorers) import their helpers from it. On a cluster
+    the package is shipped at submit time (``--py-files``), so nothing is done
+    and no machine-local folder is used.
     """
     import zipfile
 
     sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED or not _is_local(spark):
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     fd, zpath = tempfile.mkstemp(prefix="sigclass-", suffix=".zip")

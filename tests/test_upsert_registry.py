@@ -39,3 +39,18 @@ def test_current_per_user_newest_then_highest_id(spark):
     cur = {(r["userid"], r["model_type"]): r["calibrationid"]
            for r in registry.current_per_user(reg).collect()}
     assert cur == {("u1", "nb"): "2", ("u2", "nb"): "9", ("u3", "rf"): "5"}
+
+
+def test_versioned_table_and_compaction(spark):
+    """Appended versions are read as last-write-wins; compact() rewrites exactly that view."""
+    from sigclass.operators.upsert import append_version, compact
+    from sigclass.session import fresh_path
+    from sigclass.sources.tables import read_parquet
+    base = fresh_path(spark, "t-compact")
+    spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int").write.parquet(f"{base}/t")
+    append_version(spark.createDataFrame([("b", 20)], "k string, v int"), f"{base}/t", 5)
+    append_version(spark.createDataFrame([("b", 200), ("c", 3)], "k string, v int"), f"{base}/t", 7)
+    append_version(spark.createDataFrame([("b", 200), ("c", 3)], "k string, v int"), f"{base}/t", 7)  # re-run
+    compact(spark, f"{base}/t", "k", f"{base}/c")
+    got = {r["k"]: r["v"] for r in read_parquet(spark, f"{base}/c").collect()}
+    assert got == {"a": 1, "b": 200, "c": 3}

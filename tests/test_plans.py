@@ -53,3 +53,15 @@ def test_jvm_serving_has_no_python(spark):
     plan = _plan(out)
     assert "ArrowEvalPython" not in plan and "FlatMapCoGroupsInPandas" not in plan
     assert out.count() == fx.instruction_packets(spark, SF001).count()
+
+
+def test_packet_passes_pre_aggregate_and_never_window_packets(spark):
+    """The passes over packets combine map-side before the shuffle; windows see only summaries."""
+    from sigclass.operators import prepare as prep
+    fl = Flow(fx.calibrations(spark, SF001), fx.calibration_packets(spark, SF001))
+    for df in (prep.session_profile(fl.frame.where("valid")),
+               prep.fit_pass(fl.frame, fl.profile, broadcast=fl.small_sessions)):
+        plan = _plan(df)
+        assert "partial_" in plan          # map-side partial aggregation
+        assert "Window" not in plan        # no window over packets
+        assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan

@@ -66,7 +66,7 @@ def training_frame(calibrations: DataFrame, packets: DataFrame,
 
     Output: pk, calibrationid, userid, label, eeg, features (array<double>),
     valid (six finite channels and a label of the domain). ``features`` is the
-    stored parsed vector when the table has it, else parsed from ``eeg``. The
+    stored parsed vector where present, else parsed from ``eeg``. The
     session side has one narrow row per session and is broadcast when proven
     small.
     """
@@ -79,6 +79,8 @@ def training_frame(calibrations: DataFrame, packets: DataFrame,
                    broadcast)
     if "features" not in packets.columns:
         j = j.withColumn("features", channel_values("eeg"))
+    else:  # rows written without the parsed vector (older writers) fall back to the strings
+        j = j.withColumn("features", F.coalesce(F.col("features"), channel_values("eeg")))
     return j.withColumn("valid", vector_ok("features") & F.col("label").isin(*LABELS))
 
 

@@ -83,3 +83,19 @@ def test_training_frame_marks_invalid(spark):
                                "pk string, calibrationid string, userid string, label string, eeg array<string>")
     v = {r["pk"]: r["valid"] for r in prepare.training_frame(cal, pk).collect()}
     assert v == {"p1": True, "p2": False, "p3": False}
+
+
+def test_stored_table_without_vectors_is_parsed(spark):
+    """A packet table written with the strings only reads back with parsed vectors."""
+    from sigclass.session import fresh_path
+    from sigclass.sources import tables
+    base = fresh_path(spark, "t-legacy")
+    pk = spark.createDataFrame([("p1", TS, ["1", "2", "3", "4", "5", "6"], "Deep", "u", "s")],
+                               "pk string, date timestamp_ntz, eeg array<string>, label string, "
+                               "userid string, calibrationid string")
+    pk.write.parquet(f"{base}/pk")
+    cal = spark.createDataFrame([("s", "u", TS, TS, False)],
+                                "calibrationid string, userid string, startdate timestamp_ntz, "
+                                "enddate timestamp_ntz, modelsgenerated boolean")
+    fr = prepare.training_frame(cal, tables.read_packets(spark, f"{base}/pk")).collect()
+    assert fr[0]["valid"] and fr[0]["features"] == [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]

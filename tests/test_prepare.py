@@ -99,3 +99,17 @@ def test_stored_table_without_vectors_is_parsed(spark):
                                 "enddate timestamp_ntz, modelsgenerated boolean")
     fr = prepare.training_frame(cal, tables.read_packets(spark, f"{base}/pk")).collect()
     assert fr[0]["valid"] and fr[0]["features"] == [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]
+
+
+def test_random_split_forms(spark):
+    """R1 (seeded) and R2 (fresh seed): two disjoint sides that cover the input; seeded is repeatable."""
+    from sigclass.functions.split import random_split
+    df = spark.range(2000).withColumnRenamed("id", "pk").cache()
+    for seed in (1234, None):
+        tr, te = random_split(df, seed=seed)
+        assert tr.count() + te.count() == 2000
+        assert tr.join(te, "pk").count() == 0
+        assert 0.5 < tr.count() / 2000 < 0.7
+    a, _ = random_split(df, seed=1234)
+    b, _ = random_split(df, seed=1234)
+    assert a.exceptAll(b).count() == 0

@@ -102,3 +102,17 @@ def test_matrix_total_equals_test_rows(spark, flow):
     cm = metrics_mod.confusion_matrix(flow.pairs()).groupBy("calibrationid").agg(F.sum("n").alias("t"))
     test = flow.indexed.where("not is_train").groupBy("calibrationid").agg(F.count("*").alias("t"))
     assert cm.exceptAll(test).count() == 0 and test.exceptAll(cm).count() == 0
+
+
+def test_rf_predict_hand_built_tree():
+    """Continuous split x0 <= 1.5; then categorical split on x1 in {0, 2}; unseen code 3 goes right."""
+    def nd(i, left, right, feature=None, cats=None, ncat=-1, stats=None):
+        return {"tree": 0, "id": i, "stats": stats or [1.0, 1.0, 1.0], "left": left, "right": right,
+                "feature": feature, "cats": cats, "ncat": ncat}
+    nodes = [nd(0, 1, 2, feature=0, cats=[1.5]),
+             nd(1, -1, -1, stats=[5.0, 0.0, 0.0]),                       # leaf -> class 0
+             nd(2, 3, 4, feature=1, cats=[0.0, 2.0], ncat=3),
+             nd(3, -1, -1, stats=[0.0, 4.0, 1.0]),                       # leaf -> class 1
+             nd(4, -1, -1, stats=[0.0, 1.0, 3.0])]                       # leaf -> class 2
+    x = np.array([[1.0, 0.0], [2.0, 0.0], [2.0, 2.0], [2.0, 1.0], [2.0, 3.0]])
+    assert list(scorers.rf_predict(x, nodes, 3)) == [0.0, 1.0, 1.0, 2.0, 2.0]

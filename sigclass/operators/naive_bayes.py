@@ -2,7 +2,9 @@
 
 Fit is one ``groupBy(calibrationid, label_idx)`` with a count and one sum per
 channel — a hash aggregate with a map-side partial step, so a session of any
-size is spread over all tasks. With smoothing λ, K labels seen in the
+size is spread over all tasks. ``fit`` runs that aggregate over indexed rows;
+``from_statistics`` takes the same per-class statistics when they come from
+elsewhere (the training flow gets them from its single fit pass). With smoothing λ, K labels seen in the
 session's training rows, N training rows and D channels:
 
     pi_k      = ln(n_k + λ) − ln(N + λK)

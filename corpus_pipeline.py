@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigclass.llm import exact_dedup, mixing, packing, quality_rules
+from sigclass.llm import exact_dedup, hyperminhash, mixing, packing, quality_rules
 from sigclass.llm.common import table
 from sigclass.session import materialize
 
@@ -23,6 +23,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_first_of_equal(docs, exact_dedup.new_index(spark))
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-deduplication: of each group of near copies the row with its smallest doc_id."""
+    return hyperminhash.keep_one(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing sources to target weights: a row for each epoch that takes words of a document."""
     return mixing.mixed_rows(docs, mixing.plan_mix(mixing.sized(docs)))
@@ -33,7 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_along_curve(docs)
 
 
-STAGES = [("quality rules", quality), ("exact dedup", exact),
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near),
           ("mixing", mix), ("packing", pack)]
 
 #: The stages need a fitted model, similarity and a tokenizer: no SQL. tests/llm holds the rows

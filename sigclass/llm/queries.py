@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigclass.llm import exact_dedup, mixing, packing, quality_rules, token_orc, warc
+from sigclass.llm import exact_dedup, hyperminhash, mixing, packing, quality_rules, token_orc, warc
 from sigclass.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op2_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_hyperminhash(spark, sf_dir):
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.decisions(table(spark, sf_dir, "documents"), exact_dedup.new_index(spark))
 
@@ -33,7 +38,7 @@ def op10_warc(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_source_mix, op2_quality_rules, op6_exact_dedup, op8_curve_packing, op9_token_orc, op10_warc)}
+    op1_source_mix, op2_quality_rules, op3_hyperminhash, op6_exact_dedup, op8_curve_packing, op9_token_orc, op10_warc)}
 
 SQL = {
     "op6_exact_dedup": """

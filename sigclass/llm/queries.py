@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from sigclass.llm import exact_dedup, hyperminhash, mixing, packing, quality_rules, token_orc, warc
+from pyspark.sql import functions as F
+
+from sigclass.llm import (
+    backoff_lm, exact_dedup, hyperminhash, mixing, packing, pii, quality_rules, site_quality, token_orc, warc)
 from sigclass.llm.common import table
 
 
@@ -21,10 +24,24 @@ def op3_hyperminhash(spark, sf_dir):
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_site_quality(spark, sf_dir):
+    """Documents have no URL: their source stands for the host, their language for the path."""
+    return site_quality.posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                                   F.col("source"), F.col("lang"))
+
+
+def op5_weak_pii(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.decisions(table(spark, sf_dir, "documents"), exact_dedup.new_index(spark))
 
 
+def op7_backoff_lm(spark, sf_dir):
+    return backoff_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_curve_packing(spark, sf_dir):
     return packing.pack_along_curve(table(spark, sf_dir, "documents"))
 
@@ -38,7 +55,8 @@ def op10_warc(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_source_mix, op2_quality_rules, op3_hyperminhash, op6_exact_dedup, op8_curve_packing, op9_token_orc, op10_warc)}
+    op1_source_mix, op2_quality_rules, op3_hyperminhash, op4_site_quality, op5_weak_pii, op6_exact_dedup, op7_backoff_lm,
+    op8_curve_packing, op9_token_orc, op10_warc)}
 
 SQL = {
     "op6_exact_dedup": """

@@ -54,6 +54,8 @@ LARGE_BUCKET = 16
 COLLISION = 0.169919487159739
 #: Below the threshold by this much, an estimate of 260 registers is over five deviations off.
 MARGIN = 0.15
+#: Pairs with a set below this are not estimated.
+SMALL_SET = 40
 
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _STEP = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
@@ -203,8 +205,11 @@ class _Linker:
                                              F.col("registers").alias(f"r{x}"))
         sized = pairs.join(side("a"), "a").join(side("b"), "b").where(
             100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-        likely = materialize(sized.select("a", "b", "ra", "rb").mapInArrow(
-            _estimated(PERCENT / 100 - MARGIN), "a long, b long"), "likely")
+        # of very small sets a few that share a bucket move the estimate: they are confirmed at once
+        small = F.least("na", "nb") < SMALL_SET
+        likely = sized.where(~small).select("a", "b", "ra", "rb").mapInArrow(
+            _estimated(PERCENT / 100 - MARGIN), "a long, b long")
+        likely = materialize(likely.unionByName(sized.where(small).select("a", "b")), "likely")
         texts = self.texts(likely)
         both = (likely.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
                 .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"))

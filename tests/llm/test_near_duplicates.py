@@ -1,0 +1,141 @@
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from sigclass.llm import components as C
+from sigclass.llm import hyperminhash as H
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def shingles(t):
+    w = WORDS.findall((t or "").translate(LOWER))
+    return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def brute(rows):
+    """doc_id -> (set size, component id) by all pairs."""
+    sets = [(r[0], shingles(r[1])) for r in rows]
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for i, (_, a) in enumerate(sets):
+        for j in range(i):
+            b = sets[j][1]
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                parent[root(i)] = root(j)
+    least = defaultdict(list)
+    for i, (d, _) in enumerate(sets):
+        if d is not None:
+            least[root(i)].append(d)
+    out = []
+    for i, (d, s) in enumerate(sets):
+        c = min(least[root(i)], default=None) if s else d
+        out.append((d, len(s), c, d == c))
+    return sorted(out, key=str)
+
+
+def run(df):
+    rows = H.near_duplicates(df).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    return sorted(map(tuple, rows), key=str)
+
+
+def family(rng, words, n, edits):
+    """n variants of a text, each with some words replaced."""
+    for _ in range(n):
+        w = list(words)
+        for _ in range(rng.randint(0, edits)):
+            w[rng.randrange(len(w))] = f"q{rng.randint(0, 9999)}"
+        yield " ".join(w)
+
+
+def test_against_all_pairs(docs_of):
+    rng = random.Random(4)
+    texts = []
+    for k in range(12):  # short ones, where a word or two decides
+        base = [f"a{rng.randint(0, 60)}" for _ in range(rng.randint(3, 30))]
+        texts += list(family(rng, base, 8, 2))
+    passage = [f"p{i}" for i in range(60)]
+    for k in range(80):  # one passage in many texts: large buckets without links
+        own = [f"o{rng.randint(0, 10**6)}" for _ in range(rng.randint(5, 60))]
+        texts.append(" ".join(own[:2] + passage + own[2:]))
+    base = [f"b{rng.randint(0, 10**6)}" for _ in range(150)]
+    texts += list(family(rng, base, 60, 5))  # a large group, members often below the threshold with each other
+    texts += [texts[0], texts[0].upper(), "", None, "one", "ONE", "two words"]
+    rng.shuffle(texts)
+    rows = [(i * 3, t) for i, t in enumerate(texts)]
+    assert run(docs_of(rows)) == brute(rows)
+
+
+def test_crowded_buckets_take_the_second_bands(docs_of, monkeypatch):
+    monkeypatch.setattr(H, "LARGE_BUCKET", 3)
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(70)]
+    texts = [" ".join([f"o{rng.randint(0, 10**6)}" for _ in range(rng.randint(8, 25))] + passage) for _ in range(60)]
+    texts += [t + " tail" for t in texts[:20]]
+    rows = list(enumerate(texts))
+    assert run(docs_of(rows)) == brute(rows)
+
+
+def test_odd_rows_and_clashing_columns(docs_of, odd_rows):
+    d = docs_of(odd_rows).withColumns({"node": F.lit(1), "text_hash": F.lit("x"), "comp": F.lit(0), "kept": F.lit(None).cast("int")})
+    assert run(d) == brute(odd_rows)
+    kept = H.keep_one(d)
+    assert kept.columns == d.columns
+    left = kept.collect()
+    comps = [shingles(r.text) for r in left if shingles(r.text)]
+    assert len(comps) == len(set(comps))
+    assert sum(1 for r in left if not shingles(r.text)) == sum(1 for x in odd_rows if not shingles(x[1]))
+
+
+def test_empty_table(docs_of):
+    assert run(docs_of([])) == []
+    assert H.keep_one(docs_of([])).collect() == []
+
+
+def test_keep_one_leaves_one_row_of_each_group(docs_of):
+    rng = random.Random(2)
+    rows = [(i, t) for i, t in enumerate(t for k in range(20) for t in family(rng, [f"w{k}_{j}" for j in range(80)], 6, 1))]
+    rows += rows[:5]  # repeated rows
+    want = sorted({c for _, _, c, _ in brute(rows)})
+    assert sorted(r.doc_id for r in H.keep_one(docs_of(rows)).collect()) == want
+
+
+def test_registers_estimate_jaccard():
+    rng = np.random.RandomState(0)
+    sketch = H.Sketcher()
+    for n in (H.SMALL_SET, 100, 3000):
+        for share in (0.5, 0.75, 0.9):
+            errors = []
+            for _ in range(30):
+                both = rng.randint(0, 2**63, int(n * share) + 1).astype(np.uint64)
+                own = [rng.randint(0, 2**63, max((n - len(both)) // 2, 0)).astype(np.uint64) for _ in range(2)]
+                a, b = (np.unique(np.concatenate([both, o])) for o in own)
+                true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+                errors.append((sketch(a) == sketch(b)).mean() - true)
+            assert abs(np.mean(errors)) < 0.03 and np.abs(errors).max() < H.MARGIN
+
+
+def test_components_against_union_find(spark):
+    rng = random.Random(7)
+    edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)]
+    edges += [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000 + i) for i in range(1, 300)]
+    got = {r.node: r.comp for r in C.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: root(x) for x in linked}

@@ -1,0 +1,145 @@
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sigclass.llm import quality_rules as Q
+from sigclass.llm import site_quality as S
+from sigclass.llm.common import table
+
+SF = "/root/testdata/sf0.1"  # some thousand labels
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute(t):
+    t = t or ""
+    ws = WORDS.findall(t)
+    windows = Counter(zip(ws, ws[1:], ws[2:]))
+    covered = {j for i in range(len(ws) - 2) if windows[tuple(ws[i:i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if WORDS.search(line):
+            dup += line in seen
+            seen.add(line)
+    return len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered)
+
+
+def test_counts_against_brute_force():
+    rng = random.Random(1)
+    texts = ["", None, " ", "a b a b a b", "x\n\nx\n x\nx ", "a a a", "a a a a", "é\x1cö 漢 字\x0b😀 | <b> 漢 字"]
+    texts += [" ".join(rng.choice("ab c# d\n e".split(" ")) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    for t in texts:
+        assert Q.text_counts(t.encode() if t is not None else None)[:5] == brute(t), repr(t)
+
+
+def test_many_distinct_words():
+    words = [f"w{i}" for i in range(3000)] * 2
+    assert Q._repeated([w.encode() for w in words]) == brute(" ".join(words))[4]
+
+
+def test_trees_are_monotone_and_flat_arrays_agree_with_a_walk():
+    rng = np.random.RandomState(0)
+    x = rng.rand(2000, 3)
+    y = ((x[:, 0] + 0.3 * np.sin(8 * x[:, 1]) + 0.2 * rng.randn(2000)) > 0.6).astype(float)
+    m = Q.fit_trees(x, y, [1, 0, -1], trees=20)
+    grid = np.repeat(rng.rand(50, 1, 3), 40, 1)
+    for j, c in ((0, 1), (2, -1)):
+        g = grid.copy()
+        g[:, :, j] = np.linspace(0, 1, 40)
+        steps = np.diff(m.log_odds(g.reshape(-1, 3)).reshape(50, 40), axis=1)
+        assert (c * steps >= -1e-9).all()
+
+    def walk(row):
+        total = m.base
+        for at in m.roots:
+            while m.feature[at] >= 0:
+                at = m.left[at] if row[m.feature[at]] <= m.threshold[at] else m.right[at]
+            total += m.value[at]
+        return total
+    assert np.allclose(m.log_odds(x[:50]), [walk(r) for r in x[:50]])
+    assert (((m.log_odds(x) > 0) == (y > 0)).mean()) > 0.85
+
+
+def held_out(spark, accuracy):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    part = F.xxhash64(F.lit("fold"), "doc_id") % 2 == 0
+    got = {r.doc_id: r.kept for r in accuracy(docs, labels.where(part)).collect()}
+    rest = labels.where(~part).collect()
+    right = [got[r.doc_id] == (r.quality == 1) for r in rest if got[r.doc_id] is not None]
+    good = [got[r.doc_id] for r in rest if r.quality == 1]
+    return sum(right) / len(right), sum(good) / len(good)
+
+
+def test_tree_verdicts_on_held_out_labels(spark):
+    def run(docs, labels):
+        return Q.decisions(docs, labels).where("not base_failed")
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    part = F.xxhash64(F.lit("fold"), "doc_id") % 2 == 0
+    got = {r.doc_id: r.kept for r in run(docs, labels.where(part)).collect()}
+    rest = [r for r in labels.where(~part).collect() if r.doc_id in got]
+    assert np.mean([got[r.doc_id] == (r.quality == 1) for r in rest]) > 0.95
+    assert np.mean([got[r.doc_id] for r in rest if r.quality == 1]) > 0.97
+
+
+def test_site_posteriors_on_held_out_labels(spark):
+    right, kept_good = held_out(spark, lambda d, l: S.posteriors(d, l, F.col("source"), F.col("lang")))
+    assert right > 0.95 and kept_good > 0.97
+
+
+def test_odd_rows(spark, docs_of, odd_rows, labels_of):
+    labels = labels_of([(1, 0, 0), (5, 1, 0), (8, 1, 0), (None, 1, 0), (99, 0, 0), (5, None, 1)])
+    d = docs_of(odd_rows).withColumns({"n_words": F.lit("x"), "quality": F.lit("y"), "host": F.lit("z")})
+    got = Q.decisions(d, labels).collect()
+    assert len(got) == len(odd_rows)
+    for r in got:
+        if r.doc_id is not None and r.doc_id != 7:
+            t = next(x[1] for x in odd_rows if x[0] == r.doc_id)
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(t)
+            assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+            assert not (r.kept and r.base_failed)
+    kept = Q.keep_good(d, labels)
+    assert kept.columns == d.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in got if r.kept)
+    sites = S.posteriors(d, labels, F.col("source"), F.col("lang")).collect()
+    assert len(sites) == len(odd_rows) and all(0 < r.probability < 1 for r in sites)
+
+
+def test_empty_tables_and_no_labels(docs_of, labels_of):
+    none = labels_of([])
+    assert Q.decisions(docs_of([]), none).collect() == []
+    assert S.posteriors(docs_of([]), none, F.col("source"), F.col("lang")).collect() == []
+    good = " ".join(f"w{i}" for i in range(60))
+    assert [r.kept for r in Q.decisions(docs_of([(1, good), (2, "short")]), none).orderBy("doc_id").collect()] == [True, False]
+
+
+def test_posteriors_against_a_plain_version(spark, docs_of, labels_of):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["ab", "cd!!", "E###", "fgh."]) + str(rng.randint(0, 99)) for _ in range(rng.randint(5, 90))),
+             f"h{i % 7}", "p" if i % 3 else None) for i in range(200)]
+    labels = labels_of([(i, int(r[1].count("#") * 4 < len(r[1].split())), 0) for i, r in enumerate(rows)])
+    d = docs_of(rows)
+    model = S.fit_evidence(d, labels)
+    ev = dict(zip([r[0] for r in rows], model([r[1].encode() for r in rows])))
+    p = {i: round(1 / (1 + np.exp(-(e + model.prior))), 9) for i, e in ev.items()}
+    scored = S._evidence(d, model, F.col("source"), F.col("lang"))
+    _, levels = S.shrunk_sites(scored, model.prior)
+    got = {r.doc_id: r for r in S.posteriors(d, labels, F.col("source"), F.col("lang")).collect()}
+    k, m = levels["host"], levels["path"]
+    for i, _, h, q in rows:
+        host = [p[j] for j, _, a, _ in rows if a == h and j != i]
+        path = [p[j] for j, _, a, b in rows if a == h and b == q and j != i]
+        hr = (sum(host) + k * levels["rate"]) / (len(host) + k)
+        pr = (sum(path) + m * hr) / (len(path) + m)
+        assert got[i].host_rate == pytest.approx(hr, abs=1e-6) and got[i].path_rate == pytest.approx(pr, abs=1e-6)
+        odds = ev[i] + np.log(pr / (1 - pr))
+        assert got[i].probability == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-6)
+
+
+def test_url_parts(spark):
+    r = spark.createDataFrame([("HTTP://u@Www.A.org:80/x/y?q",), ("https://b.com",), (None,)], "url string").select(
+        S.url_host(F.col("url")).alias("h"), S.url_path(F.col("url")).alias("p")).collect()
+    assert [tuple(x) for x in r] == [("www.a.org", "x"), ("b.com", ""), (None, None)]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sigclass.schemas import LABELLED_MESSAGE, LABELS, N_CHANNELS, UNLABELLED_MESSAGE
 
+NOT_FINITE = "channel value is not a finite number"
 _JSON_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
 
@@ -26,9 +27,11 @@ def channel_values(eeg: Column | str = "eeg") -> Column:
 def vector_ok(values: Column | str = "features", width: int = N_CHANNELS) -> Column:
     """True when the vector has ``width`` finite numbers."""
     v = F.col(values) if isinstance(values, str) else values
-    return (v.isNotNull() & (F.size(v) == width)
-            & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x)
-                       & (F.abs(x) != F.lit(float("inf")))))
+    ok = v.isNotNull() & (F.size(v) == width)
+    for j in range(width):  # unrolled: the width is fixed, and lambdas are interpreted
+        x = F.get(v, F.lit(j))
+        ok = ok & x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    return F.coalesce(ok, F.lit(False))
 
 
 def vector_reason(values: Column | str = "features", width: int = N_CHANNELS) -> Column:
@@ -36,7 +39,15 @@ def vector_reason(values: Column | str = "features", width: int = N_CHANNELS) ->
     v = F.col(values) if isinstance(values, str) else values
     return (F.when(v.isNull(), F.lit("missing DataPacketValue"))
             .when(F.size(v) != width, F.lit("channel count is not %d" % width))
-            .when(~vector_ok(v, width), F.lit("channel value is not a finite number")))
+            .when(~vector_ok(v, width), F.lit(NOT_FINITE)))
+
+
+def packet_reason(features: Column | str = "features", label: Column | str = "label") -> Column:
+    """Why a labelled packet cannot be used (NULL when it can)."""
+    label = F.col(label) if isinstance(label, str) else label
+    reason = vector_reason(features)
+    return (F.when(reason.isNotNull(), reason).when(label.isNull(), F.lit("missing Label"))
+            .when(~label.isin(*LABELS), F.lit("unknown Label")))
 
 
 def with_features(df: DataFrame, eeg: str = "eeg", out: str = "features") -> DataFrame:
@@ -64,10 +75,8 @@ def parse_labelled(df: DataFrame, value: str = "value") -> DataFrame:
     ).drop("_m")
     p = with_features(p)
     reason = (F.when(F.col("_corrupt").isNotNull(), F.lit("malformed json"))
-              .otherwise(vector_reason("features")))
+              .otherwise(packet_reason("features", "label")))
     reason = (F.when(reason.isNotNull(), reason)
-              .when(F.col("label").isNull(), F.lit("missing Label"))
-              .when(~F.col("label").isin(*LABELS), F.lit("unknown Label"))
               .when(F.col("userid").isNull(), F.lit("missing userId"))
               .when(F.col("calibrationid").isNull(), F.lit("missing calibrationId")))
     return p.withColumn("reason", reason).drop("_corrupt")

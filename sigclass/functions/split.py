@@ -3,12 +3,13 @@
 The default split is a pure function of the packet key: bucket = first 32
 bits of md5(pk) mod 100, train when bucket < 60. It does not depend on
 partitioning, so it is stable across retries, executor loss and engines.
-``random_split`` keeps the seeded ``randomSplit`` form for callers that
-want MLlib's behaviour (partition-dependent).
+``random_split`` is the seeded form: a hash of the key and the seed.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,17 +25,12 @@ def is_train(pk: Column | str = "pk", train_percent: int = TRAIN_PERCENT) -> Col
     return hash_bucket(pk) < train_percent
 
 
-def with_split(df: DataFrame, pk: str = "pk", train_percent: int = TRAIN_PERCENT) -> DataFrame:
-    return df.withColumn("is_train", is_train(pk, train_percent))
-
-
-def random_split(df: DataFrame, seed: int | None = SPLIT_SEED,
-                 train_fraction: float = TRAIN_PERCENT / 100.0) -> tuple[DataFrame, DataFrame]:
-    """``randomSplit`` 60/40, seeded, or with a fresh seed when ``seed`` is None.
+def random_split(df: DataFrame, seed: int | None = SPLIT_SEED, train_percent: int = TRAIN_PERCENT,
+                 pk: str = "pk") -> DataFrame:
+    """Add ``is_train``, seeded, or with a fresh seed when ``seed`` is None.
 
-    Results depend on the input partitioning (as in MLlib); callers compared
-    against another engine use ``with_split`` instead.
+    Each key's side follows from the key and the seed alone, so every row is on
+    exactly one side however the input is partitioned or re-evaluated.
     """
-    weights = [train_fraction, 1.0 - train_fraction]
-    parts = df.randomSplit(weights, seed) if seed is not None else df.randomSplit(weights)
-    return parts[0], parts[1]
+    seed = secrets.randbits(31) if seed is None else seed
+    return df.withColumn("is_train", is_train(F.concat_ws(":", F.lit(str(seed)), F.col(pk)), train_percent))

@@ -1,10 +1,9 @@
-"""Join helpers: broadcast only behind a row-count check.
+"""Join helpers: broadcast only behind a size check.
 
-A side is broadcast only when a bounded probe (``limit(max_rows + 1).count()``)
-proves it has at most ``max_rows`` rows; the callers pass narrow sides (a few
-scalar columns or a bounded struct per key), so the row bound is a size
-bound. Otherwise the plan falls back to a shuffle join and leaves skew to
-AQE's skew-join handling.
+A side is broadcast only when a bounded probe proves that it has at most
+``max_rows`` rows and at most ``MAX_BROADCAST_BYTES`` in all, as measured on its
+values (texts, arrays and maps included). Otherwise the plan falls back to a shuffle
+join and leaves skew to AQE's skew-join handling.
 """
 
 from __future__ import annotations
@@ -12,17 +11,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# About 60-200 bytes per row on the narrow sides used here -> <= ~40 MB.
 DEFAULT_MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+def small_enough(df: DataFrame, max_rows: int) -> bool:
+    """A bounded probe: few enough rows, and few enough bytes of them (as JSON, which is
+    longer than the rows themselves)."""
+    probe = df.limit(max_rows + 1).agg(
+        F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()
+    return probe[0] <= max_rows and (probe[1] or 0) <= MAX_BROADCAST_BYTES
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """``broadcast(df)`` if the probe proves it small, else ``df`` unchanged."""
-    if max_rows > 0 and row_count_at_most(df, max_rows):
+    if max_rows > 0 and small_enough(df, max_rows):
         return F.broadcast(df)
     return df
 

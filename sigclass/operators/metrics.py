@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigclass.schemas import CLASS_METRICS, WEIGHTED_METRICS
+
 DEFAULT_KEYS = ("calibrationid", "model")
 
 
@@ -113,10 +115,9 @@ def report(pairs: DataFrame, keys=DEFAULT_KEYS, trained_at=None) -> DataFrame:
     w = weighted_metrics(pairs, keys, per_class)
     cls = per_class.select(*keys, "class", F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
-        for m in ("precision", "recall", "f1", "fpr", "tpr")])).alias("mv"))
+        for m in CLASS_METRICS])).alias("mv"))
     cls = cls.select(*keys, F.col("mv.metric").alias("metric"), "class", F.col("mv.value").alias("value"))
-    names = ["accuracy", "weighted_precision", "weighted_recall", "weighted_f1",
-             "weighted_fpr", "weighted_tpr"]
+    names = ["accuracy", *WEIGHTED_METRICS]
     ov = w.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in names]))
         .alias("mv"))
@@ -127,27 +128,3 @@ def report(pairs: DataFrame, keys=DEFAULT_KEYS, trained_at=None) -> DataFrame:
         out = out.withColumn("trained_at", trained_at)
     return out
 
-
-def render_text(matrix_rows, class_rows, overall: dict, model: str, labels: list[str]) -> str:
-    """Render one group's numbers in the layout of the text report (one small group).
-
-    The legend names classes by the session's fitted label order ``labels``.
-    """
-    classes = sorted({r["actual"] for r in matrix_rows})
-    cell = {(r["actual"], r["predicted"]): r["n"] for r in matrix_rows}
-    lines = ["----------------", f"Model: {model}", "----------------"]
-    lines += [f"{name}: {float(i)}" for i, name in enumerate(labels)]
-    lines += ["", "Confusion matrix: "]
-    for a in classes:
-        lines.append("  ".join(f"{float(cell.get((a, p), 0))}" for p in classes) + "  ")
-    lines.append(f"Accuracy = {overall['accuracy']}")
-    names = {"precision": "precision", "recall": "recall", "f1": "F1 score",
-             "fpr": "False Positive Rate", "tpr": "True Positive Rate"}
-    for r in sorted(class_rows, key=lambda r: r["class"]):
-        for m, label in names.items():
-            lines.append(f"Class {float(r['class'])} {label} = {r[m]}")
-    for m, label in (("weighted_precision", "Weighted precision"), ("weighted_recall", "Weighted recall"),
-                     ("weighted_f1", "Weighted F1 score"), ("weighted_fpr", "Weighted false positive rate"),
-                     ("weighted_tpr", "Weighted true positive rate")):
-        lines.append(f"{label} = {overall[m]}")
-    return "\n".join(lines) + "\n"

@@ -16,8 +16,8 @@ negative, NaN or infinite feature makes the session's fit fail (MLlib
 rejects such input); failed sessions get no model.
 
 Scoring joins each packet to its session's model row (≤ K classes, one
-narrow row per session) and evaluates the scores with higher-order
-functions — no Python, no shuffle beyond the join.
+narrow row per session) and evaluates the scores in compiled column
+expressions — no Python, no shuffle beyond the join.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigclass.operators.joins import join_small
-from sigclass.schemas import N_CHANNELS, NB_SMOOTHING
+from sigclass.schemas import LABELS, N_CHANNELS, NB_SMOOTHING
 
 
 def fit(train: DataFrame, n_channels: int = N_CHANNELS, smoothing: float = NB_SMOOTHING,
@@ -66,17 +66,23 @@ def models(params: DataFrame, key: str = "calibrationid", label: str = "label_id
         .alias("classes"))
 
 
-def predict(features, classes):
-    """Column: argmax_k (Σ_j theta_kj x_j + pi_k); ties go to the lowest class index."""
+def predict(features, classes, n_classes: int = len(LABELS), n_channels: int = N_CHANNELS):
+    """Column: argmax_k (Σ_j theta_kj x_j + pi_k); ties go to the lowest class index.
+
+    Unrolled over channels and classes (both fixed), so that it is compiled; ``classes`` is
+    in ascending order of label_idx and may have fewer classes."""
     f = F.col(features) if isinstance(features, str) else features
     c = F.col(classes) if isinstance(classes, str) else classes
 
     def score(k):
-        dot = F.aggregate(F.zip_with(k["theta"], f, lambda t, x: t * x), F.lit(0.0),
-                          lambda a, b: a + b)
-        return F.struct((dot + k["pi"]).alias("score"), (-k["label_idx"]).alias("neg_idx"))
-    best = F.array_max(F.transform(c, score))
-    return -best["neg_idx"]
+        dot = F.lit(0.0)
+        for j in range(n_channels):
+            dot = dot + F.get(k["theta"], F.lit(j)) * F.get(f, F.lit(j))
+        return dot + k["pi"]
+
+    scores = F.array(*[score(F.get(c, F.lit(i))) for i in range(n_classes)])
+    place = F.array_position(scores, F.array_max(scores))  # the first on ties; a missing class is NULL
+    return F.get(c, (place - 1).cast("int"))["label_idx"]
 
 
 def score(rows: DataFrame, nb_models: DataFrame, key: str = "calibrationid",

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigclass.functions.labels import encode
-from sigclass.functions.packets import channel_values, vector_ok
+from sigclass.functions.packets import NOT_FINITE, channel_values, packet_reason
 from sigclass.functions.split import is_train
 from sigclass.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_small
 from sigclass.schemas import LABELS, MAX_CATEGORIES, N_CHANNELS, TRAIN_PERCENT
@@ -64,24 +64,25 @@ def training_frame(calibrations: DataFrame, packets: DataFrame,
                    broadcast: bool | None = None) -> DataFrame:
     """J1 + P3: packets of eligible sessions with their channel vector.
 
-    Output: pk, calibrationid, userid, label, eeg, features (array<double>),
-    valid (six finite channels and a label of the domain). ``features`` is the
-    stored parsed vector where present, else parsed from ``eeg``. The
-    session side has one narrow row per session and is broadcast when proven
-    small.
+    Output: pk, calibrationid, userid, label, features (array<double>), reason
+    (why the packet cannot be used; NULL if it can) and valid. Of a table with
+    the stored parsed vector only that is read (``tables.compact_packets``
+    adds it to older rows); otherwise ``eeg`` is parsed. The session side has
+    one narrow row per session and is broadcast when proven small.
     """
     sessions = calibrations if calibrations.columns == ["calibrationid"] else \
         eligible_calibrations(calibrations).select("calibrationid")
-    cols = ["pk", "calibrationid", "userid", "label", "eeg"]
-    if "features" in packets.columns:
-        cols.append("features")
+    cols = ["pk", "calibrationid", "userid", "label", "features" if "features" in packets.columns else "eeg"]
     j = join_small(packets.select(*cols), sessions, "calibrationid", "inner", max_broadcast_rows,
                    broadcast)
     if "features" not in packets.columns:
-        j = j.withColumn("features", channel_values("eeg"))
-    else:  # rows written without the parsed vector (older writers) fall back to the strings
-        j = j.withColumn("features", F.coalesce(F.col("features"), channel_values("eeg")))
-    return j.withColumn("valid", vector_ok("features") & F.col("label").isin(*LABELS))
+        j = j.withColumn("features", channel_values("eeg")).drop("eeg")
+    return j.withColumn("reason", packet_reason()).withColumn("valid", F.col("reason").isNull())
+
+
+def invalid_packets(frame: DataFrame) -> DataFrame:
+    """Packets of each session that cannot be used: calibrationid, reason, n."""
+    return frame.where(~F.col("valid")).groupBy("calibrationid", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ------------------------------------------------------------ session profile
@@ -91,21 +92,27 @@ def session_profile(frame: DataFrame, n_channels: int = N_CHANNELS,
     """One pass over the packets: per session, label counts and an HLL estimate per channel.
 
     Output: calibrationid, label_counts array<struct<label, n>> (labels with
-    n > 0), approx_distinct array<long> (one per channel). ``approx_count_distinct``
+    n > 0), approx_distinct array<long> (one per channel), n_invalid and
+    n_not_finite (packets left out, and those of them with a value that is not
+    finite). Only valid packets enter the first two. ``approx_count_distinct``
     is HyperLogLog++; at low cardinality it uses linear counting, whose estimate
     for k <= MAX_CATEGORIES distinct values is at most m·ln(m/(m-k)) < k + 0.5,
     so an estimate above MAX_CATEGORIES proves a channel continuous. -0.0 is
     folded into 0.0 first (x + 0.0) so both count as one value, as in grouping.
     """
     f = F.col(features)
-    aggs = [F.count_if(F.col("label") == F.lit(lab)).alias(f"_l{i}") for i, lab in enumerate(LABELS)]
-    aggs += [F.approx_count_distinct(F.element_at(f, j + 1) + F.lit(0.0)).alias(f"_d{j}")
+    valid = F.col("valid") if "valid" in frame.columns else F.lit(True)
+    reason = F.col("reason") if "reason" in frame.columns else F.lit(None).cast("string")
+    aggs = [F.count_if(valid & (F.col("label") == F.lit(lab))).alias(f"_l{i}") for i, lab in enumerate(LABELS)]
+    aggs += [F.approx_count_distinct(F.when(valid, F.get(f, F.lit(j)) + F.lit(0.0))).alias(f"_d{j}")
              for j in range(n_channels)]
+    aggs += [F.count_if(~valid).alias("n_invalid"), F.count_if(reason == NOT_FINITE).alias("n_not_finite")]
     g = frame.groupBy("calibrationid").agg(*aggs)
     counts = F.filter(F.array(*[F.struct(F.lit(lab).alias("label"), F.col(f"_l{i}").alias("n"))
                                 for i, lab in enumerate(LABELS)]), lambda e: e["n"] > 0)
     return g.select("calibrationid", counts.alias("label_counts"),
-                    F.array(*[F.col(f"_d{j}") for j in range(n_channels)]).alias("approx_distinct"))
+                    F.array(*[F.col(f"_d{j}") for j in range(n_channels)]).alias("approx_distinct"),
+                    "n_invalid", "n_not_finite")
 
 
 # ---------------------------------------------------------------- label index
@@ -188,16 +195,19 @@ def category_maps(channel_index: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("channel", "m"))).alias("cat_maps"))
 
 
-def apply_categories(features: Column | str = "features", cat_maps: Column | str = "cat_maps") -> Column:
-    """Re-code categorical channels; an unseen category gets code k (handleInvalid=keep)."""
+def apply_categories(features: Column | str = "features", cat_maps: Column | str = "cat_maps",
+                     n_channels: int = N_CHANNELS) -> Column:
+    """Re-code categorical channels; an unseen category gets code k (handleInvalid=keep).
+
+    Unrolled over the channels, so that it is compiled; lambdas would be interpreted."""
     f = F.col(features) if isinstance(features, str) else features
     m = F.col(cat_maps) if isinstance(cat_maps, str) else cat_maps
 
-    def one(x, j):
-        cm = m[j.cast("int")]
+    def one(j):
+        x, cm = F.get(f, F.lit(j)), F.try_element_at(m, F.lit(j))
         return F.when(cm.isNull(), x).otherwise(
-            F.coalesce(cm[x], F.size(cm).cast("double")))
-    return F.transform(f, one)
+            F.coalesce(F.try_element_at(cm, x), F.size(cm).cast("double")))
+    return F.when(f.isNotNull(), F.array(*[one(j) for j in range(n_channels)]))
 
 
 # ------------------------------------------------------------- indexed rows
@@ -209,7 +219,7 @@ def indexed_frame(frame: DataFrame, spec: DataFrame, train_percent: int = TRAIN_
     j = join_small(frame.where("valid"), spec, "calibrationid", "inner", max_broadcast_rows,
                    broadcast)
     return j.select(
-        "pk", "calibrationid", "userid", "label", "eeg", "features", "labels",
+        "pk", "calibrationid", "userid", "label", "features", "labels",
         encode("label", "labels").alias("label_idx"),
         apply_categories("features", "cat_maps").alias("features_idx"),
         is_train("pk", train_percent).alias("is_train"),

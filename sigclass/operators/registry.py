@@ -4,19 +4,36 @@ Replaces an in-memory map of JVM model objects (which executors cannot see)
 with a table that scoring joins to (S7, M10, J4). Rows carry everything
 scoring needs: the session's fitted label order and category maps, and the
 model parameters (naive Bayes classes; perceptron layers/weights; forest
-nodes) or a path to them.
+arrays), and the path of the saved model.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sigclass.operators.scorers import FOREST
 
-def model_path(base: str, calibrationid, userid, model_type) -> F.Column:
-    """{base}/{calibrationid}-{userid}/model-{type}."""
-    return F.concat(F.lit(base.rstrip("/") + "/"), calibrationid, F.lit("-"), userid,
-                    F.lit("/model-"), model_type)
+NB_CLASSES = T.ArrayType(T.StructType([
+    T.StructField("label_idx", T.DoubleType()), T.StructField("pi", T.DoubleType()),
+    T.StructField("theta", T.ArrayType(T.DoubleType()))]))
+
+REGISTRY = T.StructType([
+    T.StructField("userid", T.StringType()), T.StructField("calibrationid", T.StringType()),
+    T.StructField("enddate", T.TimestampNTZType()), T.StructField("model_type", T.StringType()),
+    T.StructField("trained_at", T.TimestampType()), T.StructField("labels", T.ArrayType(T.StringType())),
+    T.StructField("cat_maps", T.MapType(T.IntegerType(), T.MapType(T.DoubleType(), T.DoubleType()))),
+    T.StructField("classes", NB_CLASSES), T.StructField("mlp_layers", T.ArrayType(T.IntegerType())),
+    T.StructField("mlp_weights", T.ArrayType(T.DoubleType())), T.StructField("rf", FOREST),
+    T.StructField("model_path", T.StringType()),
+])
+
+
+def session_key(calibrationid: Column | str = "calibrationid", userid: Column | str = "userid") -> Column:
+    """A folder name for a session: unique, whatever characters its ids have."""
+    return F.sha2(F.to_json(F.struct(F.col(calibrationid).alias("c") if isinstance(calibrationid, str) else calibrationid,
+                                     F.col(userid).alias("u") if isinstance(userid, str) else userid)), 256)
 
 
 def with_session(models: DataFrame, calibrations: DataFrame) -> DataFrame:
@@ -26,9 +43,14 @@ def with_session(models: DataFrame, calibrations: DataFrame) -> DataFrame:
 
 def current_per_user(registry: DataFrame, model_col: str = "model_type") -> DataFrame:
     """Newest session per (userid, model type): enddate desc, then calibrationid desc
-    (then the latest training of that session, when the registry has ``trained_at``)."""
-    order = [F.col("enddate").desc_nulls_last(), F.col("calibrationid").desc()]
-    if "trained_at" in registry.columns:
-        order.append(F.col("trained_at").desc_nulls_last())
+    (then the latest training of that session, when the registry has ``trained_at``).
+
+    Only narrow columns are ranked; the parameters join the winners afterwards."""
+    versions = ["trained_at"] if "trained_at" in registry.columns else []
+    key = ["calibrationid", model_col, *versions]
+    order = [F.col("enddate").desc_nulls_last(), F.col("calibrationid").desc(),
+             *[F.col(v).desc_nulls_last() for v in versions]]
     w = Window.partitionBy("userid", model_col).orderBy(*order)
-    return registry.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    newest = (registry.select("userid", "enddate", *key).withColumn("_rn", F.row_number().over(w))
+              .where("_rn = 1").select("userid", *key))
+    return registry.join(newest, ["userid", *key], "left_semi")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sigclass.functions.labels import decode
 from sigclass.operators import metrics, naive_bayes, prepare
-from sigclass.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, row_count_at_most
+from sigclass.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, small_enough
 from sigclass.schemas import MAX_CATEGORIES, N_CHANNELS, TRAIN_PERCENT
 from sigclass.session import materialize
 
@@ -55,7 +55,7 @@ class Flow:
     @property
     def small_sessions(self) -> bool:
         """One probe: are there few enough eligible sessions to broadcast per-session tables?"""
-        return self._memo("small", lambda: row_count_at_most(self.sessions, self.max_broadcast_rows))
+        return self._memo("small", lambda: small_enough(self.sessions, self.max_broadcast_rows))
 
     @property
     def frame(self) -> DataFrame:
@@ -66,7 +66,7 @@ class Flow:
     def profile(self) -> DataFrame:
         """Label counts + per-channel HLL estimates per session (one pass), materialised."""
         return self._memo("profile", lambda: materialize(prepare.session_profile(
-            self.frame.where("valid"), self.n_channels), "profile"))
+            self.frame, self.n_channels), "profile"))
 
     @property
     def fit_summary(self) -> DataFrame:
@@ -97,10 +97,15 @@ class Flow:
 
     @property
     def nb_params(self) -> DataFrame:
-        """M1 from the fit pass's sufficient statistics (no further scan of the packets)."""
-        return self._memo("nb_params", lambda: naive_bayes.from_statistics(
-            prepare.class_statistics(self.fit_summary, self.codes, self.spec, self.n_channels),
-            self.n_channels))
+        """M1 from the fit pass's sufficient statistics (no further scan of the packets).
+
+        A session with a value that is not finite fails, as MLlib rejects such input."""
+        def build():
+            stats = prepare.class_statistics(self.fit_summary, self.codes, self.spec, self.n_channels)
+            stats = stats.join(self.profile.select("calibrationid", "n_not_finite"), "calibrationid")
+            stats = stats.withColumn("bad", F.when(F.col("n_not_finite") > 0, 1).otherwise(F.col("bad")))
+            return naive_bayes.from_statistics(stats.drop("n_not_finite"), self.n_channels)
+        return self._memo("nb_params", build)
 
     @property
     def nb_models(self) -> DataFrame:
@@ -122,8 +127,14 @@ class Flow:
                         F.col("label_idx").alias("actual"), F.col("prediction").alias("predicted"))
 
     def nb_status(self) -> DataFrame:
-        """(calibrationid, model='nb', ok): a session with any invalid feature fails."""
-        return self.nb_models.select("calibrationid", F.lit("nb").alias("model"), "ok")
+        """(calibrationid, ok, error) of every eligible session with packets: it fails without
+        training rows, and with a negative value or one that is not finite."""
+        s = self.profile.select("calibrationid", "n_not_finite").join(
+            self.nb_models.select("calibrationid", "ok"), "calibrationid", "left")
+        error = (F.when(F.col("n_not_finite") > 0, F.lit("feature that is not finite"))
+                 .when(F.col("ok").isNull(), F.lit("no training rows"))
+                 .when(~F.col("ok"), F.lit("negative feature")))
+        return s.select("calibrationid", error.isNull().alias("ok"), error.alias("error"))
 
     def report(self) -> DataFrame:
         return metrics.report(self.pairs("nb"))

@@ -30,20 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigclass.functions.packets import channel_values
-from sigclass.operators import classify, metrics, mllib_train, registry, scorers, upsert
-from sigclass.operators.mllib_train import TrainConfig
+from sigclass.operators import classify, metrics, mllib_train, registry, scorers
+from sigclass.operators.mllib_train import STATUS_SCHEMA, TrainConfig
+from sigclass.operators.registry import REGISTRY
 from sigclass.plans.flow import Flow
 from sigclass.schemas import MODEL_TYPES
-from sigclass.session import exists, fresh_path
+from sigclass.session import exists, fresh_path, materialize
 
-STATUS_SCHEMA = T.StructType([
-    T.StructField("calibrationid", T.StringType()), T.StructField("userid", T.StringType()),
-    T.StructField("model_type", T.StringType()), T.StructField("status", T.StringType()),
-    T.StructField("error", T.StringType()), T.StructField("model_path", T.StringType()),
-])
-
-REGISTRY_COLUMNS = ["userid", "calibrationid", "enddate", "model_type", "trained_at", "labels",
-                    "cat_maps", "classes", "mlp_layers", "mlp_weights", "rf_nodes", "model_path"]
+RUN_STATUS = T.StructType([*STATUS_SCHEMA.fields, T.StructField("run", T.StringType())])
 
 
 @dataclass
@@ -53,6 +47,7 @@ class TrainRun:
     root: str
     flow: Flow
     model_types: list[str]
+    models: str = ""
     statuses: DataFrame = None
     pairs: DataFrame = None
     registry: DataFrame = None
@@ -65,22 +60,23 @@ class TrainRun:
 
 def train_pending(spark: SparkSession, calibrations: DataFrame, packets: DataFrame,
                   model_types: list[str] | None = None, cfg: TrainConfig | None = None,
-                  root: str | None = None) -> TrainRun:
-    """Train and evaluate every eligible session; write models, pairs, statuses and registry."""
+                  root: str | None = None, models: str | None = None) -> TrainRun:
+    """Train and evaluate every eligible session; write models, pairs, statuses and registry.
+
+    Everything goes under the run's folder but the saved models, which go under ``models`` if it is
+    given, so that the run's folder may be removed."""
     model_types = list(model_types or MODEL_TYPES)
     cfg = cfg or TrainConfig()
     root = root or fresh_path(spark, "train-run")
+    models = models or root
     fl = Flow(calibrations, packets)
-    run = TrainRun(spark, root, fl, model_types)
+    run = TrainRun(spark, root, fl, model_types, models)
     t0 = time.time()
 
     # 1. naive Bayes, set-wise: parameters written once, status from the fit.
-    fl.spec.write.mode("overwrite").parquet(f"{root}/spec")
-    spec = spark.read.parquet(f"{root}/spec")
-    nb_ok = None
+    spec = fl.spec
     if "nb" in model_types:
-        fl.nb_models.write.mode("overwrite").parquet(f"{root}/nb_models")
-        nb_ok = spark.read.parquet(f"{root}/nb_models").select("calibrationid", "ok")
+        fl.nb_models.write.mode("overwrite").parquet(f"{models}/nb_models")
     run.timings["nb"] = time.time() - t0
 
     # 2. rf / mlp through the MLlib pool on staged rows.
@@ -89,99 +85,132 @@ def train_pending(spark: SparkSession, calibrations: DataFrame, packets: DataFra
     if ml_types:
         t1 = time.time()
         rows_path = f"{root}/rows"
-        mllib_train.stage_rows(fl.indexed, rows_path)
-        sessions = mllib_train.pending_sessions(spec, fl.profile, calibrations)
-        mllib_train.fit_all(spark, rows_path, sessions, ml_types, f"{root}/models",
-                            f"{root}/pairs", f"{root}/ml_status", cfg)
+        sessions = materialize(mllib_train.pending_sessions(spec, fl.profile, calibrations), "work-list")
+        mllib_train.stage_rows(fl.indexed, sessions, rows_path)
+        mllib_train.fit_all(spark, rows_path, sessions.orderBy(F.desc("n_rows"), "calibrationid"), ml_types,
+                            f"{models}/models", f"{root}/pairs", f"{root}/ml_status", cfg)
         if exists(spark, f"{root}/ml_status"):
             statuses = spark.read.schema(STATUS_SCHEMA).parquet(f"{root}/ml_status")
         run.timings["mllib"] = time.time() - t1
-    if nb_ok is not None:
-        nb_status = nb_ok.join(calibrations.select("calibrationid", "userid"), "calibrationid").select(
+    # every eligible session with packets has a status of each type, also one without usable packets
+    owners = calibrations.select("calibrationid", "userid")
+    if "nb" in model_types:
+        nb_status = fl.nb_status().join(owners, "calibrationid").select(
             "calibrationid", "userid", F.lit("nb").alias("model_type"),
             F.when(F.col("ok"), "ok").otherwise("failed").alias("status"),
-            F.when(~F.col("ok"), F.lit("negative or non-finite feature")).alias("error"),
-            F.lit(None).cast("string").alias("model_path"))
+            F.when(~F.col("ok"), F.lit("input")).alias("fault"), "error",
+            F.when(F.col("ok"), F.lit(f"{models}/nb_models")).alias("model_path"))
         statuses = statuses.unionByName(nb_status)
+    unusable = fl.profile.where(F.size("label_counts") == 0).select("calibrationid").join(owners, "calibrationid")
+    for mt in ml_types:
+        statuses = statuses.unionByName(unusable.select(
+            "calibrationid", "userid", F.lit(mt).alias("model_type"), F.lit("failed").alias("status"),
+            F.lit("input").alias("fault"), F.lit("no training rows").alias("error"),
+            F.lit(None).cast("string").alias("model_path")))
     statuses.write.mode("overwrite").parquet(f"{root}/status")
-    run.statuses = spark.read.parquet(f"{root}/status")
+    run.statuses = spark.read.schema(STATUS_SCHEMA).parquet(f"{root}/status")
 
     # 3. prediction pairs of every model (nb from the set-wise flow, rf/mlp from the pool).
     pairs = spark.createDataFrame([], "calibrationid string, model string, actual double, predicted double")
     if "nb" in model_types:
         pairs = pairs.unionByName(fl.pairs("nb"))
     if ml_types and exists(spark, f"{root}/pairs"):
-        pairs = pairs.unionByName(spark.read.schema(mllib_train.PAIRS_SCHEMA).parquet(f"{root}/pairs")
-                                  .select("calibrationid", "model", "actual", "predicted"))
+        pairs = pairs.unionByName(read_pairs(spark, root).select("calibrationid", "model", "actual", "predicted"))
     pairs.write.mode("overwrite").parquet(f"{root}/all_pairs")
     run.pairs = spark.read.parquet(f"{root}/all_pairs")
 
-    # 4. registry: publish sessions whose requested fits all succeeded.
+    # 4. registry: publish sessions whose requested fits all succeeded, and whose models are all there.
     ok_sessions = (run.statuses.groupBy("calibrationid")
                    .agg(F.min(F.when(F.col("status") == "ok", 1).otherwise(0)).alias("all_ok"),
-                        F.count(F.lit(1)).alias("n"))
+                        F.countDistinct("model_type").alias("n"))
                    .where((F.col("all_ok") == 1) & (F.col("n") == len(model_types)))
                    .select("calibrationid"))
-    run.published = ok_sessions
     reg = build_registry(spark, run, spec, calibrations, ok_sessions, cfg)
-    reg.write.mode("overwrite").parquet(f"{root}/registry")
-    run.registry = spark.read.parquet(f"{root}/registry")
+    reg.write.mode("overwrite").parquet(f"{root}/registry_parts")
+    parts = spark.read.schema(REGISTRY).parquet(f"{root}/registry_parts")
+    whole = parts.groupBy("calibrationid").agg(F.countDistinct("model_type").alias("n")).where(
+        F.col("n") == len(model_types)).select("calibrationid")
+    run.published = materialize(whole, "published")
+    parts.join(run.published, "calibrationid", "left_semi").write.mode("overwrite").parquet(f"{root}/registry")
+    run.registry = spark.read.schema(REGISTRY).parquet(f"{root}/registry")
     run.timings["total"] = time.time() - t0
     return run
 
 
+def read_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """The prediction pairs that the MLlib pool wrote (a folder for each session and model type)."""
+    return spark.read.schema(mllib_train.PAIRS_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{root}/pairs")
+
+
 def build_registry(spark: SparkSession, run: TrainRun, spec: DataFrame, calibrations: DataFrame,
                    published: DataFrame, cfg: TrainConfig) -> DataFrame:
     """One registry row per (published session, model type) with the exported parameters."""
-    trained_at = F.current_timestamp()
-    base = spec.join(published, "calibrationid", "left_semi")
+    base = spec.join(published, "calibrationid", "left_semi").join(
+        calibrations.select("calibrationid", "userid", "enddate"), "calibrationid")
+    ok = run.statuses.where("status = 'ok'").select("calibrationid", "model_type", "model_path")
     parts = []
-    if "nb" in run.model_types:
-        nbm = spark.read.parquet(f"{run.root}/nb_models").where("ok").select("calibrationid", "classes")
-        parts.append(base.join(nbm, "calibrationid").select(
-            "calibrationid", "labels", "cat_maps", F.lit("nb").alias("model_type"), "classes",
-            F.lit(None).cast("array<int>").alias("mlp_layers"),
-            F.lit(None).cast("array<double>").alias("mlp_weights"),
-            F.lit(None).cast(T.ArrayType(scorers.NODE)).alias("rf_nodes"),
-            F.lit(None).cast("string").alias("model_path")))
-    ok = run.statuses.where("status = 'ok' and model_path is not null")
-    for mt in ("rf", "mlp"):
-        if mt not in run.model_types or not exists(spark, f"{run.root}/models"):
-            continue
-        st = ok.where(F.col("model_type") == mt).join(published, "calibrationid", "left_semi")
-        # every saved model of this type, listed by a glob (no path list through the driver)
-        glob = f"{run.root}/models/*/model-{mt}"
-        exp = scorers.export_rf(spark, [glob]) if mt == "rf" else scorers.export_mlp(spark, [glob])
-        st = st.withColumn("model_dir", F.concat_ws("-", "calibrationid", "userid"))
-        j = base.join(st.select("calibrationid", "model_dir", "model_path"), "calibrationid").join(
-            exp, "model_dir")
-        layers = F.array(*[F.lit(x) for x in (cfg.n_channels, *cfg.mlp_hidden, cfg.n_classes)])
-        parts.append(j.select(
-            "calibrationid", "labels", "cat_maps", F.lit(mt).alias("model_type"),
-            F.lit(None).cast(T.ArrayType(T.StructType([
-                T.StructField("label_idx", T.DoubleType()), T.StructField("pi", T.DoubleType()),
-                T.StructField("theta", T.ArrayType(T.DoubleType()))]))).alias("classes"),
-            (layers if mt == "mlp" else F.lit(None).cast("array<int>")).alias("mlp_layers"),
-            (F.col("mlp_weights") if mt == "mlp" else F.lit(None).cast("array<double>")).alias("mlp_weights"),
-            (F.col("rf_nodes") if mt == "rf" else F.lit(None).cast(T.ArrayType(scorers.NODE))).alias("rf_nodes"),
-            "model_path"))
-    out = parts[0]
-    for p in parts[1:]:
+    for mt in run.model_types:
+        own = base.join(ok.where(F.col("model_type") == mt), "calibrationid")
+        if mt == "nb":
+            own = own.join(spark.read.parquet(f"{run.models}/nb_models").where("ok").select("calibrationid", "classes"),
+                           "calibrationid")
+        else:  # only types with a saved model have a folder to read
+            if own.isEmpty():
+                continue
+            # every saved model of this type, listed by a glob (no path list through the driver)
+            glob = f"{run.models}/models/type={mt}/session=*"
+            saved = scorers.export_rf(spark, glob, cfg.n_classes) if mt == "rf" else scorers.export_mlp(spark, glob)
+            own = own.withColumn("session_key", registry.session_key()).join(saved, "session_key")
+            if mt == "mlp":
+                own = own.withColumn("mlp_layers", F.array(*[F.lit(x) for x in cfg.mlp_layers]))
+        parts.append(registry_rows(own.withColumn("trained_at", F.current_timestamp())))
+    out = spark.createDataFrame([], REGISTRY)
+    for p in parts:
         out = out.unionByName(p)
-    out = registry.with_session(out, calibrations).withColumn("trained_at", trained_at)
-    return out.select(*REGISTRY_COLUMNS)
+    return out
+
+
+def registry_rows(df: DataFrame) -> DataFrame:
+    """The REGISTRY columns of ``df``; those that it does not have are NULL."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                       for f in REGISTRY.fields])
+
+
+def load_models(spark: SparkSession, calibrations: DataFrame, saved: DataFrame,
+                cfg: TrainConfig | None = None) -> DataFrame:
+    """Registry rows of the ready sessions (modelsgenerated) from saved models of earlier runs.
+
+    ``saved``: calibrationid, model_type, labels, cat_maps, trained_at and model_path of the models
+    (a registry without parameters will do). Naive Bayes parameters come from the table at the
+    path, forests and perceptrons from MLlib's folders; folders are read set-wise by a glob of
+    their common parents, of which there is one for each run."""
+    cfg = cfg or TrainConfig()
+    ready = calibrations.where(F.col("modelsgenerated")).select("calibrationid", "userid", "enddate")
+    want = saved.select("calibrationid", "model_type", "labels", "cat_maps", "trained_at", "model_path").join(
+        ready, "calibrationid").withColumn("session_key", registry.session_key())
+    want = want.withColumn("parent", F.when(F.col("model_type") == "nb", F.col("model_path")).otherwise(
+        F.regexp_replace("model_path", "/session=[0-9a-f]+$", "")))
+    out = spark.createDataFrame([], REGISTRY)
+    for r in want.select("model_type", "parent").distinct().toLocalIterator():
+        own = want.where((F.col("model_type") == r.model_type) & (F.col("parent") == r.parent))
+        if r.model_type == "nb":
+            params = spark.read.parquet(r.parent).where("ok").select("calibrationid", "classes")
+            own = own.join(params, "calibrationid")
+        elif r.model_type == "rf":
+            own = own.join(scorers.export_rf(spark, f"{r.parent}/session=*", cfg.n_classes), "session_key")
+        else:
+            own = own.join(scorers.export_mlp(spark, f"{r.parent}/session=*"), "session_key").withColumn(
+                "mlp_layers", F.array(*[F.lit(x) for x in cfg.mlp_layers]))
+        out = out.unionByName(registry_rows(own))
+    return out
 
 
 def score_instructions(rows: DataFrame, registry_rows: DataFrame, rows_per_group: int = 100_000,
-                       engine: str = "arrow", cfg: TrainConfig | None = None,
-                       micro_batch: bool = False) -> DataFrame:
+                       cfg: TrainConfig | None = None, micro_batch: bool = False) -> DataFrame:
     """J2 + P11: rows (pk, userid, eeg, ...) -> with predictedlabels from the current models.
 
-    ``engine="arrow"`` (default) scores forest and perceptron with vectorised
-    NumPy behind a salted cogroup; ``engine="jvm"`` uses built-in higher-order
-    functions after a per-user join (no Python, but interpreted: measured about
-    0.7 ms per row per core for a 20-tree forest, against microseconds in
-    NumPy). Both equal MLlib's ``transform``. Naive Bayes is always JVM-side.
+    Every row stays: one without a user or a model gets the placeholder. Forest and perceptron
+    are scored with vectorised NumPy behind a salted cogroup, naive Bayes in column expressions.
     """
     cfg = cfg or TrainConfig()
     cur = registry.current_per_user(registry_rows)
@@ -190,19 +219,41 @@ def score_instructions(rows: DataFrame, registry_rows: DataFrame, rows_per_group
     nb = cur.where("model_type = 'nb'")
     scored = classify.nb_labels(rows, nb)
     ml = cur.where("model_type in ('rf', 'mlp')")
-    if engine == "arrow":
-        scored = scorers.score(scored, ml, rows_per_group=rows_per_group, n_classes=cfg.n_classes,
-                               write_side_table=not micro_batch)
-    else:
-        scored = scorers.score_jvm(scored, ml, cfg.mlp_layers, cfg.n_classes, max_depth=cfg.rf_max_depth)
+    scored = scorers.score(scored, ml, rows_per_group=rows_per_group, n_classes=cfg.n_classes,
+                           n_channels=cfg.n_channels, write_side_table=not micro_batch)
     return classify.with_prediction_map(scored).drop("rf_label", "mlp_label", "nb_label")
 
 
+def rescored(todo: DataFrame, registry_rows: DataFrame, rows_per_group: int = 100_000) -> DataFrame:
+    """The rows of ``todo`` whose prediction map the current models change, with the new map.
+
+    Rows of users without any model are not scored at all; rows that come out as they are stored
+    are left out, so that a cycle without new models writes nothing."""
+    users = registry_rows.select("userid").distinct()
+    old = todo.join(users, "userid", "left_semi").withColumnRenamed("predictedlabels", "_old").drop("pending")
+    return changed(score_instructions(old, registry_rows, rows_per_group)).select(*todo.columns)
+
+
+def changed(scored: DataFrame) -> DataFrame:
+    """Rows whose map ``predictedlabels`` differs from ``_old``."""
+    entries = lambda c: F.coalesce(F.array_sort(F.map_entries(c)), F.array())
+    return scored.where(entries("_old") != entries("predictedlabels"))
+
+
 def backfill(stored: DataFrame, registry_rows: DataFrame, rows_per_group: int = 100_000) -> DataFrame:
     """The stored table after re-scoring its pending rows (last write wins)."""
-    todo = classify.pending(stored).drop("predictedlabels", "pending")
-    rescored = score_instructions(todo, registry_rows, rows_per_group)
-    return upsert.replace_rows(stored, ~F.col("pending"), rescored)
+    new = materialize(rescored(classify.pending(stored), registry_rows, rows_per_group), "rescored")
+    kept = stored.join(new.select("pk"), "pk", "left_anti")
+    return kept.unionByName(new.select(*stored.columns))
+
+
+def given_up(status: DataFrame, max_attempts: int) -> DataFrame:
+    """Sessions not to try again: a failure of their own input, or ``max_attempts`` failed runs."""
+    failed = status.where(F.col("status") == "failed")
+    return failed.groupBy("calibrationid").agg(
+        F.max(F.when(F.col("fault") == "input", 1).otherwise(0)).alias("input"),
+        F.countDistinct("run").alias("runs")).where(
+        (F.col("input") == 1) | (F.col("runs") >= max_attempts)).select("calibrationid")
 
 
 def run_cycle(spark: SparkSession, paths, model_types: list[str] | None = None,
@@ -211,34 +262,42 @@ def run_cycle(spark: SparkSession, paths, model_types: list[str] | None = None,
 
     train every eligible session → append registry rows, the metrics table and
     the statuses → upsert the session table (K3) → re-score pending
-    instruction rows and append them as a newer version (K4).
+    instruction rows and append those that changed as a newer version (K4).
 
-    Sessions with a recorded failure are not retried (Q6/Q7: a bad session
-    would otherwise fail every cycle). A crash before the session table is
-    upserted only means the next cycle trains those sessions again; registry
-    readers take the newest row per user, so the repeat is harmless.
+    A session whose own input made a fit fail is not tried again; one that failed
+    for another reason (a lost executor, a full disk) is, up to
+    ``cfg.max_attempts`` times. A crash before the session table is upserted only
+    means the next cycle trains those sessions again; registry readers take the
+    newest row per user, so the repeat is harmless. Nothing is written where
+    there is nothing new (F5). The run's own folder may be removed afterwards:
+    models are kept beside the registry.
     """
-    from sigclass.sources import tables
     from sigclass.operators.upsert import append_version
+    from sigclass.sources import tables
 
+    cfg = cfg or TrainConfig()
     version = int(time.time() * 1000)
     cal = tables.read_calibrations(spark, paths.calibrations)
     pk = tables.read_packets(spark, paths.packets)
     candidates = cal
     if exists(spark, paths.status):
-        failed = spark.read.parquet(paths.status).where(F.col("status") == "failed").select("calibrationid")
-        candidates = cal.join(failed.distinct(), "calibrationid", "left_anti")
-    run = train_pending(spark, candidates, pk, model_types, cfg)
-    run.registry.write.mode("append").parquet(paths.registry)
-    report = run.metrics_report().join(cal.select("calibrationid", "userid"), "calibrationid") \
-        .withColumn("trained_at", F.current_timestamp())
-    report.write.mode("append").parquet(paths.metrics)
-    run.statuses.withColumn("run", F.lit(run.root)).write.mode("append").parquet(paths.status)
-    upd = cal.join(run.published, "calibrationid", "left_semi").withColumn("modelsgenerated", F.lit(True))
-    append_version(upd, paths.calibrations, version)
-    if exists(spark, paths.instructions):
+        status = spark.read.schema(RUN_STATUS).parquet(paths.status)
+        candidates = cal.join(given_up(status, cfg.max_attempts), "calibrationid", "left_anti")
+    run = train_pending(spark, candidates, pk, model_types, cfg, models=f"{paths.registry}_models/v_{version:015d}")
+    if not run.statuses.isEmpty():
+        run.statuses.withColumn("run", F.lit(run.root)).write.mode("append").parquet(paths.status)
+    if not run.pairs.isEmpty():
+        report = run.metrics_report().join(cal.select("calibrationid", "userid"), "calibrationid") \
+            .withColumns({"trained_at": F.current_timestamp(), "run": F.lit(run.root)})
+        report.write.mode("append").parquet(paths.metrics)
+    if not run.published.isEmpty():
+        run.registry.write.mode("append").parquet(paths.registry)
+        upd = cal.join(run.published, "calibrationid", "left_semi").withColumn("modelsgenerated", F.lit(True))
+        append_version(upd, paths.calibrations, version)
+    if exists(spark, paths.instructions) and exists(spark, paths.registry):
         todo = tables.read_pending_instructions(spark, paths.instructions)
-        reg = spark.read.parquet(paths.registry)
-        rescored = score_instructions(todo.drop("predictedlabels", "pending"), reg)
-        append_version(rescored.select(*todo.columns), paths.instructions, version)
+        reg = spark.read.schema(REGISTRY).parquet(paths.registry)
+        new = materialize(rescored(todo, reg), "rescored")
+        if not new.isEmpty():
+            append_version(new, paths.instructions, version)
     return run

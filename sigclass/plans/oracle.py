@@ -226,9 +226,18 @@ SQL: dict[str, str] = {
                   CASE WHEN c.calibrationid IN (SELECT calibrationid FROM nbp WHERE ok) THEN true
                        ELSE c.modelsgenerated END modelsgenerated
            FROM cal c""",
-    "pending_instructions": _with(INS) + "SELECT pk, userid, date FROM ins",
+    "scan_session_packets": _with(CAL, PKT, ELIG) +
+        f"SELECT pk, date, calibrationid, userid, label, {CH} FROM pkt "
+        "WHERE calibrationid IN (SELECT calibrationid FROM elig)",
+    "pending_instructions": _with(INS) + "SELECT pk, userid, date FROM ins WHERE cast(pk AS bigint) % 3 <> 0",
     "reclassify_pending": _with(*PREP, NBA, NBP, CUR, INS, INSX, INSS) +
-        """SELECT i.pk, i.userid, coalesce(l.label, 'Generating Model') nb_label, true AS pending
+        """SELECT i.pk, i.userid,
+                  CASE WHEN cast(i.pk AS bigint) % 3 = 0 THEN 'Deep'
+                       WHEN cast(i.pk AS bigint) % 3 = 1 AND i.userid NOT IN (SELECT userid FROM cur) THEN 'Deep'
+                       ELSE 'Generating Model' END rf_label,
+                  CASE WHEN cast(i.pk AS bigint) % 3 = 0 THEN 'Deep'
+                       ELSE coalesce(l.label, 'Generating Model') END nb_label,
+                  cast(i.pk AS bigint) % 3 <> 0 AS pending
            FROM ins i LEFT JOIN inss s ON i.pk = s.pk
            LEFT JOIN lbl l ON l.calibrationid = s.calibrationid AND l.label_idx = s.prediction""",
 }
@@ -242,3 +251,70 @@ SQL["label_pair_metrics"] = _with(LPAIRS, CELLS, TOT, CLS, PCL, CM) + \
 
 # The ingest stream stores every well-formed labelled message of the topic.
 SQL["stream_calibration_ingest"] = _with(PKT) + f"SELECT calibrationid, userid, label, {CH} FROM pkt"
+
+# Packets of which some cannot be used (the adapter's rule) and what becomes of their sessions.
+FAULT = """fault AS (
+  SELECT p.calibrationid, p.pk, CASE
+           WHEN cast(split_part(p.pk, '-', 1) AS bigint) % 50 = 0 AND cast(p.calibrationid AS bigint) % 4 = 1
+             THEN 'channel value is not a finite number'
+           WHEN cast(split_part(p.pk, '-', 1) AS bigint) % 50 = 1 THEN 'channel count is not 6'
+           WHEN cast(split_part(p.pk, '-', 1) AS bigint) % 50 = 2 THEN 'unknown Label'
+           WHEN cast(split_part(p.pk, '-', 1) AS bigint) % 50 = 3 THEN 'missing Label' END reason
+  FROM pkt p JOIN elig e ON p.calibrationid = e.calibrationid)"""
+SQL["invalid_packets"] = _with(CAL, PKT, ELIG, FAULT) + \
+    "SELECT calibrationid, reason, count(*) n FROM fault WHERE reason IS NOT NULL GROUP BY calibrationid, reason"
+SQL["nb_status"] = _with(CAL, PKT, ELIG, FAULT) + \
+    """SELECT calibrationid, n_bad = 0 AND n_train > 0 ok,
+              CASE WHEN n_bad > 0 THEN 'feature that is not finite' WHEN n_train = 0 THEN 'no training rows' END error
+       FROM (SELECT calibrationid, count(*) FILTER (reason = 'channel value is not a finite number') n_bad,
+                    count(*) FILTER (reason IS NULL AND cast('0x' || substring(md5(pk), 1, 8) AS bigint) % 100 < 60) n_train
+             FROM fault GROUP BY calibrationid)"""
+
+# Queries over fitted forests and perceptrons: what SQL can say of them.
+NBOK = "nbok AS (SELECT DISTINCT calibrationid FROM nbp WHERE ok)"
+for _m in ("rf", "mlp"):
+    SQL[f"{_m}_train_evaluate"] = _with(*PREP, NBA, NBP, NBOK) + \
+        f"""SELECT calibrationid, '{_m}' model, count(*) n, true recall_is_accuracy, true accuracy_is_share
+            FROM ix WHERE NOT is_train AND calibrationid IN (SELECT calibrationid FROM nbok) GROUP BY calibrationid"""
+    SQL[f"{_m}_score"] = _with(*PREP, NBA, NBP, NBOK) + \
+        """SELECT pk, calibrationid, label_idx, true as_mllib FROM ix
+           WHERE NOT is_train AND calibrationid IN (SELECT calibrationid FROM nbok)"""
+TYPES = "types(model_type) AS (VALUES ('nb'), ('rf'), ('mlp'))"
+SQL["current_models"] = _with(*PREP, NBA, NBP, CUR, TYPES) + \
+    "SELECT userid, model_type, calibrationid FROM cur CROSS JOIN types"
+SQL["model_registry"] = _with(*PREP, NBA, NBP, TYPES) + \
+    """SELECT e.userid, e.calibrationid, model_type,
+              (SELECT count(*) FROM lbl l WHERE l.calibrationid = e.calibrationid) n_labels,
+              CASE WHEN model_type = 'nb' THEN (SELECT count(*) FROM nbp p WHERE p.calibrationid = e.calibrationid) ELSE 0 END n_classes,
+              CASE WHEN model_type = 'mlp' THEN 6 * 5 + 5 + 5 * 4 + 4 + 4 * 3 + 3 ELSE 0 END n_weights,
+              CASE WHEN model_type = 'rf' THEN 20 ELSE 0 END n_trees, true has_path
+       FROM elig e CROSS JOIN types WHERE e.calibrationid IN (SELECT calibrationid FROM nbp WHERE ok)"""
+SQL["training_status"] = _with(*PREP, NBA, NBP, TYPES) + \
+    """SELECT e.calibrationid, e.userid, model_type, 'ok' status, cast(NULL AS varchar) fault, true has_model
+       FROM elig e CROSS JOIN types WHERE e.calibrationid IN (SELECT calibrationid FROM nbp WHERE ok)
+       UNION ALL
+       SELECT 'emb', 'emb', model_type, CASE WHEN model_type = 'nb' THEN 'failed' ELSE 'ok' END,
+              CASE WHEN model_type = 'nb' THEN 'input' END, model_type <> 'nb' FROM types"""
+SQL["split_random"] = _with(*BASE) + \
+    "SELECT pk, calibrationid, cast('0x' || substring(md5('1234:' || pk), 1, 8) AS bigint) % 100 < 60 is_train FROM tf"
+SQL["split_fresh"] = _with(*BASE) + \
+    "SELECT pk, calibrationid, 2 * count(*) n, 1 n_sides FROM tf GROUP BY pk, calibrationid"
+SQL["all_models_report"] = _with(*MET, WM, TYPES) + \
+    "SELECT r.calibrationid, t.model_type model, r.metric, r.class, " \
+    "CASE WHEN t.model_type = 'nb' THEN round(r.value, 6) END AS value, r.value BETWEEN 0 AND 1 is_share FROM (" + \
+    " UNION ALL ".join(f"SELECT calibrationid, '{m}' metric, class, \"{m}\" AS value FROM cm"
+                       for m in ("precision", "recall", "f1", "fpr", "tpr")) + " UNION ALL " + \
+    " UNION ALL ".join(f"SELECT calibrationid, '{m}' metric, cast(NULL AS double) class, {m} AS value FROM wm"
+                       for m in ("accuracy", "weighted_precision", "weighted_recall", "weighted_f1",
+                                 "weighted_fpr", "weighted_tpr")) + ") r CROSS JOIN types t"
+_SCORED = """coalesce(l.label, 'Generating Model') nb_label, l.label IS NOT NULL has_rf, l.label IS NOT NULL has_mlp,
+              l.label IS NULL pending
+       FROM {0} i LEFT JOIN inss s ON i.pk = s.pk
+       LEFT JOIN lbl l ON l.calibrationid = s.calibrationid AND l.label_idx = s.prediction"""
+INS_NULLS = INS.replace("cast(user_id % 25 AS varchar) userid",
+                        "CASE WHEN event_id % 10 <> 3 THEN cast(user_id % 25 AS varchar) END userid")
+SQL["score_instructions"] = _with(*PREP, NBA, NBP, CUR, INS_NULLS, INSX, INSS) + \
+    "SELECT i.pk, i.userid, " + _SCORED.format("ins")
+SQL["stream_instruction_score"] = _with(*PREP, NBA, NBP, CUR, INS, INSX, INSS) + \
+    "SELECT i.userid, " + ", ".join(f"round(i.c{j}, 6) c{j}" for j in range(N)) + ", " + \
+    _SCORED.format("ins") + " WHERE NOT i.malformed"

@@ -16,9 +16,12 @@ from pyspark.sql import types as T
 from sigclass.functions.packets import channel_values, parse_labelled, parse_unlabelled, vector_ok
 from sigclass.functions.split import is_train
 from sigclass.operators import classify, metrics, prepare, registry, upsert
+from sigclass.plans import jobs
 from sigclass.plans.flow import Flow
 from sigclass.schemas import N_CHANNELS
+from sigclass.session import fresh_path, materialize
 from sigclass.sources import fixtures as fx
+from sigclass.sources import tables
 
 ROUND = 6
 
@@ -100,7 +103,7 @@ def packet_vectors(spark, sf):
 def label_index_fit(spark, sf):
     """A2: per-session label index (count desc, label asc)."""
     fl = _flow(spark, sf)
-    return prepare.label_index_fit(fl.frame.where("valid"), fl.profile)
+    return prepare.label_index_fit(None, fl.profile)
 
 
 def label_index_apply(spark, sf):
@@ -218,37 +221,59 @@ def mark_models_generated(spark, sf):
     return upsert.mark_models_generated(cal, ok)
 
 
-def _stored_instructions(spark, sf) -> DataFrame:
-    """Instruction rows as the stream stores them before any model exists (all placeholders)."""
-    raw = fx.instruction_packets(spark, sf)
-    return classify.with_prediction_map(raw)
-
-
 def pending_instructions(spark, sf):
-    """Stored instruction rows that still hold the placeholder."""
-    p = classify.pending(_stored_instructions(spark, sf))
+    """Stored instruction rows that still hold the placeholder (a third of them does not)."""
+    p = classify.pending(fx.stored_instructions(spark, sf))
     return p.select("pk", "userid", "date")
 
 
 def reclassify_pending(spark, sf):
-    """Re-score pending rows with the users' current naive Bayes models and upsert them."""
+    """Re-score pending rows with the users' current naive Bayes models and upsert those
+    that changed; classified rows and rows of users without a model stay as they are."""
     cal = fx.calibrations(spark, sf)
     fl = Flow(cal, fx.calibration_packets(spark, sf))
     cur = registry.current_per_user(nb_registry(fl, cal))
-    stored = _stored_instructions(spark, sf)
-    todo = classify.pending(stored).drop("predictedlabels", "pending")
+    stored = fx.stored_instructions(spark, sf)
+    todo = classify.pending(stored).withColumnRenamed("predictedlabels", "_old").drop("pending")
+    todo = todo.join(cur.select("userid"), "userid", "left_semi")
     scored = classify.nb_labels(todo, cur, broadcast=fl.small_sessions)
-    scored = classify.with_prediction_map(scored)
-    merged = upsert.replace_rows(stored.select("pk", "userid", "predictedlabels", "pending"),
-                                 ~F.col("pending"), scored)
-    return merged.select("pk", "userid",
+    new = materialize(jobs.changed(classify.with_prediction_map(scored)).select(*stored.columns), "rescored")
+    merged = stored.join(new.select("pk"), "pk", "left_anti").unionByName(new)
+    return merged.select("pk", "userid", F.col("predictedlabels")["RandomForest"].alias("rf_label"),
                          F.col("predictedlabels")["NaiveBayes"].alias("nb_label"), "pending")
 
 
+def scan_session_packets(spark, sf):
+    """Packets of the eligible sessions from a stored table clustered by session (key-pruned read)."""
+    path = fresh_path(spark, "session-packets")
+    fx.calibration_packets(spark, sf).write.parquet(f"{path}/raw")
+    tables.compact_packets(spark, f"{path}/raw", f"{path}/by_session")
+    sessions = prepare.eligible_calibrations(fx.calibrations(spark, sf))
+    p = tables.read_session_packets(spark, f"{path}/by_session", sessions)
+    return present(p.select("pk", "date", "calibrationid", "userid", "label", *_channels()))
+
+
+def _faulty_flow(spark, sf) -> Flow:
+    return Flow(fx.calibrations(spark, sf), fx.faulty_calibration_packets(spark, sf))
+
+
+def invalid_packets(spark, sf):
+    """Packets of eligible sessions that cannot be used, by session and reason."""
+    return prepare.invalid_packets(_faulty_flow(spark, sf).frame)
+
+
+def nb_status(spark, sf):
+    """M1: which sessions' naive Bayes fits succeed on input with unusable packets, and why others fail."""
+    return _faulty_flow(spark, sf).nb_status()
+
+
 ORACLE_QUERIES = {
     "scan_calibrations": scan_calibrations,
     "scan_ready_calibrations": scan_ready_calibrations,
     "scan_calibration_packets": scan_calibration_packets,
+    "scan_session_packets": scan_session_packets,
+    "invalid_packets": invalid_packets,
+    "nb_status": nb_status,
     "pending_instructions": pending_instructions,
     "training_frame": training_frame,
     "eligible_calibrations": eligible_calibrations,

@@ -1,4 +1,4 @@
-"""Queries checked by row counts and pytest invariants (MLlib fits, Arrow scorers, streams).
+"""Queries over MLlib fits, Arrow scorers and streams.
 
 The MLlib pool is the expensive part, so a training run over a given input is
 done once per Spark application and shared by the queries that read its
@@ -12,13 +12,15 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigclass.functions.packets import channel_values
+from sigclass.functions.labels import encode
 from sigclass.functions.split import random_split
-from sigclass.operators import metrics, registry, scorers
+from sigclass.operators import metrics, registry, scorers, upsert
 from sigclass.operators.mllib_train import TrainConfig
 from sigclass.plans import jobs
+from sigclass.plans.flow import Flow
 from sigclass.plans.queries import present
-from sigclass.session import fresh_path
+from sigclass.schemas import LABELS
+from sigclass.session import fresh_path, materialize
 from sigclass.sources import fixtures as fx
 from sigclass.sources.tables import read_parquet
 from sigclass.sources.streams import file_topic
@@ -30,19 +32,26 @@ _LOCK = threading.Lock()
 
 
 def training_run(spark: SparkSession, sf: str) -> jobs.TrainRun:
-    """All three model types for every eligible session of ``sf`` (once per application)."""
+    """All three model types for every eligible session of ``sf``, one of which has negative channels,
+    so that its naive Bayes fit fails (once per application)."""
     key = (spark.sparkContext.applicationId, sf)
     with _LOCK:
         if key not in _RUNS:
-            _RUNS[key] = jobs.train_pending(spark, fx.calibrations(spark, sf),
-                                            fx.calibration_packets(spark, sf))
+            _RUNS[key] = jobs.train_pending(spark, *fx.sessions_with_a_negative_one(spark, sf))
         return _RUNS[key]
 
 
+def _published_pairs(run: jobs.TrainRun) -> DataFrame:
+    return run.pairs.join(run.published, "calibrationid", "left_semi")
+
+
 def _model_metrics(spark, sf, model_type: str) -> DataFrame:
-    run = training_run(spark, sf)
-    w = metrics.weighted_metrics(run.pairs.where(F.col("model") == model_type))
-    return present(w)
+    """Hold-out size of each published session, and whether weighted recall equals accuracy (as it
+    must) and both are shares; a fitted forest's own figures have no SQL form."""
+    w = metrics.weighted_metrics(_published_pairs(training_run(spark, sf)).where(F.col("model") == model_type))
+    return w.select("calibrationid", "model", "n",
+                    (F.abs(F.col("weighted_recall") - F.col("accuracy")) < 1e-9).alias("recall_is_accuracy"),
+                    F.col("accuracy").between(0, 1).alias("accuracy_is_share"))
 
 
 def rf_train_evaluate(spark, sf):
@@ -55,23 +64,18 @@ def mlp_train_evaluate(spark, sf):
     return _model_metrics(spark, sf, "mlp")
 
 
-def _test_rows(spark, sf) -> DataFrame:
-    run = training_run(spark, sf)
-    ix = run.flow.indexed.where(~F.col("is_train"))
-    return ix.select("pk", "calibrationid", "userid", "label_idx",
-                     F.col("features").alias("features"))
-
-
 def _score_by_session(spark, sf, model_type: str) -> DataFrame:
-    """Score each session's test rows with that session's exported model (Arrow scorer)."""
+    """Score each session's test rows with that session's exported model, beside MLlib's prediction."""
     run = training_run(spark, sf)
-    reg = run.registry.where(F.col("model_type") == model_type)
     # key the cogroup by session: reuse 'userid' as the grouping key of the scorer
-    rows = _test_rows(spark, sf).withColumn("userid", F.col("calibrationid"))
-    models = reg.withColumn("userid", F.col("calibrationid"))
+    models = run.registry.where(F.col("model_type") == model_type).withColumn("userid", F.col("calibrationid"))
+    rows = (run.flow.indexed.where(~F.col("is_train")).join(run.published, "calibrationid", "left_semi")
+            .select("pk", "calibrationid", F.col("calibrationid").alias("userid"), "label_idx", "features", "labels"))
     out = scorers.score(rows, models, n_classes=TrainConfig().n_classes)
-    col = "rf_label" if model_type == "rf" else "mlp_label"
-    return out.select("pk", "calibrationid", "label_idx", F.col(col).alias("predicted_label"))
+    predicted = encode("rf_label" if model_type == "rf" else "mlp_label", "labels")
+    given = jobs.read_pairs(spark, run.root).where(F.col("model") == model_type).select("pk", "calibrationid", "predicted")
+    return out.join(given, ["pk", "calibrationid"], "left").select(
+        "pk", "calibrationid", "label_idx", predicted.eqNullSafe(F.col("predicted")).alias("as_mllib"))
 
 
 def rf_score(spark, sf):
@@ -84,24 +88,30 @@ def mlp_score(spark, sf):
     return _score_by_session(spark, sf, "mlp")
 
 
+def _map_columns(s: DataFrame, *columns) -> DataFrame:
+    """The naive Bayes label, and whether the other two models gave one of the known labels."""
+    known = lambda key: F.col("predictedlabels")[key].isin(*LABELS)
+    return s.select(*columns, F.col("predictedlabels")["NaiveBayes"].alias("nb_label"),
+                    known("RandomForest").alias("has_rf"), known("MLPerceptron").alias("has_mlp"), "pending")
+
+
 def score_instructions(spark, sf):
-    """J2 + P11 (+ M6-M8): unlabelled packets with the map of the three current models' labels."""
+    """J2 + P11 (+ M6-M8): unlabelled packets, some without a user, with the three current models' labels."""
     run = training_run(spark, sf)
-    rows = fx.instruction_packets(spark, sf)
-    s = jobs.score_instructions(rows, run.registry)
-    return s.select("pk", "userid",
-                    F.col("predictedlabels")["RandomForest"].alias("rf_label"),
-                    F.col("predictedlabels")["MLPerceptron"].alias("mlp_label"),
-                    F.col("predictedlabels")["NaiveBayes"].alias("nb_label"), "pending")
+    rows = fx.instruction_packets_some_without_user(spark, sf)
+    return _map_columns(jobs.score_instructions(rows, run.registry), "pk", "userid")
 
 
 def model_registry(spark, sf):
-    """S7 + K5 + J4: registry rows (session, model type, path) of the published sessions."""
+    """S7 + K5 + J4: the published sessions' models, read back from where they were saved."""
     run = training_run(spark, sf)
-    return run.registry.select("userid", "calibrationid", "model_type", "model_path",
-                               F.size("labels").alias("n_labels"),
-                               F.size("rf_nodes").alias("rf_nodes"),
-                               F.size("mlp_weights").alias("mlp_weights"))
+    cal = fx.sessions_with_a_negative_one(spark, sf)[0]
+    ready = upsert.mark_models_generated(cal, run.published)
+    loaded = jobs.load_models(spark, ready, run.registry)
+    return loaded.select("userid", "calibrationid", "model_type", F.size("labels").alias("n_labels"),
+                         F.coalesce(F.size("classes"), F.lit(0)).alias("n_classes"),
+                         F.coalesce(F.size("mlp_weights"), F.lit(0)).alias("n_weights"),
+                         F.coalesce(F.size("rf.roots"), F.lit(0)).alias("n_trees"), F.col("model_path").isNotNull().alias("has_path"))
 
 
 def current_models(spark, sf):
@@ -111,21 +121,36 @@ def current_models(spark, sf):
 
 
 def training_status(spark, sf):
-    """M9 + K7: per session and model type, ok or failed (with the reason)."""
-    return training_run(spark, sf).statuses
+    """M9 + K7: per session and model type, ok or failed (with the kind of fault)."""
+    return training_run(spark, sf).statuses.select("calibrationid", "userid", "model_type", "status", "fault",
+                                                   F.col("model_path").isNotNull().alias("has_model"))
 
 
 def split_random(spark, sf):
-    """Seeded randomSplit 60/40 of the training rows (partition-dependent, MLlib form)."""
-    run = training_run(spark, sf)
-    rows = run.flow.frame.select("pk", "calibrationid")
-    train, test = random_split(rows, seed=1234)
-    return train.withColumn("is_train", F.lit(True)).unionByName(test.withColumn("is_train", F.lit(False)))
+    """Seeded 60/40 split of the training rows by a hash of key and seed."""
+    rows = training_frame_rows(spark, sf)
+    return random_split(rows, seed=1234).select("pk", "calibrationid", "is_train")
+
+
+def split_fresh(spark, sf):
+    """R2: a split with a fresh seed, evaluated twice: every key is on one side both times."""
+    split = random_split(training_frame_rows(spark, sf), seed=None)
+    twice = split.unionByName(materialize(split, "split"))
+    return twice.groupBy("pk", "calibrationid").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("is_train").alias("n_sides"))
+
+
+def training_frame_rows(spark, sf) -> DataFrame:
+    return Flow(fx.calibrations(spark, sf), fx.calibration_packets(spark, sf)).frame.select("pk", "calibrationid")
 
 
 def all_models_report(spark, sf):
-    """K6: the metrics table for every session and all three model types in one plan."""
-    return present(training_run(spark, sf).metrics_report())
+    """K6: the metrics table for every published session and all three model types in one plan. The
+    fitted models' values have no SQL form: of them the query gives whether they are shares."""
+    r = present(metrics.report(_published_pairs(training_run(spark, sf))))
+    nb = F.col("model") == "nb"
+    return r.select("calibrationid", "model", "metric", "class", F.when(nb, F.col("value")).alias("value"),
+                    F.col("value").between(0, 1).alias("is_share"))
 
 
 def stream_calibration_ingest(spark, sf):
@@ -151,10 +176,7 @@ def stream_instruction_score(spark, sf):
                                   registry_path=f"{run.root}/registry", trigger={"availableNow": True})
     q.awaitTermination()
     stored = read_parquet(spark, f"{base}/table")
-    return stored.select("pk", "userid",
-                         F.col("predictedlabels")["RandomForest"].alias("rf_label"),
-                         F.col("predictedlabels")["MLPerceptron"].alias("mlp_label"),
-                         F.col("predictedlabels")["NaiveBayes"].alias("nb_label"), "pending")
+    return _map_columns(stored, "userid", *[F.round(F.element_at("features", i + 1), 6).alias(f"c{i}") for i in range(6)])
 
 
 ROWS_QUERIES = {
@@ -166,6 +188,7 @@ ROWS_QUERIES = {
     "rf_score": rf_score,
     "mlp_score": mlp_score,
     "split_random": split_random,
+    "split_fresh": split_fresh,
     "model_registry": model_registry,
     "current_models": current_models,
     "training_status": training_status,

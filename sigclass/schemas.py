@@ -83,19 +83,3 @@ UNLABELLED_MESSAGE = T.StructType([
     T.StructField("userId", T.StringType(), True),
     T.StructField("_corrupt_record", T.StringType(), True),
 ])
-
-# Input of the metrics: one row per scored test packet.
-PREDICTION_PAIRS = T.StructType([
-    T.StructField("calibrationid", T.StringType(), True),
-    T.StructField("model", T.StringType(), True),
-    T.StructField("actual", T.DoubleType(), True),
-    T.StructField("predicted", T.DoubleType(), True),
-])
-
-# Quarantine rows of the ingest streams.
-QUARANTINE = T.StructType([
-    T.StructField("source", T.StringType(), True),
-    T.StructField("raw", T.StringType(), True),
-    T.StructField("reason", T.StringType(), True),
-    T.StructField("batch_id", T.LongType(), True),
-])

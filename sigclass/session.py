@@ -49,7 +49,9 @@ def get_session(master: str | None = None, app: str = "sigclass",
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    """One JVM with the driver; a ``local-cluster`` has executors of its own."""
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

@@ -99,6 +99,51 @@ def instruction_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "userid", F.array(*[F.col(f"c{i}") for i in range(6)]).alias("features"))
 
 
+def faulty_calibration_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled packets of which some cannot be used: by order number and session, a value that is not
+    a number, five channels, an unknown label or none."""
+    p = calibration_packets(spark, sf_dir)
+    order = F.split("pk", "-")[0].cast("bigint") % 50
+    bad = (F.col("calibrationid").cast("bigint") % 4 == 1) & (order == 0)
+    features = (F.when(bad, F.concat(F.slice("features", 1, 5), F.array(F.lit(float("nan")))))
+                .when(order == 1, F.slice("features", 1, 5)).otherwise(F.col("features")))
+    label = F.when(order == 2, F.lit("Asleep")).when(order != 3, F.col("label"))
+    return p.withColumns({"features": features, "label": label}).withColumn(
+        "eeg", F.transform("features", lambda x: x.cast("string")))
+
+
+def sessions_with_a_negative_one(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All sessions and packets, and one finished session more whose channels are negative."""
+    e = embedding_packets(spark, sf_dir)
+    c = e.select("calibrationid", "userid").distinct().select(
+        "calibrationid", "userid", F.lit(None).cast("timestamp_ntz").alias("startdate"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("enddate"), F.lit(False).alias("modelsgenerated"))
+    cal = calibrations(spark, sf_dir)
+    c = c.select(*[F.col(x).cast(t).alias(x) for x, t in cal.dtypes])
+    pk = calibration_packets(spark, sf_dir)
+    e = e.select(*[F.col(x).cast(t).alias(x) for x, t in pk.dtypes])
+    return cal.unionByName(c), pk.unionByName(e)
+
+
+def instruction_packets_some_without_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unlabelled packets, of which every tenth has no user."""
+    p = instruction_packets(spark, sf_dir)
+    return p.withColumn("userid", F.when(F.col("pk").cast("bigint") % 10 != 3, F.col("userid")))
+
+
+def stored_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored instruction rows: a third classified, a third with one entry and the rest with none."""
+    from sigclass.schemas import MAP_KEYS, PLACEHOLDER
+    p = instruction_packets(spark, sf_dir)
+    turn = F.col("pk").cast("bigint") % 3
+
+    def entry(known):
+        return F.when(known, F.lit("Deep")).otherwise(F.lit(PLACEHOLDER))
+    labels = F.create_map(F.lit(MAP_KEYS["rf"]), entry(turn < 2), F.lit(MAP_KEYS["mlp"]), entry(turn == 0),
+                          F.lit(MAP_KEYS["nb"]), entry(turn == 0))
+    return p.withColumns({"predictedlabels": labels, "pending": turn != 0})
+
+
 def labelled_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled packets as the JSON messages of the calibration topic (column ``value``)."""
     p = calibration_packets(spark, sf_dir)

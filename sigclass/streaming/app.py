@@ -18,14 +18,18 @@ from sigclass.streaming.scoring import start_instruction_scoring
 def start_both(spark: SparkSession, paths: TablePaths, checkpoint_root: str, *,
                kafka_bootstrap: str | None = None, calibration_topic: str = "calibration",
                instruction_topic: str = "instruction", calibration_dir: str | None = None,
-               instruction_dir: str | None = None, trigger: dict | None = None):
-    """Start the two queries (Kafka topics, or JSON-line directories when no broker is given)."""
+               instruction_dir: str | None = None, trigger: dict | None = None,
+               max_offsets_per_trigger: int | None = None, max_files_per_trigger: int | None = None):
+    """Start the two queries (Kafka topics, or JSON-line directories when no broker is given).
+
+    The two limits bound a micro-batch, also the first one over a backlog.
+    """
     if kafka_bootstrap:
-        cal_src = kafka_topic(spark, kafka_bootstrap, calibration_topic)
-        ins_src = kafka_topic(spark, kafka_bootstrap, instruction_topic)
+        cal_src = kafka_topic(spark, kafka_bootstrap, calibration_topic, max_offsets_per_trigger)
+        ins_src = kafka_topic(spark, kafka_bootstrap, instruction_topic, max_offsets_per_trigger)
     else:
-        cal_src = file_topic(spark, calibration_dir)
-        ins_src = file_topic(spark, instruction_dir)
+        cal_src = file_topic(spark, calibration_dir, max_files_per_trigger)
+        ins_src = file_topic(spark, instruction_dir, max_files_per_trigger)
     root = checkpoint_root.rstrip("/")
     q1 = start_calibration_ingest(spark, cal_src, paths.packets, f"{paths.packets}_quarantine",
                                   f"{root}/ingest", trigger, name="calibration_ingest")

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from sigclass.plans.oracle import SQL as PACKET_SQL
 from tests.conftest import SF001
 
 
@@ -20,7 +21,7 @@ def test_oracle_keys_are_queries():
     assert len(q) >= 40
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(PACKET_SQL))
 def test_oracle_matches_at_smoke_scale(spark, name):
     import duckdb
     import pandas as pd

@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from sigclass.operators import metrics as metrics_mod
-from sigclass.operators import mllib_train, scorers
+from sigclass.operators import scorers
 from sigclass.plans import jobs
 from sigclass.plans.flow import Flow
 from sigclass.sources import fixtures as fx
@@ -56,26 +56,20 @@ def test_exported_scorers_equal_transform(spark):
                              model_types=["rf", "mlp"])
     st = run.statuses.collect()
     assert st and all(r["status"] == "ok" for r in st)
-    ml = spark.read.schema(mllib_train.PAIRS_SCHEMA).parquet(f"{run.root}/pairs")
+    ml = jobs.read_pairs(spark, run.root)
     test = run.flow.indexed.where("not is_train").select(
         "pk", "calibrationid", F.col("calibrationid").alias("userid"), "features")
     spec = run.flow.spec.select("calibrationid", "labels")
-    cfg = mllib_train.TrainConfig()
     for mt, col in (("rf", "rf_label"), ("mlp", "mlp_label")):
         reg = run.registry.where(F.col("model_type") == mt).withColumn("userid", F.col("calibrationid"))
-        engines = {
-            "arrow": scorers.score(test, reg, rows_per_group=50),  # small groups: exercises salting
-            "jvm": scorers.score_jvm(test, reg, cfg.mlp_layers, cfg.n_classes, max_depth=cfg.rf_max_depth),
-        }
-        for name, out in engines.items():
-            ours = out.join(spec, "calibrationid").select(
-                "pk", (F.array_position("labels", F.col(col)) - 1).cast("double").alias("p"))
-            j = ours.join(ml.where(F.col("model") == mt), "pk")
-            assert j.count() == test.count(), (mt, name)
-            assert j.where("p <> predicted").count() == 0, (mt, name)
+        out = scorers.score(test, reg, rows_per_group=50)  # small groups: exercises salting
+        ours = out.join(spec, "calibrationid").select(
+            "pk", (F.array_position("labels", F.col(col)) - 1).cast("double").alias("p"))
+        j = ours.join(ml.where(F.col("model") == mt), "pk")
+        assert j.count() == test.count(), mt
+        assert j.where("p <> predicted").count() == 0, mt
     # the forest used a categorical split on the re-coded channel 4
-    nodes = run.registry.where("model_type = 'rf'").select(F.explode("rf_nodes").alias("n")) \
-        .where("n.ncat >= 0 and n.left >= 0").count()
+    nodes = run.registry.where("model_type = 'rf'").select(F.explode("rf.cats").alias("c")).where("c >= 0").count()
     assert nodes > 0
     # metrics table covers every session and both model types
     rep = run.metrics_report().groupBy("model").count().collect()
@@ -106,13 +100,21 @@ def test_matrix_total_equals_test_rows(spark, flow):
 
 def test_rf_predict_hand_built_tree():
     """Continuous split x0 <= 1.5; then categorical split on x1 in {0, 2}; unseen code 3 goes right."""
-    def nd(i, left, right, feature=None, cats=None, ncat=-1, stats=None):
-        return {"tree": 0, "id": i, "stats": stats or [1.0, 1.0, 1.0], "left": left, "right": right,
-                "feature": feature, "cats": cats, "ncat": ncat}
-    nodes = [nd(0, 1, 2, feature=0, cats=[1.5]),
-             nd(1, -1, -1, stats=[5.0, 0.0, 0.0]),                       # leaf -> class 0
-             nd(2, 3, 4, feature=1, cats=[0.0, 2.0], ncat=3),
-             nd(3, -1, -1, stats=[0.0, 4.0, 1.0]),                       # leaf -> class 1
-             nd(4, -1, -1, stats=[0.0, 1.0, 3.0])]                       # leaf -> class 2
-    x = np.array([[1.0, 0.0], [2.0, 0.0], [2.0, 2.0], [2.0, 1.0], [2.0, 3.0]])
-    assert list(scorers.rf_predict(x, nodes, 3)) == [0.0, 1.0, 1.0, 2.0, 2.0]
+    rf = {"roots": [0], "left": [1, -1, 3, -1, -1], "right": [2, -1, 4, -1, -1], "feature": [0, 0, 1, 0, 0],
+          "threshold": [1.5, 0, 0, 0, 0], "cats": [-1, -1, 0b101, -1, -1],
+          "probs": [0, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0.8, 0.2, 0, 0.25, 0.75]}
+    x = np.array([[1.0, 0.0], [2.0, 0.0], [2.0, 2.0], [2.0, 1.0], [2.0, 3.0], [np.nan, 0.0]])
+    assert list(scorers.rf_predict(x, rf, 3)) == [0, 1, 1, 2, 2, 1]
+
+
+def test_every_row_stays_when_scored(spark):
+    """Rows without a user, a model or a whole vector keep the placeholder; none is lost."""
+    run = jobs.train_pending(spark, fx.calibrations(spark, SF001), fx.calibration_packets(spark, SF001),
+                             model_types=["nb", "mlp"])
+    rows = fx.instruction_packets_some_without_user(spark, SF001).withColumn(
+        "features", F.when(F.col("pk").cast("int") % 7 == 0, F.lit(None)).otherwise(F.col("features")))
+    out = jobs.score_instructions(rows, run.registry, rows_per_group=100)
+    assert out.count() == rows.count()
+    assert out.where("userid is null and not predictedlabels['MLPerceptron'] = 'Generating Model'").count() == 0
+    assert out.where("features is null and not predictedlabels['NaiveBayes'] = 'Generating Model'").count() == 0
+    assert out.where("predictedlabels['MLPerceptron'] <> 'Generating Model'").count() > 0

@@ -44,15 +44,14 @@ def test_shuffle_join_path_gives_same_results(spark):
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
 
 
-def test_jvm_serving_has_no_python(spark):
-    """Serving with engine="jvm" stays in the JVM (no Arrow/Python exchange)."""
-    from sigclass.plans import jobs
-    run = jobs.train_pending(spark, fx.calibrations(spark, SF001), fx.calibration_packets(spark, SF001),
-                             model_types=["nb"])
-    out = jobs.score_instructions(fx.instruction_packets(spark, SF001), run.registry, engine="jvm")
-    plan = _plan(out)
-    assert "ArrowEvalPython" not in plan and "FlatMapCoGroupsInPandas" not in plan
-    assert out.count() == fx.instruction_packets(spark, SF001).count()
+def test_training_reads_vectors_only(spark):
+    """Of stored packets the passes read the parsed vector, never the channel strings."""
+    base = fresh_path(spark, "t-vectors")
+    fx.calibration_packets(spark, SF001).write.parquet(base)
+    fl = Flow(fx.calibrations(spark, SF001), spark.read.parquet(base))
+    plan = _plan(prepare.session_profile(fl.frame))
+    scans = [x for x in plan.split("\n") if "ReadSchema" in x and "features" in x]
+    assert scans and "eeg" not in plan
 
 
 def test_packet_passes_pre_aggregate_and_never_window_packets(spark):

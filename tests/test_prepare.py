@@ -1,6 +1,7 @@
 """F1-F2, J1, J3, A1-A3, P7-P8 edge cases."""
 
 import datetime as dt
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -59,7 +60,7 @@ def test_apply_categories_unseen_gets_k(spark):
     df = spark.createDataFrame([([0.0, 10.0, 99.0],)], "f array<double>").withColumn(
         "m", F.create_map(F.lit(1), F.create_map(F.lit(10.0), F.lit(1.0), F.lit(0.0), F.lit(0.0)),
                           F.lit(2), F.create_map(F.lit(5.0), F.lit(0.0))))
-    out = df.select(prepare.apply_categories("f", "m").alias("x")).collect()[0]["x"]
+    out = df.select(prepare.apply_categories("f", "m", n_channels=3).alias("x")).collect()[0]["x"]
     assert out == [0.0, 1.0, 1.0]  # channel 0 continuous; channel 2 unseen -> k = 1
 
 
@@ -86,7 +87,7 @@ def test_training_frame_marks_invalid(spark):
 
 
 def test_stored_table_without_vectors_is_parsed(spark):
-    """A packet table written with the strings only reads back with parsed vectors."""
+    """A packet table written with the strings only has parsed vectors once it is compacted."""
     from sigclass.session import fresh_path
     from sigclass.sources import tables
     base = fresh_path(spark, "t-legacy")
@@ -97,19 +98,57 @@ def test_stored_table_without_vectors_is_parsed(spark):
     cal = spark.createDataFrame([("s", "u", TS, TS, False)],
                                 "calibrationid string, userid string, startdate timestamp_ntz, "
                                 "enddate timestamp_ntz, modelsgenerated boolean")
-    fr = prepare.training_frame(cal, tables.read_packets(spark, f"{base}/pk")).collect()
+    raw = prepare.training_frame(cal, tables.read_packets(spark, f"{base}/pk")).collect()
+    assert raw[0]["reason"] == "missing DataPacketValue"  # seen, not dropped
+    tables.compact_packets(spark, f"{base}/pk", f"{base}/compact")
+    fr = prepare.training_frame(cal, tables.read_session_packets(spark, f"{base}/compact", cal)).collect()
     assert fr[0]["valid"] and fr[0]["features"] == [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]
 
 
 def test_random_split_forms(spark):
-    """R1 (seeded) and R2 (fresh seed): two disjoint sides that cover the input; seeded is repeatable."""
+    """R1 (seeded) and R2 (fresh seed): every row on one side, however it is partitioned; seeded repeats."""
     from sigclass.functions.split import random_split
-    df = spark.range(2000).withColumnRenamed("id", "pk").cache()
+    df = spark.range(2000).withColumnRenamed("id", "pk")
     for seed in (1234, None):
-        tr, te = random_split(df, seed=seed)
-        assert tr.count() + te.count() == 2000
-        assert tr.join(te, "pk").count() == 0
-        assert 0.5 < tr.count() / 2000 < 0.7
-    a, _ = random_split(df, seed=1234)
-    b, _ = random_split(df, seed=1234)
+        split = random_split(df, seed=seed)
+        assert split.count() == 2000
+        assert 0.5 < split.where("is_train").count() / 2000 < 0.7
+    a, b = random_split(df, seed=1234), random_split(df.repartition(7), seed=1234)
     assert a.exceptAll(b).count() == 0
+    assert random_split(df, seed=1).exceptAll(a).count() > 0
+
+
+def test_invalid_packets_are_counted_and_fail_naive_bayes(spark):
+    from sigclass.plans.flow import Flow
+    good = [float(x) for x in range(1, 7)]
+    rows = [("a", "Deep", good), ("a", "Shallow", good)] * 20 + [("a", "Deep", good[:5] + [float("nan")]), ("a", "Other", good)]
+    rows += [("b", "Deep", good), ("b", "Medium", good)] * 20 + [("b", None, good), ("b", "Deep", good[:5])]
+    rows += [("c", "Deep", good[:3])] * 4
+    pk = spark.createDataFrame([(f"p{i}", c, "u", lab, v) for i, (c, lab, v) in enumerate(rows)],
+                               "pk string, calibrationid string, userid string, label string, features array<double>")
+    cal = spark.createDataFrame([(c, "u", TS, TS, False) for c in "abcd"],
+                                "calibrationid string, userid string, startdate timestamp_ntz, "
+                                "enddate timestamp_ntz, modelsgenerated boolean")
+    fl = Flow(cal, pk)
+    bad = {(r["calibrationid"], r["reason"]): r["n"] for r in prepare.invalid_packets(fl.frame).collect()}
+    assert bad == {("a", "channel value is not a finite number"): 1, ("a", "unknown Label"): 1,
+                   ("b", "missing Label"): 1, ("b", "channel count is not 6"): 1, ("c", "channel count is not 6"): 4}
+    status = {r["calibrationid"]: (r["ok"], r["error"]) for r in fl.nb_status().collect()}
+    assert status == {"a": (False, "feature that is not finite"), "b": (True, None), "c": (False, "no training rows")}
+
+
+def test_compacted_table_is_read_by_bucket(spark):
+    from sigclass.session import fresh_path
+    from sigclass.sources import fixtures as fx
+    from sigclass.sources import tables
+    from tests.conftest import SF001
+    base = fresh_path(spark, "t-compact-packets")
+    packets = fx.calibration_packets(spark, SF001)
+    packets.write.parquet(f"{base}/raw")
+    tables.compact_packets(spark, f"{base}/raw", f"{base}/by_session")
+    one = spark.createDataFrame([("7",)], "calibrationid string")
+    got = tables.read_session_packets(spark, f"{base}/by_session", one, broadcast=True)
+    plan = got.select("pk", "features")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*bucket", plan) and "eeg" not in plan
+    assert sorted(r[0] for r in got.select("pk").collect()) == sorted(
+        r[0] for r in packets.where("calibrationid = '7'").select("pk").collect())

@@ -2,8 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from sigclass.operators import registry, upsert
 
 
@@ -14,13 +12,6 @@ def test_upsert_last_write_wins(spark):
     assert out == {"a": 1, "b": 20, "c": 30}
 
 
-def test_replace_rows(spark):
-    cur = spark.createDataFrame([("a", True, "x"), ("b", False, "y")], "k string, pending boolean, v string")
-    rep = spark.createDataFrame([("a", False, "z")], "k string, pending boolean, v string")
-    out = {r["k"]: r["v"] for r in upsert.replace_rows(cur, ~F.col("pending"), rep).collect()}
-    assert out == {"a": "z", "b": "y"}
-
-
 def test_mark_models_generated(spark):
     t = dt.datetime(2024, 1, 1)
     cal = spark.createDataFrame([("a", "u", t, t, False), ("b", "u", t, t, None)],

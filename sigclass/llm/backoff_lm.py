@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigclass.llm.common import n_words
+from sigclass.session import ship_package
 
 BACKOFF = 0.4
 #: Longest n-gram. Each further order moves about as much as the texts themselves.
@@ -182,6 +183,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chunk_b
           part_grams: int = PART_GRAMS) -> DataFrame:
     """One row per document: doc_id, n_words, log_score (natural), mean_log_score, n_backed_off (words
     that paid a backoff) and n_unseen (words that no other document has)."""
+    ship_package(docs.sparkSession)
     size, words = docs.agg(F.sum(F.octet_length("text")), F.sum(n_words("text"))).first()
     size, words = size or 0, words or 0
     chunks, parts = size // chunk_bytes + 1, order * words // part_grams + 1

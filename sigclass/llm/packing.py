@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigclass.llm.tokens import encoder
+from sigclass.session import ship_package
 
 #: Dimensions of the projection and bits of each on the curve: 4 x 15 bits fit a long.
 DIMENSIONS, BITS = 4, 15
@@ -126,6 +127,7 @@ def pack_along_curve(docs: DataFrame, length: int = 1024, end_id: int = 0,
     ``vocabulary`` is the path of a tokenizer file as the executors see it; None takes the
     installed public byte-level vocabulary there.
     """
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     keyed = rows.mapInArrow(_keys, "doc_id long, text binary, curve long")
     order = ["curve", "doc_id"]

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigclass.session import ship_package
+
 #: Base rules (fixed values).
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 #: Most labelled documents that enter the fit.
@@ -202,6 +204,7 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> T
     """Trees that tell quality 1 from 0, from at most ``sample`` labels, chosen by hash.
 
     The sample is bounded, so it may be broadcast: only its documents are counted for the fit."""
+    ship_package(docs.sparkSession)
     known = (labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_of"), "quality")
              .orderBy(F.xxhash64("_of", "quality"), "_of", "quality").limit(sample))
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_of"))

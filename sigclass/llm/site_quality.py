@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sigclass.llm.common import checked_broadcast
 from sigclass.llm.quality_rules import COUNTS, features, text_counts
-from sigclass.session import materialize
+from sigclass.session import materialize, ship_package
 
 #: Most labelled documents that enter the fit.
 SAMPLE = 20_000
@@ -90,6 +90,7 @@ class Evidence:
 
 def fit_evidence(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Evidence:
     """The classifier of at most ``sample`` labels, chosen by hash; the sample is broadcast."""
+    ship_package(docs.sparkSession)
     known = (labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_of"), "quality")
              .orderBy(F.xxhash64("_of", "quality"), "_of", "quality").limit(sample))
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_of"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sigclass.llm.common import prefix_sums
 from sigclass.llm.tokens import encoder
-from sigclass.session import fresh_path, materialize
+from sigclass.session import fresh_path, materialize, ship_package
 
 #: Stripes of 16 MB, an index entry every 1,000 documents, 1 false positive in 100.
 ORC_OPTIONS = {"orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000",
@@ -48,6 +48,7 @@ def _encode(vocabulary: str | None, end_id: int, rows: int = 500):
 
 def write_ids(docs: DataFrame, path: str, end_id: int = 2, vocabulary: str | None = None) -> None:
     """Tokenise every document and write its ids, ending with ``end_id``, in ascending doc_id order."""
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ranged.mapInArrow(_encode(vocabulary, end_id), FILE_SCHEMA).write.options(**ORC_OPTIONS).orc(path)
@@ -73,6 +74,7 @@ def _checksums(batches):
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """From the files, one row per document: doc_id, start (ids of all documents before it),
     n_tokens, ids_crc32."""
+    ship_package(spark)
     rows = read_ids(spark, path).mapInArrow(_checksums, "doc_id long, n_tokens long, ids_crc32 long")
     rows = materialize(rows, "orc-digests")
     return prefix_sums(rows, ["doc_id", "ids_crc32"], {"n_tokens": "start"}, "orc-starts").select(

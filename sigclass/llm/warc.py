@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigclass.session import fresh_path, materialize
+from sigclass.session import fresh_path, materialize, ship_package
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 1000
@@ -106,6 +106,7 @@ def _write(folder: str):
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) -> DataFrame:
     """Write the archives under ``folder`` and return their manifest: path, size."""
     spark = pages.sparkSession
+    ship_package(spark)
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(jvm_path)
     return materialize(with_revisits(pages, least).mapInArrow(_write(folder), "path string, size long"),
@@ -221,6 +222,7 @@ def read_archives(manifest: DataFrame, split_bytes: int = 4 << 20, with_payload:
     """The response and revisit records of the archives of a manifest (READ), by byte ranges."""
     ranges = splits(manifest, split_bytes)
     spark = manifest.sparkSession
+    ship_package(spark)
     total = manifest.agg(F.sum("size")).first()[0] or 0
     tasks = max(spark.sparkContext.defaultParallelism, total // (4 * split_bytes) + 1)
     return ranges.repartition(int(tasks)).mapInArrow(_read(with_payload), READ)

@@ -13,9 +13,10 @@ once for a class, so exact copies cost nothing.
    collision; pairs far below the threshold go. The others are confirmed on the
    full shingle sets, recomputed from the texts.
 3. Components of the links. Only members of different components of a bucket can
-   add anything: in buckets with few of them, all such pairs follow. Members of
-   larger ones (a passage that many texts share) are dealt anew by more and
-   longer bands, paired and confirmed alike, stars first. No partner is dropped.
+   add anything: in buckets with few members all such pairs follow. In larger ones
+   (a passage that many texts share, copies of copies) the members are compared
+   inside the tasks, in blocks, by registers and then by their sets of shingles:
+   no pair leaves a task but the links that it finds. No partner is dropped.
 
 A pair at the threshold shares no band with a probability below 1e-6.
 
@@ -37,19 +38,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigclass.llm.common import checked_broadcast
-from sigclass.llm.components import components
-from sigclass.session import materialize
+from sigclass.llm.components import components, joined_with
+from sigclass.session import materialize, ship_package
 
 SHINGLE = 5
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Bands and registers of each: first, and for members of large buckets.
+#: Bands and registers of each.
 BANDS, ROWS = 52, 5
-MORE_BANDS, MORE_ROWS = 160, 8
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-#: Buckets with more unresolved members than this are dealt anew.
-LARGE_BUCKET = 16
+#: Buckets with more members than this are compared inside the tasks, in blocks of about BLOCK.
+LARGE_BUCKET, BLOCK = 16, 1000
 #: Expected collisions of a register of unequal sets, times 2**MANTISSA (HyperMinHash, 2017).
 COLLISION = 0.169919487159739
 #: Below the threshold by this much, an estimate of 260 registers is over five deviations off.
@@ -130,39 +130,85 @@ def _signatures(batches):
             ["doc_id", "text_hash", "set_id", "n_shingles", "registers"])
 
 
-def _picked(bands: int, rows: int) -> np.ndarray:
-    """The registers of each band: consecutive ones if there are enough, else random choices."""
-    if bands * rows <= REGISTERS:
-        return np.arange(bands * rows).reshape(bands, rows)
-    rng = np.random.RandomState(bands)
-    return np.array([rng.choice(REGISTERS, rows, replace=False) for _ in range(bands)])
+def _band_keys(regs: np.ndarray) -> np.ndarray:
+    """The key of each band of each row of registers."""
+    keys = np.repeat(_mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP[0])[None, :], len(regs), 0)
+    parts = regs.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    for r in range(ROWS):
+        keys = _mixed(keys + (parts[:, :, r] + np.uint64(1)) * _STEP[r % 5])
+    return keys.view(np.int64)
 
 
-def _banded(bands: int, rows: int):
-    def run(batches):
-        picked = _picked(bands, rows)
-        salt = _mixed(np.arange(1, bands + 1, dtype=np.uint64) * _STEP[0])
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                regs = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-                keys = np.repeat(salt[None, :], len(regs), 0)
-                for r in range(rows):
-                    keys = _mixed(keys + (regs[:, picked[:, r]].astype(np.uint64) + np.uint64(1)) * _STEP[r % 5])
-                nodes = np.repeat(batch.column("node").to_numpy(), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(nodes)], ["key", "node"])
-    return run
+def _registers(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+
+def _banded(batches):
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            batch = whole.slice(at, 1000)
+            keys = _band_keys(_registers(batch.column("registers")))
+            nodes = np.repeat(batch.column("node").to_numpy(), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes)], ["key", "node"])
+
+
+def _jaccard(equal: np.ndarray) -> np.ndarray:
+    """Estimate from the share of equal registers, less the collisions expected among the others."""
+    by_chance = COLLISION / (1 << MANTISSA)
+    return (equal - by_chance) / (1 - by_chance)
+
+
+def _is_link(both: int, na: int, nb: int) -> bool:
+    return 100 * both >= PERCENT * (na + nb - both)
+
+
+def _sets(batches):
+    """Shingle sets as sorted 32-bit hashes, for the comparison inside large buckets."""
+    shingle = Shingler()
+    for batch in batches:
+        sets = [np.unique((shingle(t) >> np.uint64(32)).astype("<u4")) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in sets], pa.binary())],
+                                         ["node", "members"])
+
+
+def _links_in_block(key, rows):
+    """Links between members of a large bucket that are in different components, for one pair of
+    blocks. A pair that shares an earlier band is left to that band's bucket, and once two
+    components are linked here their other pairs are not looked at."""
+    (bucket, first, second), found = (k.as_py() for k in key), []
+    nodes, comps, blocks = (rows.column(c).to_numpy() for c in ("node", "comp", "block"))
+    regs = _registers(rows.column("registers"))
+    members = [np.frombuffer(x, "<u4") for x in rows.column("members").to_pylist()]
+    sizes = np.array([len(m) for m in members])
+    band = int(np.flatnonzero(_band_keys(regs[:1])[0] == bucket)[0])
+    roots = comps.copy()
+    left, right = np.flatnonzero(blocks == first), np.flatnonzero(blocks == second)
+    for place, a in enumerate(left):
+        others = right[place + 1:] if first == second else right
+        others = others[(roots[others] != roots[a])
+                        & (100 * np.minimum(sizes[others], sizes[a]) >= PERCENT * np.maximum(sizes[others], sizes[a]))]
+        if not len(others):
+            continue
+        equal = regs[others] == regs[a]
+        here = equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
+        likely = here & ((np.minimum(sizes[others], sizes[a]) < SMALL_SET)
+                         | (_jaccard(equal.mean(1)) >= PERCENT / 100 - MARGIN))
+        for b in others[likely]:
+            if roots[a] != roots[b]:
+                both = len(np.intersect1d(members[a], members[b], assume_unique=True))
+                if _is_link(both, sizes[a], sizes[b]):
+                    found.append(sorted((int(nodes[a]), int(nodes[b]))))
+                    roots[roots == roots[b]] = roots[a]
+    return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
 
 def _estimated(least: float):
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-                    for c in ("ra", "rb"))
-            equal = (a == b).mean(1)
-            by_chance = COLLISION / (1 << MANTISSA)
-            jaccard = (equal - by_chance) / (1 - by_chance)
-            keep = pa.array(jaccard >= least)
+            jaccard = _jaccard((_registers(batch.column("ra")) == _registers(batch.column("rb"))).mean(1))
+            # of very small sets a few that share a bucket move the estimate: they are confirmed at once
+            small = np.minimum(*[batch.column(c).to_numpy() for c in ("na", "nb")]) < SMALL_SET
+            keep = pa.array(small | (jaccard >= least))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
     return run
 
@@ -182,7 +228,7 @@ def _confirmed(batches):
         for a, b, ta, tb in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")]):
             sa, sb = known(a, ta), known(b, tb)
             both = len(np.intersect1d(sa, sb, assume_unique=True))
-            linked.append(100 * both >= PERCENT * (len(sa) + len(sb) - both))
+            linked.append(_is_link(both, len(sa), len(sb)))
         keep = pa.array(linked, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
@@ -200,24 +246,33 @@ class _Linker:
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
+        if pairs.isEmpty():
+            return pairs
         self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
         side = lambda x: self.classes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"),
                                              F.col("registers").alias(f"r{x}"))
         sized = pairs.join(side("a"), "a").join(side("b"), "b").where(
             100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-        # of very small sets a few that share a bucket move the estimate: they are confirmed at once
-        small = F.least("na", "nb") < SMALL_SET
-        likely = sized.where(~small).select("a", "b", "ra", "rb").mapInArrow(
-            _estimated(PERCENT / 100 - MARGIN), "a long, b long")
-        likely = materialize(likely.unionByName(sized.where(small).select("a", "b")), "likely")
-        texts = self.texts(likely)
+        likely = materialize(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(
+            _estimated(PERCENT / 100 - MARGIN), "a long, b long"), "likely")
+        texts = self.texts(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
         both = (likely.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
                 .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"))
         return materialize(both.mapInArrow(_confirmed, "a long, b long"), "links")
 
-    def texts(self, pairs: DataFrame) -> DataFrame:
-        """node and text of the classes in some pairs, each from one of its documents."""
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    def links_inside(self, members: DataFrame) -> DataFrame:
+        """Links among the members (key, node, comp, n) of large buckets, compared in blocks."""
+        sets = self.texts(members.select("node").distinct()).mapInArrow(_sets, "node long, members binary")
+        payload = self.classes.select("node", "registers").join(sets, "node")
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        dealt = members.select("key", "node", "comp", F.pmod(F.xxhash64("node", "key"), blocks).cast("int").alias("block"),
+                               F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        dealt = dealt.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")})
+        found = dealt.join(payload, "node").groupBy("key", "first", "second").applyInArrow(_links_in_block, "a long, b long")
+        return materialize(found.distinct(), "links")
+
+    def texts(self, nodes: DataFrame) -> DataFrame:
+        """node and text of some classes, each from one of its documents."""
         wanted = self.classes.select("node", "pick").join(nodes, "node").select(
             "node", F.col("pick.doc_id").alias("_doc"), F.col("pick.text_hash").alias("_hash"))
         wanted = checked_broadcast(materialize(wanted, "wanted"), 1_000_000)  # three longs a row
@@ -226,23 +281,21 @@ class _Linker:
         return materialize(rows.dropDuplicates(["node"]).select("node", "text"), "texts")
 
 
-def _buckets(classes: DataFrame, bands: int, rows: int, name: str) -> DataFrame:
+def _buckets(classes: DataFrame) -> DataFrame:
     """key, node and first (the bucket's smallest node) of all buckets with several nodes."""
-    banded = classes.select("node", "registers").mapInArrow(_banded(bands, rows), "key long, node long")
+    banded = classes.select("node", "registers").mapInArrow(_banded, "key long, node long")
     several = (banded.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
                .where("first < last").select("key", "first"))
-    return materialize(banded.join(several, "key"), name)
+    return materialize(banded.join(several, "key"), "buckets")
 
 
 def _star(buckets: DataFrame) -> DataFrame:
     return buckets.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
 
 
-def _unresolved(buckets: DataFrame, links: DataFrame) -> DataFrame:
+def _unresolved(buckets: DataFrame, comps: DataFrame) -> DataFrame:
     """key, node, comp and n (members) of the buckets whose nodes are not all in one component."""
-    comps = components(links)
     marked = buckets.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    marked = materialize(marked, "marked")
     open_ = (marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
                                        F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n"))
     return materialize(marked.join(open_, "key"), "unresolved")
@@ -255,22 +308,22 @@ def _across(members: DataFrame) -> DataFrame:
             .where("a < b and comp <> other").select("a", "b"))
 
 
-def _all_links(linker: _Linker, classes: DataFrame) -> DataFrame:
-    first = _buckets(classes, BANDS, ROWS, "buckets")
-    links = linker.links(_star(first))
-    members = _unresolved(first, links)
-    links = links.unionByName(linker.links(_across(members.where(F.col("n") <= LARGE_BUCKET))))
-    crowded = members.where(F.col("n") > LARGE_BUCKET).select("node").distinct()
-    again = _buckets(classes.join(crowded, "node", "left_semi"), MORE_BANDS, MORE_ROWS, "more-buckets")
-    if again.isEmpty():
-        return links
-    links = links.unionByName(linker.links(_star(again)))
-    return links.unionByName(linker.links(_across(_unresolved(again, links))))
+def _linked(linker: _Linker, classes: DataFrame) -> DataFrame:
+    """node and comp of every class that is linked with another."""
+    buckets = _buckets(classes)
+    comps = components(linker.links(_star(buckets)))
+    members = _unresolved(buckets, comps)
+    links = linker.links(_across(members.where(F.col("n") <= LARGE_BUCKET)))
+    large = members.where(F.col("n") > LARGE_BUCKET)
+    if not large.isEmpty():
+        links = links.unionByName(linker.links(linker.links_inside(large)))
+    return joined_with(comps, links)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept; and text_hash and comp, which
     tell rows and components apart where doc_ids repeat."""
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
                        F.col("text").cast("binary").alias("text"))
     signed = materialize(rows.mapInArrow(_signatures, "doc_id long, text_hash long, set_id binary, n_shingles long, "
@@ -280,7 +333,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.any_value("n_shingles").alias("n_shingles"), F.any_value("registers").alias("registers"))
         .withColumn("node", F.monotonically_increasing_id()))
     classes = materialize(classes, "classes")
-    found = components(_all_links(_Linker(rows, classes), classes))
+    found = _linked(_Linker(rows, classes), classes)
     comps = classes.select("set_id", "least_doc", "node").join(found, "node", "left").select(
         "set_id", "least_doc", F.coalesce("comp", "node").alias("comp"))
     comps = materialize(comps, "class-components")

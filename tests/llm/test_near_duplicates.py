@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sigclass.llm import components as C
@@ -74,8 +75,10 @@ def test_against_all_pairs(docs_of):
     assert run(docs_of(rows)) == brute(rows)
 
 
-def test_crowded_buckets_take_the_second_bands(docs_of, monkeypatch):
+@pytest.mark.parametrize("block", [7, 1000])
+def test_large_buckets_are_compared_in_blocks(docs_of, monkeypatch, block):
     monkeypatch.setattr(H, "LARGE_BUCKET", 3)
+    monkeypatch.setattr(H, "BLOCK", block)
     rng = random.Random(9)
     passage = [f"p{i}" for i in range(70)]
     texts = [" ".join([f"o{rng.randint(0, 10**6)}" for _ in range(rng.randint(8, 25))] + passage) for _ in range(60)]

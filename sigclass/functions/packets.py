@@ -45,9 +45,8 @@ def vector_reason(values: Column | str = "features", width: int = N_CHANNELS) ->
 def packet_reason(features: Column | str = "features", label: Column | str = "label") -> Column:
     """Why a labelled packet cannot be used (NULL when it can)."""
     label = F.col(label) if isinstance(label, str) else label
-    reason = vector_reason(features)
-    return (F.when(reason.isNotNull(), reason).when(label.isNull(), F.lit("missing Label"))
-            .when(~label.isin(*LABELS), F.lit("unknown Label")))
+    return F.coalesce(vector_reason(features), F.when(label.isNull(), F.lit("missing Label"))
+                      .when(~label.isin(*LABELS), F.lit("unknown Label")))
 
 
 def with_features(df: DataFrame, eeg: str = "eeg", out: str = "features") -> DataFrame:

@@ -1,9 +1,9 @@
 """Token ids of whole texts by a public byte-level BPE vocabulary.
 
-The pieces of a text that begin at ASCII white space are encoded one by one, each
-distinct piece once for a worker, by the model of the ``tokenizers`` library: a
-byte-level BPE never merges across such a place. Texts with other white space
-characters go through the library whole, as there its runs may differ.
+A text is cut where white space follows other characters and its pieces are encoded one
+by one, each distinct word once for a worker, by the model of the ``tokenizers``
+library: a byte-level BPE never merges across such a place. Texts with white space
+beyond the ASCII kinds go through the library whole, as there its runs may differ.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ import struct
 import numpy as np
 
 _PIECES = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+").findall
-_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]").search
-_LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]").search
+_LETTERS_SIGNS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]{0,3})").fullmatch
+_SPACE = re.compile("[ \n\t\r]").search
+_RUNS = ("  ", "\n ", "\t ", "\r ")
 #: Characters whose UTF-8 forms have every byte that UTF-8 uses between them.
 _ALL_BYTES = [*range(0x800), 0x800, *range(0x1000, 0x10000, 0x1000), *range(0x10000, 0x110000, 0x40000), 0x100000]
 
@@ -27,7 +29,7 @@ def default_vocabulary() -> str:
 
 
 class Encoder(dict):
-    """Maps pieces to the bytes of their ids (unsigned 32-bit, little-endian).
+    """Maps a word to the bytes of the ids (unsigned 32-bit, little-endian) of a space and that word.
 
     ``vocabulary`` is the path of a tokenizer file; None takes ``default_vocabulary()`` where it
     runs. The memo is emptied when it has ``max_pieces`` entries, which changes no result.
@@ -45,28 +47,51 @@ class Encoder(dict):
         self.alphabet = {}
         for c in map(chr, _ALL_BYTES):
             self.alphabet.update(zip(c.encode(), self.split(c)[0][0]))
+        self.signs: dict = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        if _LETTERS(piece):  # one pre-token
-            parts = (piece.encode().decode("latin-1").translate(self.alphabet),)
+    def _model(self, part: str) -> bytes:
+        """The ids of one pre-token in the byte-level alphabet."""
+        ids = [t.id for t in self.model.tokenize(part)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        return b"".join(self._model(p) for p, _ in self.split(piece))
+
+    def __missing__(self, word: str) -> bytes:
+        plain = _LETTERS_SIGNS(word)
+        if plain and plain[2]:  # letters, then signs: two pre-tokens
+            found = self[plain[1]]
+            signs = self.signs.get(plain[2])
+            if signs is None:
+                signs = self.signs[plain[2]] = self._piece(plain[2])
+            return found + signs
+        if plain:  # one pre-token
+            found = self._model((" " + word).encode().decode("latin-1").translate(self.alphabet))
+        elif _SPACE(word):  # other white space in it: seldom the same again
+            return self._pieces(" " + word)
         else:
-            parts = (p for p, _ in self.split(piece))
-        ids = [t.id for p in parts for t in self.model.tokenize(p)]
+            found = self._piece(" " + word)
         if len(self) >= self.max_pieces:
             self.clear()
-        found = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = found
         return found
 
+    def _pieces(self, text: str) -> bytes:
+        return b"".join(self[p[1:]] if p[0] == " " and not _SPACE(p[1:]) else self._piece(p) for p in _PIECES(text))
+
     def ids(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         if _OTHER_SPACE(text):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, _PIECES(text)))
+        if any(x in text for x in _RUNS):  # runs of white space: their spaces may belong together
+            return self._pieces(text)
+        first, *rest = text.split(" ")
+        return self._pieces(first) + b"".join(map(self.__getitem__, rest))
 
 
 _ENCODERS: dict = {}

@@ -3,7 +3,8 @@
 A text is cut where white space follows other characters and its pieces are encoded one
 by one, each distinct word once for a worker, by the model of the ``tokenizers``
 library: a byte-level BPE never merges across such a place. Texts with white space
-beyond the ASCII kinds go through the library whole, as there its runs may differ.
+beyond the ASCII kinds go through the library whole, as there its runs may differ; so do
+texts that contain the string of an added token, which the library takes out first.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ class Encoder(dict):
         super().__init__()
         import tokenizers
         self.tokenizer = tokenizers.Tokenizer.from_file(vocabulary or default_vocabulary())
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.max_pieces = self.tokenizer.model, max_pieces
         self.model._resize_cache(0)  # this dictionary is the memo
         self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
@@ -86,7 +87,7 @@ class Encoder(dict):
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if _OTHER_SPACE(text):
+        if _OTHER_SPACE(text) or any(x in text for x in self.added):
             return self.whole(text)
         if any(x in text for x in _RUNS):  # runs of white space: their spaces may belong together
             return self._pieces(text)

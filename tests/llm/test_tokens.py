@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sigclass.llm import packing as P
 from sigclass.llm import token_orc as O
-from sigclass.llm.tokens import Encoder
+from sigclass.llm.tokens import Encoder, default_vocabulary
 from sigclass.session import fresh_path
 
 
@@ -26,6 +26,37 @@ def test_encoder_equals_the_library_on_whole_texts(enc):
         assert enc.ids(t) == enc.whole(t), repr(t)
 
 
+@pytest.fixture(scope="module")
+def plain():
+    """The library's own tokenizer, no setting changed."""
+    import tokenizers
+    return tokenizers.Tokenizer.from_file(default_vocabulary())
+
+
+ADDED = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b", "x  <|endoftext|>\n<|endoftext|> y", "<|endoftext|",
+         "<|endoftext|><|endoftext|> ", "<|end oftext|>", "\xa0<|endoftext|>"]
+
+
+def test_ids_are_those_of_an_untouched_tokenizer(enc, plain):
+    assert np.frombuffer(enc.ids(ADDED[0]), "<u4").tolist() == [505, 220, 50256, 734]
+    rng = random.Random(8)
+    parts = ["a", " ", "  ", "\n", "\t ", "\xa0", "é", "don't", "12", "<|", "|>", "endoftext", "<|endoftext|>", ".", " Word"]
+    for t in ADDED + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)]:
+        assert np.frombuffer(enc.ids(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_rows_of_texts_with_an_added_token(docs_of, plain):
+    ids = [plain.encode(t, add_special_tokens=False).ids for t in ADDED]
+    d = docs_of(list(enumerate(ADDED)))
+    at = 0
+    for r in sorted(O.round_trip(d).collect(), key=lambda r: r.doc_id):
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids[r.doc_id]) + 1, crc(ids[r.doc_id] + [2]))
+        at += r.n_tokens
+    pieces = P.pack_along_curve(d).collect()
+    assert sorted((r.doc_id, r.doc_tokens) for r in pieces if r.start == 0) == [(i, len(x) + 1) for i, x in enumerate(ids)]
+    assert all(r.ids_crc32 == crc((ids[r.doc_id] + [0])[r.start:r.start + r.length]) for r in pieces)
+
+
 def test_memo_is_bounded(enc):
     small = Encoder(max_pieces=5)
     t = " ".join(f"w{i}" for i in range(50))

@@ -9,13 +9,15 @@ table and answers every block with the counts of its n-grams. A chunk's task joi
 the answers with its documents' n-grams and sums each document's score. No n-gram,
 however frequent, is more than one entry of each chunk.
 
-Score of a word w after v, with counts that leave the document itself out:
-count(v w) / count(v) if the pair occurs elsewhere, else BACKOFF times count(w) / N,
-and with an unseen word BACKOFF times 1 / N. The first word of a document has no v and
-is scored by its own count. Higher orders back off in the same way, step by step.
+Score of a word w after u v, with counts that leave the document itself out:
+count(u v w) / count(u v) if the triple occurs elsewhere, else BACKOFF times the score of
+w after v: count(v w) / count(v) if the pair occurs elsewhere, else BACKOFF times
+count(w) / N, and 1 / N for an unseen word. The first words of a document have no u or v
+and start at the order that they have. Other orders back off in the same way.
 
-N-grams are counted by hashes (48 bits within a part, so a wrong match has a
-probability of about the part's n-grams in 2**48).
+N-grams are counted by hashes (47 bits or more within a part, so a wrong match has a
+probability of about the part's n-grams in 2**47). Parts are ranges of hashes: a chunk's
+sorted n-grams are in the order of the parts, and a block holds the steps between them.
 
 Defined results: words are runs of characters other than ASCII white space, A-Z in
 lower case; n-grams do not cross documents. A text without words, or a null one, has
@@ -38,7 +40,7 @@ from sigclass.llm.common import n_words
 from sigclass.session import ship_package
 
 BACKOFF = 0.4
-#: Longest n-gram. Each further order moves about as much as the texts themselves.
+#: Longest n-gram, unless the caller gives another; the registered query takes 3.
 ORDER = 2
 #: Bytes of text in a chunk and distinct n-grams in a part, about.
 CHUNK_BYTES, PART_GRAMS = 8 << 20, 3_000_000
@@ -88,20 +90,13 @@ def _grams(hashes: np.ndarray, sizes: np.ndarray, order: int) -> list:
     return grams
 
 
-def _distinct(grams: list, parts: int):
-    """The distinct n-grams of a chunk ordered by part and hash, their parts, hashes within the
-    part, counts, and the index of each of the chunk's n-grams among them (-1 for none)."""
-    every = np.concatenate(grams)
-    real = every != 0
-    values, index, counts = np.unique(every[real], return_inverse=True, return_counts=True)
-    part = (values % np.uint64(parts)).astype(np.int64)
-    within = (values // np.uint64(parts)) & np.uint64((1 << 48) - 1)
-    order = np.lexsort((within, part))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    where = np.full(len(every), -1, np.int64)
-    where[real] = rank[index]
-    return part[order], within[order], counts[order], where.reshape(len(grams), -1)
+def _dealt(values: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each hash and its place within the part, both in the order of the hashes."""
+    part = ((values >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    starts = np.array([-(-(p << 32) // parts) << 32 for p in range(parts)], np.uint64)
+    shift = max(((-(-(1 << 32) // parts) << 32) - 1).bit_length() - 48, 0)
+    within = (values - starts[part.astype(np.int64)]) >> np.uint64(shift)
+    return part.astype(np.int64), within
 
 
 def _six(values: np.ndarray) -> bytes:
@@ -114,44 +109,62 @@ def _from_six(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _packed(data: bytes, width: int) -> bytes:
+    """Numbers of ``width`` bytes, compressed: their first bytes, then their second ones, and so on."""
+    planes = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(-1, width).T)
+    return len(data).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, width: int) -> bytes:
+    planes = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).tobytes()
+
+
 def _emit(order: int, parts: int):
     def run(key, table):
         hashes, sizes = _tokens(table.column("text").to_pylist())
-        part, within, counts, _ = _distinct(_grams(hashes, sizes, order), parts)
+        every = np.concatenate(_grams(hashes, sizes, order))
+        values, counts = np.unique(every[every != 0], return_counts=True)
+        part, within = _dealt(values, parts)
         ids, starts = np.unique(part, return_index=True)
         ends = [*starts[1:], len(part)]
         return pa.table({
             "part": pa.array(ids, pa.int64()), "chunk": pa.array([key[0].as_py()] * len(ids), pa.int64()),
-            "grams": pa.array([_six(within[a:b]) for a, b in zip(starts, ends)], pa.binary()),
-            "counts": pa.array([counts[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends)], pa.binary())})
+            "grams": pa.array([_packed(_six(np.diff(within[a:b], prepend=np.uint64(0))), 6) for a, b in zip(starts, ends)], pa.binary()),
+            "counts": pa.array([_packed(counts[a:b].astype("<u8").tobytes(), 8) for a, b in zip(starts, ends)], pa.binary())})
     return run
 
 
 def _sum(key, table):
-    blocks = [_from_six(x) for x in table.column("grams").to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()])
+    blocks = [np.cumsum(_from_six(_unpacked(x, 6)), dtype=np.uint64) for x in table.column("grams").to_pylist()]
+    counts = np.concatenate([np.frombuffer(_unpacked(x, 8), "<u8") for x in table.column("counts").to_pylist()])
     _, index = np.unique(np.concatenate(blocks), return_inverse=True)
     totals = np.bincount(index, counts)[index].astype("<u8")
     ends = np.cumsum([len(b) for b in blocks])
     return pa.table({
         "chunk": table.column("chunk"), "part": table.column("part"),
-        "totals": pa.array([totals[e - len(b):e].tobytes() for e, b in zip(ends, blocks)], pa.binary())})
+        "totals": pa.array([_packed(totals[e - len(b):e].tobytes(), 8) for e, b in zip(ends, blocks)], pa.binary())})
 
 
-def _score(order: int, parts: int, all_words: int, backoff: float):
+def _score(order: int, all_words: int, backoff: float):
     def run(key, docs, answers):
         hashes, sizes = _tokens(docs.column("text").to_pylist())
         n, of = len(hashes), np.repeat(np.arange(len(sizes)), sizes)
-        _, _, counts, where = _distinct(_grams(hashes, sizes, order), parts)
+        every = np.concatenate(_grams(hashes, sizes, order))
+        real = every != 0
+        values, index = np.unique(every[real], return_inverse=True)
+        where = np.full(len(every), -1, np.int64)
+        where[real] = index
+        where = where.reshape(order, -1)
         by_part = dict(zip(answers.column("part").to_pylist(), answers.column("totals").to_pylist()))
-        totals = np.frombuffer(b"".join(by_part[p] for p in sorted(by_part)), "<u8").astype(np.int64)
-        if len(totals) != len(counts):
-            raise ValueError(f"chunk {key[0]}: {len(counts)} n-grams, but {len(totals)} counts")
+        totals = np.frombuffer(b"".join(_unpacked(by_part[p], 8) for p in sorted(by_part)), "<u8").astype(np.int64)
+        if len(totals) != len(values):
+            raise ValueError(f"chunk {key[0]}: {len(values)} n-grams, but {len(totals)} counts")
 
         def others(index: np.ndarray) -> np.ndarray:
             """Count of an n-gram at each word in all documents but the word's own; 0 for none."""
             has = index >= 0
-            pair, inverse, own = np.unique(of[has] * (len(counts) + 1) + index[has], return_inverse=True,
+            pair, inverse, own = np.unique(of[has] * (len(values) + 1) + index[has], return_inverse=True,
                                            return_counts=True)
             out = np.zeros(len(index), np.int64)
             out[has] = totals[index[has]] - own[inverse]
@@ -193,4 +206,4 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chunk_b
         _emit(order, parts), "part long, chunk long, grams binary, counts binary")
     answers = blocks.groupBy("part").applyInArrow(_sum, "chunk long, part long, totals binary")
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        _score(order, parts, words, backoff), SCHEMA)
+        _score(order, words, backoff), SCHEMA)

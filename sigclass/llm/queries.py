@@ -39,7 +39,7 @@ def op6_exact_dedup(spark, sf_dir):
 
 
 def op7_backoff_lm(spark, sf_dir):
-    return backoff_lm.score(table(spark, sf_dir, "documents"))
+    return backoff_lm.score(table(spark, sf_dir, "documents"), order=3)
 
 
 def op8_curve_packing(spark, sf_dir):

@@ -69,6 +69,29 @@ def test_third_order(docs_of):
         assert got[i].log_score == pytest.approx(s, abs=1e-6)
 
 
+def test_registered_query_is_of_third_order(spark, docs_of, tmp_path):
+    from sigclass.llm.queries import QUERIES
+    rows = rows_of(80)
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op7_backoff_lm"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, n, s, back, unseen in brute(rows, order=3):
+        assert (got[i].n_words, got[i].n_backed_off, got[i].n_unseen) == (n, back, unseen)
+        assert got[i].log_score == pytest.approx(s, abs=1e-6)
+
+
+def test_parts_are_ranges_and_blocks_round_trip():
+    import numpy as np
+    v = np.unique(np.random.RandomState(1).randint(0, 2**63, 20_000).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    v = np.concatenate([v, np.array([2**64 - 1], np.uint64)])
+    for parts in (1, 2, 3, 64, 1000, 70_000):
+        part, within = B._dealt(v, parts)
+        assert (np.diff(part) >= 0).all() and part.max() < parts and int(within.max()) < 2**48
+        assert len(set(zip(part.tolist(), within.tolist()))) == len(v)
+        assert (np.diff(within.astype(np.int64))[np.diff(part) == 0] > 0).all()
+    assert B._unpacked(B._packed(v.tobytes(), 8), 8) == v.tobytes()
+
+
 def test_odd_rows_and_clashing_columns(docs_of, odd_rows):
     d = docs_of(odd_rows).withColumns({"chunk": F.lit("x"), "part": F.lit(1)})
     got = B.score(d).collect()

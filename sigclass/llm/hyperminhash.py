@@ -163,10 +163,10 @@ def _is_link(both: int, na: int, nb: int) -> bool:
 
 
 def _sets(batches):
-    """Shingle sets as sorted 32-bit hashes, for the comparison inside large buckets."""
+    """Shingle sets as sorted hashes, for the comparison inside large buckets: the sets that confirm a pair."""
     shingle = Shingler()
     for batch in batches:
-        sets = [np.unique((shingle(t) >> np.uint64(32)).astype("<u4")) for t in batch.column("text").to_pylist()]
+        sets = [shingle(t).astype("<u8") for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in sets], pa.binary())],
                                          ["node", "members"])
 
@@ -178,7 +178,7 @@ def _links_in_block(key, rows):
     (bucket, first, second), found = (k.as_py() for k in key), []
     nodes, comps, blocks = (rows.column(c).to_numpy() for c in ("node", "comp", "block"))
     regs = _registers(rows.column("registers"))
-    members = [np.frombuffer(x, "<u4") for x in rows.column("members").to_pylist()]
+    members = [np.frombuffer(x, "<u8") for x in rows.column("members").to_pylist()]
     sizes = np.array([len(m) for m in members])
     band = int(np.flatnonzero(_band_keys(regs[:1])[0] == bucket)[0])
     roots = comps.copy()

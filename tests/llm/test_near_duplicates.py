@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,22 @@ def test_large_buckets_are_compared_in_blocks(docs_of, monkeypatch, block):
     assert run(docs_of(rows)) == brute(rows)
 
 
+@pytest.mark.parametrize("own,linked", [(1, True), (2, False)])
+def test_large_buckets_decide_on_whole_hashes(monkeypatch, own, linked):
+    # six shared hashes, two of them alike in their first 32 bits; 6 of 8 is the threshold
+    high = lambda x: x << 32
+    both = [high(1), high(2), high(3), high(4), high(5), high(5) + 1]
+    sets = {b"a": both + [high(10 + i) for i in range(own)], b"b": both + [high(20 + i) for i in range(own)]}
+    monkeypatch.setattr(H, "Shingler", lambda: lambda t: np.array(sorted(sets[t]), np.uint64))
+    batch, = H._sets([pa.RecordBatch.from_pydict({"node": [1, 2], "text": [b"a", b"b"]})])
+    registers = np.arange(H.REGISTERS, dtype=np.uint16)
+    rows = pa.table({"node": batch["node"], "members": batch["members"], "comp": [1, 2], "block": [0, 0],
+                     "registers": pa.array([registers.tobytes()] * 2, pa.binary())})
+    bucket = int(H._band_keys(registers[None, :])[0, 0])
+    got = H._links_in_block((pa.scalar(bucket), pa.scalar(0), pa.scalar(0)), rows).to_pylist()
+    assert got == ([{"a": 1, "b": 2}] if linked else [])
+
+
 def test_odd_rows_and_clashing_columns(docs_of, odd_rows):
     d = docs_of(odd_rows).withColumns({"node": F.lit(1), "text_hash": F.lit("x"), "comp": F.lit(0), "kept": F.lit(None).cast("int")})
     assert run(d) == brute(odd_rows)

@@ -23,8 +23,8 @@ Defined results: words are runs of characters other than ASCII white space, A-Z
 lower case; n-grams do not cross documents. A text without words, or a null one, has
 no words, score 0 and a null mean. Rows that repeat a doc_id are documents of their
 own; only the row itself is left out of its counts, so copies score high. An empty
-table gives no rows. Extra columns are not read. Rows equal in doc_id and text fall
-into one chunk.
+table gives no rows. Extra columns are not read. Rows equal in doc_id and text are
+counted first and scored once, with their number; the score is then given to each.
 """
 
 from __future__ import annotations
@@ -36,14 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigclass.llm.common import n_words
-from sigclass.session import ship_package
+from sigclass.llm.common import checked_broadcast, n_words
+from sigclass.session import materialize, ship_package
 
 BACKOFF = 0.4
 #: Longest n-gram, unless the caller gives another; the registered query takes 3.
 ORDER = 2
 #: Bytes of text in a chunk and distinct n-grams in a part, about.
 CHUNK_BYTES, PART_GRAMS = 8 << 20, 3_000_000
+#: Repeated rows are given their score in blocks of this many.
+COPIES = 10_000
 SCHEMA = "doc_id long, n_words long, log_score double, mean_log_score double, n_backed_off long, n_unseen long"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -125,6 +127,10 @@ def _emit(order: int, parts: int):
         hashes, sizes = _tokens(table.column("text").to_pylist())
         every = np.concatenate(_grams(hashes, sizes, order))
         values, counts = np.unique(every[every != 0], return_counts=True)
+        more = np.tile(np.repeat(table.column("copies").to_numpy() - 1, sizes), order)
+        again = (more > 0) & (every != 0)
+        if again.any():
+            counts = counts + np.bincount(np.searchsorted(values, every[again]), more[again], len(values)).astype(np.int64)
         part, within = _dealt(values, parts)
         ids, starts = np.unique(part, return_index=True)
         ends = [*starts[1:], len(part)]
@@ -185,13 +191,27 @@ def _score(order: int, all_words: int, backoff: float):
         total = np.bincount(of, score, len(sizes))
         count = lambda mask: np.bincount(of, mask, len(sizes)).astype(np.int64)
         return pa.table({
-            "doc_id": docs.column("doc_id"), "n_words": pa.array(sizes, pa.int64()),
+            "doc_id": docs.column("doc_id"), "copies": docs.column("copies"), "n_words": pa.array(sizes, pa.int64()),
             "log_score": pa.array(total, pa.float64()),
             "mean_log_score": pa.array(np.where(sizes > 0, total / np.maximum(sizes, 1), 0.0), pa.float64(), mask=sizes == 0),
             "n_backed_off": pa.array(count(level > 0), pa.int64()), "n_unseen": pa.array(count(seen[0] == 0), pa.int64())})
     return run
 
 
+def _counted(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """The distinct rows of (doc_id, text) with their number, copies; and whether any row repeats. Only
+    rows whose hash repeats are grouped, after a map-side step."""
+    key = F.xxhash64("doc_id", "text")
+    repeated = materialize(rows.groupBy(key.alias("_key")).count().where("count > 1").select("_key"), "repeated-rows")
+    if repeated.isEmpty():
+        return rows.withColumn("copies", F.lit(1).cast("long")), False
+    repeated = checked_broadcast(repeated, 1_000_000)  # a long each
+    keyed = rows.withColumn("_key", key)
+    alone = keyed.join(repeated, "_key", "left_anti").select("doc_id", "text", F.lit(1).cast("long").alias("copies"))
+    grouped = keyed.join(repeated, "_key", "left_semi").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+    return alone.unionByName(grouped), True
+
+
 def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chunk_bytes: int = CHUNK_BYTES,
           part_grams: int = PART_GRAMS) -> DataFrame:
     """One row per document: doc_id, n_words, log_score (natural), mean_log_score, n_backed_off (words
@@ -200,10 +220,17 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chunk_b
     size, words = docs.agg(F.sum(F.octet_length("text")), F.sum(n_words("text"))).first()
     size, words = size or 0, words or 0
     chunks, parts = size // chunk_bytes + 1, order * words // part_grams + 1
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"),
-                        F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
+    rows, repeats = _counted(docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                                         F.col("text").cast("binary").alias("text")))
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     blocks = dealt.groupBy("chunk").applyInArrow(
         _emit(order, parts), "part long, chunk long, grams binary, counts binary")
     answers = blocks.groupBy("part").applyInArrow(_sum, "chunk long, part long, totals binary")
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        _score(order, words, backoff), SCHEMA)
+    scored = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        _score(order, words, backoff), SCHEMA.replace("doc_id long", "doc_id long, copies long"))
+    if repeats:  # in blocks, so that no array is long
+        blocks_of = F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))
+        scored = scored.withColumn("_block", F.explode(blocks_of))
+        left = F.least(F.col("copies") - F.col("_block") * COPIES, F.lit(COPIES)).cast("int")
+        scored = scored.withColumn("_copy", F.explode(F.sequence(F.lit(1), left))).drop("_block", "_copy")
+    return scored.drop("copies")

@@ -80,6 +80,17 @@ def test_registered_query_is_of_third_order(spark, docs_of, tmp_path):
         assert got[i].log_score == pytest.approx(s, abs=1e-6)
 
 
+def test_repeated_rows_enter_a_chunk_once(docs_of, monkeypatch):
+    rows = rows_of(30) + [(None, "the of the w1"), (5, None)] * 3 + [(7, "a hot row of the table")] * 400
+    monkeypatch.setattr(B, "COPIES", 7)
+    got = B.score(docs_of(rows), chunk_bytes=500, part_grams=200)
+    check(rows, got.collect())
+    dealt, repeats = B._counted(docs_of(rows).select("doc_id", F.col("text").cast("binary").alias("text")))
+    dealt = dealt.collect()
+    assert repeats and len(dealt) == len({(r.doc_id, r.text) for r in dealt}) == len(set(rows))
+    assert sum(r.copies for r in dealt) == len(rows) and max(r.copies for r in dealt) == 400
+
+
 def test_parts_are_ranges_and_blocks_round_trip():
     import numpy as np
     v = np.unique(np.random.RandomState(1).randint(0, 2**63, 20_000).astype(np.uint64) * np.uint64(2) + np.uint64(1))

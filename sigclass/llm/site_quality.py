@@ -150,10 +150,11 @@ def shrunk_sites(scored: DataFrame, prior: float) -> tuple[DataFrame, dict]:
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sample: int = SAMPLE,
-               threshold: float = THRESHOLD) -> DataFrame:
+               threshold: float = THRESHOLD, model: Evidence | None = None) -> DataFrame:
     """One row per document: doc_id, evidence, host_rate, path_rate (both without the document itself),
-    probability and kept."""
-    model = fit_evidence(docs, labels, sample)
+    probability and kept. ``model`` is evidence fitted before, on other documents; without it, it is fitted
+    on these."""
+    model = fit_evidence(docs, labels, sample) if model is None else model
     scored = materialize(_evidence(docs, model, host, path), "evidence")
     sites, levels = shrunk_sites(scored, model.prior)
     sites = checked_broadcast(sites.withColumnsRenamed({"host": "_host", "path": "_path"}))

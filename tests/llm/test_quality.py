@@ -139,6 +139,36 @@ def test_posteriors_against_a_plain_version(spark, docs_of, labels_of):
         assert got[i].probability == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-6)
 
 
+def test_sparse_sites_of_pages_with_evidence_of_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    model = S.fit_evidence(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    assert model.weights is not None
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), "url")
+    host, path = S.url_host(F.col("url")), S.url_path(F.col("url"))
+    got = {r.doc_id: r for r in S.posteriors(pages, None, host, path, model=model).collect()}
+    _, levels = S.shrunk_sites(S._evidence(pages, model, host, path), model.prior)
+    rows = []
+    for r in pages.collect():
+        parts = r.url.split("://", 1)[1].split("#")[0].split("?")[0].split("/")
+        rows.append((r.doc_id, parts[0].lower(), parts[1] if len(parts) > 1 else "", r.text.encode()))
+    assert len(got) == len(rows)
+    ev = dict(zip([r[0] for r in rows], model([r[3] for r in rows])))
+    p = {i: round(1 / (1 + np.exp(-(e + model.prior))), 9) for i, e in ev.items()}
+    sites = Counter((h, q) for _, h, q, _ in rows)
+    assert sum(n == 1 for n in sites.values()) > 20 and len(sites) > 100  # sparse paths
+    k, m = levels["host"], levels["path"]
+    bounded = lambda x: max(min(x, 1 - 1e-6), 1e-6)
+    for i, h, q, _ in rows:
+        on_host = [p[j] for j, a, _, _ in rows if a == h and j != i]
+        on_path = [p[j] for j, a, b, _ in rows if (a, b) == (h, q) and j != i]
+        hr = bounded((sum(on_host) + k * levels["rate"]) / (len(on_host) + k))
+        pr = bounded((sum(on_path) + m * hr) / (len(on_path) + m))
+        assert got[i].host_rate == pytest.approx(hr, abs=1e-6) and got[i].path_rate == pytest.approx(pr, abs=1e-6)
+        if not on_path:  # alone on its path: the host's rate
+            assert got[i].path_rate == pytest.approx(got[i].host_rate, abs=1e-9)
+        assert got[i].probability == pytest.approx(1 / (1 + np.exp(-(ev[i] + np.log(pr / (1 - pr))))), abs=1e-6)
+
+
 def test_url_parts(spark):
     r = spark.createDataFrame([("HTTP://u@Www.A.org:80/x/y?q",), ("https://b.com",), (None,)], "url string").select(
         S.url_host(F.col("url")).alias("h"), S.url_path(F.col("url")).alias("p")).collect()

@@ -43,7 +43,11 @@ def prefix_sums(df: DataFrame, order: list, sums: dict[str, str], name: str) ->
     ranged = (df.repartitionByRange(*order).sortWithinPartitions(*order)
               .withColumn("_part", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id()))
-    ranged = materialize(ranged, name)
+    return sums_in_order(materialize(ranged, name), sums)
+
+
+def sums_in_order(ranged: DataFrame, sums: dict[str, str]) -> DataFrame:
+    """Running totals of written rows that already have the columns ``_part`` and ``_pos`` of ``prefix_sums``."""
     totals = ranged.groupBy("_part").agg(*[F.sum(v).alias(f"_total_{v}") for v in sums])
     # one row per range partition, so this window is as small as the partition count
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

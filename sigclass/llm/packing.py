@@ -2,10 +2,11 @@
 
 Each document's character 4-grams are hashed into a vector, which is projected to
 a few dimensions; the cell of that point on a Hilbert curve is its
-key. The texts are range-sorted by (key, doc_id) once, and each range is
-tokenised in that order and packed: its ids are laid end to end and cut every
-``length`` ids, so similar documents share sequences and only the last sequence
-of a range is short. The only shuffle is that of the texts.
+key. The texts are written once with their keys, so that the range sort samples only
+keys; they are range-sorted by (key, doc_id), and each range is tokenised in that order
+and packed: its ids are laid end to end and cut every ``length`` ids, so similar
+documents share sequences and only the last sequence of a range is short. The only
+shuffle is that of the texts.
 
 Defined results: a null or empty text is a document of its end id alone. Copies
 have one key and lie next to each other in the order of their doc_id, so a group
@@ -23,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigclass.llm.tokens import encoder
-from sigclass.session import ship_package
+from sigclass.llm.tokens import encoder, slices
+from sigclass.session import materialize, ship_package
 
 #: Dimensions of the projection and bits of each on the curve: 4 x 15 bits fit a long.
 DIMENSIONS, BITS = 4, 15
@@ -98,25 +99,27 @@ def _keys(batches):
 
 
 def _pack(vocabulary: str | None, length: int, end_id: int):
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+
     def pack(batches):
-        encode = encoder(vocabulary).ids
+        encode = encoder(vocabulary).batch
         end = np.array([end_id], "<u4").tobytes()
         first = TaskContext.get().partitionId() * RANGE_SPAN
         at = 0  # ids of this range so far
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encode(text.decode("utf-8", "replace") if text else "") + end
-                n, start = len(ids) // 4, 0
+            ids, ends = encode(batch.column("text"))
+            ids, before = memoryview(ids.tobytes()), 0
+            for doc_id, upto in zip(batch.column("doc_id").to_pylist(), ends.tolist()):
+                own = bytes(ids[4 * before:4 * upto]) + end
+                n, start, before = upto - before + 1, 0, upto
                 while start < n:
                     offset = at % length
                     take = min(length - offset, n - start)
-                    out.append((doc_id, start, take, zlib.crc32(ids[4 * start:4 * (start + take)]), n,
+                    out.append((doc_id, start, take, zlib.crc32(own[4 * start:4 * (start + take)]), n,
                                 first + at // length, offset))
                     start, at = start + take, at + take
-            columns = list(zip(*out)) or [[] for _ in range(7)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns],
-                                             [x.split()[0] for x in SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
     return pack
 
 
@@ -130,6 +133,7 @@ def pack_along_curve(docs: DataFrame, length: int = 1024, end_id: int = 0,
     ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     keyed = rows.mapInArrow(_keys, "doc_id long, text binary, curve long")
-    order = ["curve", "doc_id"]
-    ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    keyed = materialize(keyed.withColumn("place", F.monotonically_increasing_id()), "curve-keys")
+    order = ["curve", "doc_id", "place"]
+    ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
     return ranged.select("doc_id", "text").mapInArrow(_pack(vocabulary, length, end_id), SCHEMA)

@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +27,40 @@ def test_encoder_equals_the_library_on_whole_texts(enc):
         assert enc.ids(t) == enc.whole(t), repr(t)
 
 
+def test_batches_of_texts_have_the_ids_of_single_texts(enc, plain):
+    rng = random.Random(5)
+    parts = ["a", " ", " word", "\n", "\n\n", "\n\n\n", " \n", "\t", "é", " 漢字", "don't", ".\nNext", "12", "$$$", "\x1f", "\xa0",
+             "<|endoftext|>", "'"]
+    texts = [None, ""] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    for size in (1, 7, 4002):
+        for at in range(0, 300 if size == 1 else len(texts), size):
+            some = texts[at:at + size]
+            ids, ends = enc.batch(pa.array([None if t is None else t.encode() for t in some], pa.binary()))
+            before = 0
+            for t, upto in zip(some, ends.tolist()):
+                assert ids[before:upto].tolist() == plain.encode(t or "", add_special_tokens=False).ids, repr(t)
+                before = upto
+            assert before == len(ids)
+    ids, ends = enc.batch(pa.array([], pa.binary()))
+    assert len(ids) == 0 and len(ends) == 0
+
+
+def test_a_doc_id_of_very_many_rows_is_spread_over_files(spark, docs_of):
+    rows = [(None if i % 3 else i, f"text {i // 2} of many words", "a") for i in range(600)]
+    path = fresh_path(spark, "hot-doc-id")
+    O.write_ids(docs_of(rows), path)
+    files = spark.read.orc(path).where("doc_id is null").groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in files) == 400 and len(files) > 1 and max(r["count"] for r in files) < 300
+    stored = spark.read.orc(path).orderBy("place").collect()
+    assert [r.doc_id for r in stored] == [None] * 400 + sorted(i for i in range(600) if i % 3 == 0)
+    at, starts = 0, []
+    for r in stored:
+        starts.append((r.doc_id, at, len(r.ids)))
+        at += len(r.ids)
+    got = O.digests(spark, path).collect()
+    assert sorted(starts, key=lambda x: x[1]) == sorted(((r.doc_id, r.start, r.n_tokens) for r in got), key=lambda x: x[1])
+
+
 @pytest.fixture(scope="module")
 def plain():
     """The library's own tokenizer, no setting changed."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sigclass.llm import (
-    backoff_lm, exact_dedup, hyperminhash, mixing, packing, pii, quality_rules, site_quality, token_orc, warc)
+    backoff_lm, exact_dedup, hyperminhash, mixing, packing, pii, prefix_trie, quality_rules, site_quality, token_orc, warc)
 from sigclass.llm.common import table
 
 
@@ -54,9 +54,13 @@ def op10_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_source_mix, op2_quality_rules, op3_hyperminhash, op4_site_quality, op5_weak_pii, op6_exact_dedup, op7_backoff_lm,
-    op8_curve_packing, op9_token_orc, op10_warc)}
+    op8_curve_packing, op9_token_orc, op10_warc, op12_prefix_trie)}
 
 SQL = {
     "op6_exact_dedup": """
@@ -72,4 +76,41 @@ SQL = {
                CASE WHEN largest IS NULL OR largest = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN largest <> page_id THEN largest END AS refers_to
         FROM p LEFT JOIN g ON p.html = g.html""",
+    "op12_prefix_trie": r"""
+        WITH RECURSIVE own AS (
+          SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                 row_number() OVER (PARTITION BY conv_id
+                                    ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS pos
+          FROM conversations WHERE conv_id IS NOT NULL),
+        crc(conv_id, s, step, v) AS (
+          SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR), 0, CAST(4294967295 AS BIGINT) FROM own
+          UNION ALL
+          SELECT conv_id, s, step + 1, CASE WHEN step % 9 = 0 THEN xor(v, CAST(ascii(substr(s, step // 9 + 1, 1)) AS BIGINT))
+                                            ELSE xor(v >> 1, 3988292384 * (v & 1)) END
+          FROM crc WHERE step < 9 * length(s)),
+        convs AS (SELECT conv_id, conv_id - conv_id % 20 AS first, xor(v, 4294967295) % 4 AS lent
+                  FROM crc WHERE step = 9 * length(s)),
+        turns AS (
+          SELECT c.conv_id, 0 AS part, o.pos, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.first AND o.pos < c.lent
+          UNION ALL
+          SELECT c.conv_id, 1, o.pos, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.pos >= c.lent),
+        placed AS (SELECT conv_id, row_number() OVER w AS depth, text,
+                          string_agg(md5(role) || md5(text), '') OVER w AS path
+                   FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)),
+        prefixes AS (SELECT conv_id, depth, path, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM placed
+                     UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+        nodes AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words
+                  FROM prefixes GROUP BY depth, path),
+        children AS (SELECT left(path, length(path) - 64) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+        full_nodes AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON n.path = c.path),
+        subtrees AS (SELECT left(path, CAST(64 * e AS BIGINT)) AS path, sum((n_convs - 1) * words) AS saved,
+                            sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS leaves
+                     FROM (SELECT *, unnest(range(depth + 1)) AS e FROM full_nodes) GROUP BY 1),
+        lasts AS (SELECT conv_id, max(depth) AS depth, max_by(path, depth) AS path FROM prefixes GROUP BY conv_id),
+        ends AS (SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS h FROM lasts GROUP BY path)
+        SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children,
+               CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens,
+               coalesce(e.h, sha256('')) AS ends_sha256
+        FROM full_nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, length(n.path) - 64)
+        JOIN subtrees s ON s.path = n.path LEFT JOIN ends e ON e.path = n.path""",
 }

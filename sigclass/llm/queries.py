@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sigclass.llm import (
-    backoff_lm, exact_dedup, hyperminhash, mixing, packing, pii, prefix_trie, quality_rules, site_quality, token_orc, warc)
+    backoff_lm, exact_dedup, hyperminhash, lexical_search, mixing, packing, pii, prefix_trie, quality_rules, site_quality, token_orc, warc)
 from sigclass.llm.common import table
 
 
@@ -58,9 +58,13 @@ def op12_prefix_trie(spark, sf_dir):
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_lexical_search(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_source_mix, op2_quality_rules, op3_hyperminhash, op4_site_quality, op5_weak_pii, op6_exact_dedup, op7_backoff_lm,
-    op8_curve_packing, op9_token_orc, op10_warc, op12_prefix_trie)}
+    op8_curve_packing, op9_token_orc, op10_warc, op12_prefix_trie, op13_lexical_search)}
 
 SQL = {
     "op6_exact_dedup": """
@@ -113,4 +117,26 @@ SQL = {
                coalesce(e.h, sha256('')) AS ends_sha256
         FROM full_nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, length(n.path) - 64)
         JOIN subtrees s ON s.path = n.path LEFT JOIN ends e ON e.path = n.path""",
+    "op13_lexical_search": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+        b AS (
+          SELECT item_id, unnest(regexp_extract_all(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        q AS (SELECT item_id, term, count(*) AS repeats FROM b GROUP BY ALL),
+        totals AS (SELECT count(*) FILTER (len(terms) > 0) AS docs, CAST(sum(len(terms)) AS BIGINT) AS words FROM d),
+        tf AS (SELECT rid, doc_id, n, term, count(*) AS tf
+               FROM (SELECT rid, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+        s AS (
+          SELECT q.item_id, tf.rid, tf.doc_id,
+                 CAST(sum(q.repeats * CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT)
+                          * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // words)))) AS BIGINT) AS score
+          FROM q JOIN tf ON tf.term = q.term JOIN df ON df.term = q.term, totals GROUP BY q.item_id, tf.rid, tf.doc_id),
+        r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS INTEGER)
+                       AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT * FROM r WHERE rank <= 20""",
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sigclass.llm import (
-    backoff_lm, exact_dedup, hyperminhash, lexical_search, mixing, packing, pii, prefix_trie, quality_rules, site_quality, token_orc, warc)
+    backoff_lm, exact_dedup, hyperminhash, lexical_search, mixing, packing, pii, prefix_trie, quality_rules, site_quality,
+    suffix_dedup, token_orc, warc)
 from sigclass.llm.common import table
 
 
@@ -54,6 +55,10 @@ def op10_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark, sf_dir):
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -64,7 +69,7 @@ def op13_lexical_search(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_source_mix, op2_quality_rules, op3_hyperminhash, op4_site_quality, op5_weak_pii, op6_exact_dedup, op7_backoff_lm,
-    op8_curve_packing, op9_token_orc, op10_warc, op12_prefix_trie, op13_lexical_search)}
+    op8_curve_packing, op9_token_orc, op10_warc, op11_suffix_dedup, op12_prefix_trie, op13_lexical_search)}
 
 SQL = {
     "op6_exact_dedup": """

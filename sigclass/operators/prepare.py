@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigclass.functions.labels import encode
-from sigclass.functions.packets import NOT_FINITE, channel_values, packet_reason
+from sigclass.functions.packets import NOT_FINITE, channel_values, packet_reason, stored_vector
 from sigclass.functions.split import is_train
 from sigclass.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_small
 from sigclass.schemas import LABELS, MAX_CATEGORIES, N_CHANNELS, TRAIN_PERCENT
@@ -65,19 +65,25 @@ def training_frame(calibrations: DataFrame, packets: DataFrame,
     """J1 + P3: packets of eligible sessions with their channel vector.
 
     Output: pk, calibrationid, userid, label, features (array<double>), reason
-    (why the packet cannot be used; NULL if it can) and valid. Of a table with
-    the stored parsed vector only that is read (``tables.compact_packets``
-    adds it to older rows); otherwise ``eeg`` is parsed. The session side has
+    (why the packet cannot be used; NULL if it can) and valid. The session side has
     one narrow row per session and is broadcast when proven small.
     """
     sessions = calibrations if calibrations.columns == ["calibrationid"] else \
         eligible_calibrations(calibrations).select("calibrationid")
-    cols = ["pk", "calibrationid", "userid", "label", "features" if "features" in packets.columns else "eeg"]
-    j = join_small(packets.select(*cols), sessions, "calibrationid", "inner", max_broadcast_rows,
-                   broadcast)
+    return packet_frame(join_small(packets, sessions, "calibrationid", "inner", max_broadcast_rows, broadcast))
+
+
+def packet_frame(packets: DataFrame) -> DataFrame:
+    """Stored packets with their vector, reason and valid: the stored vector where there is one, else
+    the parsed strings (rows stored without it). A table without strings has only its vectors."""
+    cols = ["pk", "calibrationid", "userid", "label"]
     if "features" not in packets.columns:
-        j = j.withColumn("features", channel_values("eeg")).drop("eeg")
-    return j.withColumn("reason", packet_reason()).withColumn("valid", F.col("reason").isNull())
+        rows = packets.select(*cols, channel_values("eeg").alias("features"))
+    elif "eeg" not in packets.columns:
+        rows = packets.select(*cols, "features")
+    else:
+        rows = packets.select(*cols, stored_vector().alias("features"))
+    return rows.withColumn("reason", packet_reason()).withColumn("valid", F.col("reason").isNull())
 
 
 def invalid_packets(frame: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ and never recomputed after an executor loss. The packets themselves are
 scanned by three passes: the profile (label counts, HLL per channel), the
 fit pass (per-class sufficient statistics plus exact values of the
 candidate channels, from which category maps and naive Bayes follow), and
-scoring.
+scoring. With statistics that ingest keeps up (``operators.session_stats``) the
+first two are merges of small tables, and only scoring scans packets.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from sigclass.functions.labels import decode
 from sigclass.operators import metrics, naive_bayes, prepare
 from sigclass.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, small_enough
+from sigclass.operators.session_stats import SessionStatistics
 from sigclass.schemas import MAX_CATEGORIES, N_CHANNELS, TRAIN_PERCENT
 from sigclass.session import materialize
 
@@ -39,6 +41,7 @@ class Flow:
     train_percent: int = TRAIN_PERCENT
     max_categories: int = MAX_CATEGORIES
     n_channels: int = N_CHANNELS
+    statistics: SessionStatistics | None = None
     _cache: dict = field(default_factory=dict)
 
     def _memo(self, name, fn):
@@ -65,15 +68,23 @@ class Flow:
     @property
     def profile(self) -> DataFrame:
         """Label counts + per-channel HLL estimates per session (one pass), materialised."""
-        return self._memo("profile", lambda: materialize(prepare.session_profile(
-            self.frame, self.n_channels), "profile"))
+        return self._memo("profile", lambda: materialize(
+            self.statistics.profile(self.sessions) if self.statistics else prepare.session_profile(
+                self.frame, self.n_channels), "profile"))
+
+    @property
+    def invalid(self) -> DataFrame:
+        """Packets of eligible sessions that cannot be used: calibrationid, reason, n."""
+        return self.statistics.invalid(self.sessions) if self.statistics else prepare.invalid_packets(self.frame)
 
     @property
     def fit_summary(self) -> DataFrame:
         """Second and last training pass: per-class statistics + candidate channel values."""
-        return self._memo("fit_summary", lambda: materialize(prepare.fit_pass(
-            self.frame, self.profile, self.max_categories, self.n_channels, self.train_percent,
-            self.small_sessions), "fit_summary"))
+        return self._memo("fit_summary", lambda: materialize(
+            self.statistics.fit_summary(self.sessions, self.profile, self.max_categories)
+            if self.statistics else prepare.fit_pass(
+                self.frame, self.profile, self.max_categories, self.n_channels, self.train_percent,
+                self.small_sessions), "fit_summary"))
 
     @property
     def codes(self) -> DataFrame:

@@ -30,12 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigclass.functions.packets import channel_values
-from sigclass.operators import classify, metrics, mllib_train, registry, scorers
+from sigclass.operators import classify, metrics, mllib_train, prepare, registry, scorers
 from sigclass.operators.mllib_train import STATUS_SCHEMA, TrainConfig
 from sigclass.operators.registry import REGISTRY
+from sigclass.operators.session_stats import SessionStatistics
+from sigclass.operators.upsert import append_version
 from sigclass.plans.flow import Flow
-from sigclass.schemas import MODEL_TYPES
+from sigclass.schemas import INSTRUCTION_PACKETS, MODEL_TYPES, PENDING_PACKETS
 from sigclass.session import exists, fresh_path, materialize
+from sigclass.sources import snapshots, tables
 
 RUN_STATUS = T.StructType([*STATUS_SCHEMA.fields, T.StructField("run", T.StringType())])
 
@@ -52,6 +55,8 @@ class TrainRun:
     pairs: DataFrame = None
     registry: DataFrame = None
     published: DataFrame = None
+    invalid: DataFrame = None
+    rescored: int = 0
     timings: dict = field(default_factory=dict)
 
     def metrics_report(self) -> DataFrame:
@@ -60,16 +65,19 @@ class TrainRun:
 
 def train_pending(spark: SparkSession, calibrations: DataFrame, packets: DataFrame,
                   model_types: list[str] | None = None, cfg: TrainConfig | None = None,
-                  root: str | None = None, models: str | None = None) -> TrainRun:
+                  root: str | None = None, models: str | None = None,
+                  statistics: SessionStatistics | None = None) -> TrainRun:
     """Train and evaluate every eligible session; write models, pairs, statuses and registry.
 
+    With ``statistics`` of the same packets, naive Bayes and the indexers are fitted without reading any.
+
     Everything goes under the run's folder but the saved models, which go under ``models`` if it is
     given, so that the run's folder may be removed."""
     model_types = list(model_types or MODEL_TYPES)
     cfg = cfg or TrainConfig()
     root = root or fresh_path(spark, "train-run")
     models = models or root
-    fl = Flow(calibrations, packets)
+    fl = Flow(calibrations, packets, statistics=statistics)
     run = TrainRun(spark, root, fl, model_types, models)
     t0 = time.time()
 
@@ -109,6 +117,7 @@ def train_pending(spark: SparkSession, calibrations: DataFrame, packets: DataFra
             F.lit(None).cast("string").alias("model_path")))
     statuses.write.mode("overwrite").parquet(f"{root}/status")
     run.statuses = spark.read.schema(STATUS_SCHEMA).parquet(f"{root}/status")
+    run.invalid = materialize(fl.invalid, "invalid")
 
     # 3. prediction pairs of every model (nb from the set-wise flow, rf/mlp from the pool).
     pairs = spark.createDataFrame([], "calibrationid string, model string, actual double, predicted double")
@@ -206,14 +215,16 @@ def load_models(spark: SparkSession, calibrations: DataFrame, saved: DataFrame,
 
 
 def score_instructions(rows: DataFrame, registry_rows: DataFrame, rows_per_group: int = 100_000,
-                       cfg: TrainConfig | None = None, micro_batch: bool = False) -> DataFrame:
-    """J2 + P11: rows (pk, userid, eeg, ...) -> with predictedlabels from the current models.
+                       cfg: TrainConfig | None = None, micro_batch: bool = False,
+                       current: bool = False) -> DataFrame:
+    """J2 + P11: rows (pk, userid, eeg, ...) -> with predictedlabels from the current models
+    (``current``: the rows given are those already, one per user and model type).
 
     Every row stays: one without a user or a model gets the placeholder. Forest and perceptron
     are scored with vectorised NumPy behind a salted cogroup, naive Bayes in column expressions.
     """
     cfg = cfg or TrainConfig()
-    cur = registry.current_per_user(registry_rows)
+    cur = registry_rows if current else registry.current_per_user(registry_rows)
     if "features" not in rows.columns:
         rows = rows.withColumn("features", channel_values("eeg"))
     nb = cur.where("model_type = 'nb'")
@@ -260,9 +271,12 @@ def run_cycle(spark: SparkSession, paths, model_types: list[str] | None = None,
               cfg: TrainConfig | None = None) -> TrainRun:
     """One pass of the periodic job over stored tables.
 
-    train every eligible session → append registry rows, the metrics table and
-    the statuses → upsert the session table (K3) → re-score pending
-    instruction rows and append those that changed as a newer version (K4).
+    fold arrival-order packet folders if there are many → train every eligible session
+    on the files that may hold it → append registry rows, the metrics table, the
+    statuses and the unusable packets, merge the current models → upsert the session
+    table (K3) → score the waiting instruction rows that have not met the newest
+    models and append those that changed as a newer version (K4). Each write is one
+    commit of its table's snapshots, so readers never see a part of it.
 
     A session whose own input made a fit fail is not tried again; one that failed
     for another reason (a lost executor, a full disk) is, up to
@@ -272,32 +286,76 @@ def run_cycle(spark: SparkSession, paths, model_types: list[str] | None = None,
     there is nothing new (F5). The run's own folder may be removed afterwards:
     models are kept beside the registry.
     """
-    from sigclass.operators.upsert import append_version
-    from sigclass.sources import tables
-
     cfg = cfg or TrainConfig()
     version = int(time.time() * 1000)
     cal = tables.read_calibrations(spark, paths.calibrations)
-    pk = tables.read_packets(spark, paths.packets)
     candidates = cal
     if exists(spark, paths.status):
-        status = spark.read.schema(RUN_STATUS).parquet(paths.status)
+        status = tables.read_parquet(spark, paths.status, RUN_STATUS)
         candidates = cal.join(given_up(status, cfg.max_attempts), "calibrationid", "left_anti")
-    run = train_pending(spark, candidates, pk, model_types, cfg, models=f"{paths.registry}_models/v_{version:015d}")
+    # one snapshot of the packets for the whole run; of its files those that may hold a session to train
+    tables.compact_packets_table(spark, paths.packets, cfg.compact_after)
+    stored = snapshots.read_snapshot(spark, paths.packets)
+    wanted = materialize(prepare.eligible_calibrations(candidates).select("calibrationid"), "wanted")
+    pk = tables.read_packets_of(spark, paths.packets, wanted, stored)
+    run = train_pending(spark, candidates, pk, model_types, cfg, models=f"{paths.registry}_models/v_{version:015d}",
+                        statistics=tables.packet_statistics(spark, stored))
+    name = f"v_{version:015d}"
     if not run.statuses.isEmpty():
-        run.statuses.withColumn("run", F.lit(run.root)).write.mode("append").parquet(paths.status)
+        snapshots.append(spark, run.statuses.withColumn("run", F.lit(run.root)), paths.status, name)
+    if not run.invalid.isEmpty():
+        snapshots.append(spark, run.invalid.withColumn("run", F.lit(run.root)), invalid_path(paths.status), name)
     if not run.pairs.isEmpty():
         report = run.metrics_report().join(cal.select("calibrationid", "userid"), "calibrationid") \
             .withColumns({"trained_at": F.current_timestamp(), "run": F.lit(run.root)})
-        report.write.mode("append").parquet(paths.metrics)
+        snapshots.append(spark, report, paths.metrics, name)
+    current = registry.current_path(paths.registry)
     if not run.published.isEmpty():
-        run.registry.write.mode("append").parquet(paths.registry)
+        snapshots.append(spark, run.registry, paths.registry, name)
+        registry.publish_current(spark, current, run.registry)
         upd = cal.join(run.published, "calibrationid", "left_semi").withColumn("modelsgenerated", F.lit(True))
         append_version(upd, paths.calibrations, version)
-    if exists(spark, paths.instructions) and exists(spark, paths.registry):
-        todo = tables.read_pending_instructions(spark, paths.instructions)
-        reg = spark.read.schema(REGISTRY).parquet(paths.registry)
-        new = materialize(rescored(todo, reg), "rescored")
-        if not new.isEmpty():
-            append_version(new, paths.instructions, version)
+    elif exists(spark, paths.registry) and not snapshots.newest_version(spark, current):
+        registry.publish_current(spark, current, tables.read_parquet(spark, paths.registry, REGISTRY))
+    if exists(spark, paths.instructions) and snapshots.newest_version(spark, current):
+        run.rescored = backfill_waiting(spark, paths.instructions, current, version)
     return run
+
+
+def invalid_path(status: str) -> str:
+    """The table of unusable packets (calibrationid, reason, n, run) beside the statuses."""
+    return f"{status.rstrip('/')}_invalid"
+
+
+def backfill_waiting(spark: SparkSession, instructions: str, current: str, version: int,
+                     rows_per_group: int = 100_000) -> int:
+    """Score the waiting rows that have not met their user's newest models; returns how many.
+
+    A waiting row carries the version of the current models that it was scored with, and a current
+    model the version that brought it, so rows without news are neither scored nor written, and
+    the scored rows are never read. Rows that change are appended as a newer version; then the
+    waiting rows' table gets what still waits. After a crash between the two they are scored
+    again, to the same labels."""
+    tables.queue_pending(spark, instructions)
+    waiting = snapshots.read_snapshot(spark, tables.pending_path(instructions))
+    now = snapshots.newest_version(spark, current)
+    models = registry.read_current(spark, current, now)
+    if models is None or not waiting.entries:
+        return 0
+    news = models.groupBy("userid").agg(F.max("published").alias("news"))
+    rows = spark.read.schema(PENDING_PACKETS).parquet(*waiting.data_paths())
+    split = rows.join(news, "userid", "left").withColumn("due", F.coalesce(F.col("news") > F.col("scored_with"), F.lit(False)))
+    due = materialize(split.where("due").drop("due", "news"), "due")
+    n = due.count()
+    if not n:
+        return 0
+    old = due.withColumnRenamed("predictedlabels", "_old").drop("pending", "scored_with")
+    scored = materialize(score_instructions(old, models, rows_per_group, current=True), "rescored")
+    new = changed(scored)
+    if not new.isEmpty():
+        append_version(new.select(*INSTRUCTION_PACKETS.fieldNames()), instructions, version)
+    still = scored.where("pending").withColumn("scored_with", F.lit(now).cast("long"))
+    rest = split.where(~F.col("due")).select(*PENDING_PACKETS.fieldNames())
+    tables.replace_pending(spark, instructions, waiting, rest.unionByName(still.select(*PENDING_PACKETS.fieldNames())),
+                           f"v_{version:015d}")
+    return n

@@ -68,6 +68,9 @@ INSTRUCTION_PACKETS = T.StructType([
     T.StructField("pending", T.BooleanType(), True),
 ])
 
+# Unlabelled packets that wait for a model, and the version of the current models they were scored with last.
+PENDING_PACKETS = T.StructType([*INSTRUCTION_PACKETS.fields, T.StructField("scored_with", T.LongType(), True)])
+
 # JSON payloads of the two topics. Channel values arrive as strings; numbers
 # are accepted too (from_json renders them as their text).
 LABELLED_MESSAGE = T.StructType([

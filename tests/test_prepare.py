@@ -87,22 +87,28 @@ def test_training_frame_marks_invalid(spark):
 
 
 def test_stored_table_without_vectors_is_parsed(spark):
-    """A packet table written with the strings only has parsed vectors once it is compacted."""
+    """Packets stored with the strings only are parsed when they are read, whatever their neighbours have."""
     from sigclass.session import fresh_path
     from sigclass.sources import tables
     base = fresh_path(spark, "t-legacy")
-    pk = spark.createDataFrame([("p1", TS, ["1", "2", "3", "4", "5", "6"], "Deep", "u", "s")],
-                               "pk string, date timestamp_ntz, eeg array<string>, label string, "
-                               "userid string, calibrationid string")
-    pk.write.parquet(f"{base}/pk")
+    rows = [("p1", TS, ["1", "2", "3", "4", "5", "6"], "Deep", "u", "s", None),
+            ("p2", TS, ["1", "2", "3"], "Deep", "u", "s", None), ("p3", TS, ["1", "2", "x", "4", "5", "6"], "Deep", "u", "s", None),
+            ("p4", TS, ["1", "2", "3", "4", "5", "6"], "Deep", "u", "s", [6.0, 5.0, 4.0, 3.0, 2.0, 1.0]),
+            ("p5", TS, None, "Deep", "u", "s", None)]
+    columns = "pk string, date timestamp_ntz, eeg array<string>, label string, userid string, calibrationid string"
+    spark.createDataFrame([r[:6] for r in rows[:3]], columns).write.parquet(f"{base}/pk/old")
+    spark.createDataFrame(rows[3:], columns + ", features array<double>").write.parquet(f"{base}/pk/new")
     cal = spark.createDataFrame([("s", "u", TS, TS, False)],
                                 "calibrationid string, userid string, startdate timestamp_ntz, "
                                 "enddate timestamp_ntz, modelsgenerated boolean")
-    raw = prepare.training_frame(cal, tables.read_packets(spark, f"{base}/pk")).collect()
-    assert raw[0]["reason"] == "missing DataPacketValue"  # seen, not dropped
+    got = {r["pk"]: (r["features"], r["reason"]) for r in prepare.training_frame(
+        cal, tables.read_packets(spark, f"{base}/pk")).collect()}
+    assert got["p1"] == ([1.0, 2.0, 3.0, 4.0, 5.0, 6.0], None) and got["p4"] == ([6.0, 5.0, 4.0, 3.0, 2.0, 1.0], None)
+    assert got["p2"][1] == "channel count is not 6" and got["p3"][1] == "channel value is not a finite number"
+    assert got["p5"][1] == "missing DataPacketValue"
     tables.compact_packets(spark, f"{base}/pk", f"{base}/compact")
     fr = prepare.training_frame(cal, tables.read_session_packets(spark, f"{base}/compact", cal)).collect()
-    assert fr[0]["valid"] and fr[0]["features"] == [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]
+    assert {r["pk"]: r["reason"] for r in fr} == {k: v[1] for k, v in got.items()}
 
 
 def test_random_split_forms(spark):

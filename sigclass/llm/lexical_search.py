@@ -54,7 +54,8 @@ def terms_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     if not len(data):
         return data, np.array([], np.int64)
     offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset:data.offset + len(data) + 1]
-    raw = (data.buffers()[2] or pa.py_buffer(b"")).to_pybytes()[offsets[0]:offsets[-1]].translate(_TERM_BYTES)
+    first, size = int(offsets[0]), int(offsets[-1] - offsets[0])
+    raw = (data.buffers()[2].slice(first, size).to_pybytes() if size else b"").translate(_TERM_BYTES)
     clean = pa.LargeBinaryArray.from_buffers(
         pa.large_binary(), len(data), [None, pa.py_buffer((offsets - offsets[0]).tobytes()), pa.py_buffer(raw)])
     words = pc.split_pattern(clean, b" ")
@@ -69,7 +70,7 @@ def _index(terms: list[bytes]):
     of kind 1 (documents with a term, all their terms, and the documents that hold each known one)."""
     def index(batches):
         known = pa.array(terms, pa.large_binary())
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in (part for whole in batches for part in slices(whole, 4 << 20)):
             flat, n = terms_of(batch.column("text"))
             found = pc.index_in(flat, value_set=known)
             mask = found.is_valid().to_numpy(zero_copy_only=False)
@@ -97,15 +98,14 @@ class Shard:
         self.doc, self.impact = doc[order], impact[order]
         self.keys = term[order] * n_docs + self.doc  # ascending: a list's interval is found by two searches
         # level k has the place of the maximum of 2**k postings; lists are searched within their own ends
-        self.levels = [np.arange(len(self.keys), dtype=np.int32)]
+        levels = [np.arange(len(self.keys), dtype=np.int32)]
         longest = int(np.bincount(term).max()) if len(term) else 0
-        while 2 << (len(self.levels) - 1) <= longest:
-            below, step = self.levels[-1], 1 << (len(self.levels) - 1)
-            a, b = below[:-step], below[step:]
-            up = below.copy()
-            up[:-step] = np.where(self.impact[a] >= self.impact[b], a, b)
-            self.levels.append(up)
-        self.levels = np.stack(self.levels)
+        while 2 << (len(levels) - 1) <= longest:
+            step = 1 << (len(levels) - 1)
+            a, b = levels[-1][:-step], levels[-1][step:]
+            levels.append(levels[-1].copy())
+            levels[-1][:-step] = np.where(self.impact[a] >= self.impact[b], a, b)
+        self.levels = np.stack(levels)
 
     def maxima(self, terms: np.ndarray, low: np.ndarray, high: np.ndarray):
         """For each interval [low, high) of documents and each term: the highest impact in it and its document."""

@@ -270,6 +270,18 @@ def _texts(docs: DataFrame) -> DataFrame:
                            "digest", F.unhex(F.sha2("text", 256)))
 
 
+def _semi_join(big: DataFrame, small: DataFrame, keys: list, rows: int) -> DataFrame:
+    """The rows of ``big`` (``rows`` in all) whose keys are in ``small``, which has their number ``n`` in ``big``.
+
+    Keys with more than a thousandth of the rows, of which there are less than a thousand, are
+    broadcast, so that theirs are not dealt to one task; the others meet in a shuffle join."""
+    heavy = F.broadcast(small.where(F.col("n") * 1000 > rows).select(*keys, F.lit(True).alias("_heavy")))
+    rest = small.where(F.col("n") * 1000 <= rows).select(*keys)
+    flagged = big.join(heavy, keys, "left")
+    return flagged.where("_heavy").drop("_heavy").unionByName(
+        flagged.where("_heavy is null").drop("_heavy").join(rest, keys, "left_semi"))
+
+
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET,
                      piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
     """Runs of starts of repeated windows: place, low, high; and the pieces: place, digest."""
@@ -278,13 +290,14 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bu
         _anchors(length, gram, piece), ANCHORS).withColumn("place", F.monotonically_increasing_id())
     pieces = materialize(pieces, "suffix-anchors")
     anchors = pieces.select("place", F.inline(F.arrays_zip("gram", "block", "at", "back", "windows")))
-    often = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    anchors = materialize(anchors.join(often, "gram"), "suffix-candidates")
+    n_anchors = pieces.agg(F.sum(F.size("gram"))).first()[0] or 0
+    often = materialize(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-grams")
+    anchors = materialize(_semi_join(anchors, often, ["gram"], n_anchors), "suffix-candidates")
     blocks = anchors.groupBy("gram", "block").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("place", "at", "back", "windows")).alias("one"))
     blocks = materialize(blocks.select("gram", "block", "n", "one.*"), "suffix-blocks")
     # equal blocks: all their windows are repeated
-    equal = anchors.join(blocks.where("n > 1").select("gram", "block"), ["gram", "block"], "left_semi").select(
+    equal = _semi_join(anchors, blocks.where("n > 1"), ["gram", "block"], n_anchors).select(
         "place", (F.col("at") - F.col("back")).alias("low"), (F.col("at") - F.col("back") + F.col("windows") - 1).alias("high"))
     # different blocks of one gram: their suffixes are sorted, if one of them occurs only once
     mixed = blocks.groupBy("gram").agg(F.count(F.lit(1)).alias("blocks"), F.min("n").alias("least")).where(

@@ -275,11 +275,10 @@ def _semi_join(big: DataFrame, small: DataFrame, keys: list, rows: int) -> DataF
 
     Keys with more than a thousandth of the rows, of which there are less than a thousand, are
     broadcast, so that theirs are not dealt to one task; the others meet in a shuffle join."""
-    heavy = F.broadcast(small.where(F.col("n") * 1000 > rows).select(*keys, F.lit(True).alias("_heavy")))
+    heavy = F.broadcast(small.where(F.col("n") * 1000 > rows).select(*keys))
     rest = small.where(F.col("n") * 1000 <= rows).select(*keys)
-    flagged = big.join(heavy, keys, "left")
-    return flagged.where("_heavy").drop("_heavy").unionByName(
-        flagged.where("_heavy is null").drop("_heavy").join(rest, keys, "left_semi"))
+    return big.join(heavy, keys, "left_semi").unionByName(
+        big.join(heavy, keys, "left_anti").join(rest, keys, "left_semi"))
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET,

@@ -24,15 +24,14 @@ def channel_values(eeg: Column | str = "eeg") -> Column:
     return F.transform(c, lambda x: x.try_cast("double"))
 
 
-def stored_vector(features: Column | str = "features", eeg: Column | str = "eeg", width: int = N_CHANNELS) -> Column:
-    """The stored vector, parsed from the strings only where it is NULL.
-
-    Unrolled, so that it is compiled; strings of another width give as many NULLs."""
-    f = F.col(features) if isinstance(features, str) else features
-    c = F.col(eeg) if isinstance(eeg, str) else eeg
-    parsed = F.when(F.size(c) == width, F.array(*[F.get(c, F.lit(j)).try_cast("double") for j in range(width)])).when(
-        c.isNotNull(), F.array_repeat(F.lit(None).cast("double"), F.size(c)))
-    return F.coalesce(f, parsed)
+def stored_vector(packets: DataFrame) -> Column:
+    """The vector of stored packets, parsed from the strings where it is NULL. Vectors that cannot be NULL,
+    and those of a table without strings, are taken as they are."""
+    if "features" not in packets.columns:
+        return channel_values("eeg")
+    if "eeg" not in packets.columns or not packets.schema["features"].nullable:
+        return F.col("features")
+    return F.coalesce(F.col("features"), channel_values("eeg"))
 
 
 def vector_ok(values: Column | str = "features", width: int = N_CHANNELS) -> Column:

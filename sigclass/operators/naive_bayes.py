@@ -66,13 +66,14 @@ def models(params: DataFrame, key: str = "calibrationid", label: str = "label_id
         .alias("classes"))
 
 
-def predict(features, classes, n_classes: int = len(LABELS), n_channels: int = N_CHANNELS):
-    """Column: argmax_k (Σ_j theta_kj x_j + pi_k); ties go to the lowest class index.
+def with_prediction(rows: DataFrame, features: str, classes: str, out: str, n_classes: int = len(LABELS),
+                    n_channels: int = N_CHANNELS) -> DataFrame:
+    """Add ``out`` = argmax_k (Σ_j theta_kj x_j + pi_k); ties go to the lowest class index.
 
     Unrolled over channels and classes (both fixed), so that it is compiled; ``classes`` is
-    in ascending order of label_idx and may have fewer classes."""
-    f = F.col(features) if isinstance(features, str) else features
-    c = F.col(classes) if isinstance(classes, str) else classes
+    in ascending order of label_idx and may have fewer classes. The scores are a column of their own:
+    they are used twice, and one expression of all of it outgrows the size of a compiled method."""
+    f, c = F.col(features), F.col(classes)
 
     def score(k):
         dot = F.lit(0.0)
@@ -80,9 +81,9 @@ def predict(features, classes, n_classes: int = len(LABELS), n_channels: int = N
             dot = dot + F.get(k["theta"], F.lit(j)) * F.get(f, F.lit(j))
         return dot + k["pi"]
 
-    scores = F.array(*[score(F.get(c, F.lit(i))) for i in range(n_classes)])
-    place = F.array_position(scores, F.array_max(scores))  # the first on ties; a missing class is NULL
-    return F.get(c, (place - 1).cast("int"))["label_idx"]
+    rows = rows.withColumn("_scores", F.array(*[score(F.get(c, F.lit(i))) for i in range(n_classes)]))
+    place = F.array_position("_scores", F.array_max("_scores"))  # the first on ties; a missing class is NULL
+    return rows.withColumn(out, F.get(F.col(classes), (place - 1).cast("int"))["label_idx"]).drop("_scores")
 
 
 def score(rows: DataFrame, nb_models: DataFrame, key: str = "calibrationid",
@@ -91,4 +92,4 @@ def score(rows: DataFrame, nb_models: DataFrame, key: str = "calibrationid",
     """M6: add ``out`` (class index, double) to rows whose session has a valid model."""
     m = nb_models.where("ok").select(key, "classes")
     j = join_small(rows, m, key, "inner", broadcast=broadcast)
-    return j.withColumn(out, predict(features, "classes")).drop("classes")
+    return with_prediction(j, features, "classes", out).drop("classes")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigclass.functions.labels import encode
-from sigclass.functions.packets import NOT_FINITE, channel_values, packet_reason, stored_vector
+from sigclass.functions.packets import NOT_FINITE, packet_reason, stored_vector
 from sigclass.functions.split import is_train
 from sigclass.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_small
 from sigclass.schemas import LABELS, MAX_CATEGORIES, N_CHANNELS, TRAIN_PERCENT
@@ -76,13 +76,7 @@ def training_frame(calibrations: DataFrame, packets: DataFrame,
 def packet_frame(packets: DataFrame) -> DataFrame:
     """Stored packets with their vector, reason and valid: the stored vector where there is one, else
     the parsed strings (rows stored without it). A table without strings has only its vectors."""
-    cols = ["pk", "calibrationid", "userid", "label"]
-    if "features" not in packets.columns:
-        rows = packets.select(*cols, channel_values("eeg").alias("features"))
-    elif "eeg" not in packets.columns:
-        rows = packets.select(*cols, "features")
-    else:
-        rows = packets.select(*cols, stored_vector().alias("features"))
+    rows = packets.select("pk", "calibrationid", "userid", "label", stored_vector(packets).alias("features"))
     return rows.withColumn("reason", packet_reason()).withColumn("valid", F.col("reason").isNull())
 
 

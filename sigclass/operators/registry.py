@@ -15,6 +15,8 @@ micro-batch nor a cycle ranks the registry.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,9 +71,11 @@ def current_per_user(registry: DataFrame, model_col: str = "model_type") -> Data
     order = [F.col("enddate").desc_nulls_last(), F.col("calibrationid").desc(),
              *[F.col(v).desc_nulls_last() for v in versions]]
     w = Window.partitionBy("userid", model_col).orderBy(*order)
-    newest = (registry.select("userid", "enddate", *key).withColumn("_rn", F.row_number().over(w))
-              .where("_rn = 1").select("userid", *key))
-    return registry.join(newest, ["userid", *key], "left_semi")
+    key = ["userid", "enddate", *key]
+    newest = (registry.select(*key).withColumn("_rn", F.row_number().over(w))
+              .where("_rn = 1").select(*[F.col(c).alias(f"_{c}") for c in key]))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    return registry.join(newest, reduce(and_, same), "left_semi")
 
 
 def read_current(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
@@ -92,7 +96,8 @@ def publish_current(spark: SparkSession, path: str, new: DataFrame, attempts: in
         if seen:
             rows = read_current(spark, path, seen.version).unionByName(rows)
         name = f"current_{version:012d}_{uuid.uuid4().hex[:8]}"
-        current_per_user(rows).write.parquet(f"{path}/{name}")
+        # a session that was published twice has the same models
+        current_per_user(rows).dropDuplicates(["userid", "model_type"]).write.parquet(f"{path}/{name}")
         try:
             done = snapshots.commit(spark, path, {name: {"data": [name]}}, tuple(seen.entries) if seen else (),
                                     expected=seen.version if seen else 0)

@@ -318,3 +318,10 @@ SQL["score_instructions"] = _with(*PREP, NBA, NBP, CUR, INS_NULLS, INSX, INSS) +
 SQL["stream_instruction_score"] = _with(*PREP, NBA, NBP, CUR, INS, INSX, INSS) + \
     "SELECT i.userid, " + ", ".join(f"round(i.c{j}, 6) c{j}" for j in range(N)) + ", " + \
     _SCORED.format("ins") + " WHERE NOT i.malformed"
+
+# Queries over stored state give the rows of the plain scans.
+SQL.update({name: SQL[same] for name, same in (
+    ("nb_train_incremental", "nb_train"), ("label_index_incremental", "label_index_fit"),
+    ("channel_index_incremental", "channel_index_fit"), ("invalid_packets_stored", "invalid_packets"),
+    ("session_packets_pruned", "scan_session_packets"), ("waiting_instructions", "pending_instructions"),
+    ("current_models_merged", "current_model_per_user"), ("reclassify_waiting", "reclassify_pending"))})

@@ -68,7 +68,7 @@ def _names(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
     return sorted((s.getPath().getName(), bool(s.isDirectory())) for s in fs.listStatus(p))
 
 
-def _read_text(spark: SparkSession, path: str) -> str:
+def read_text(spark: SparkSession, path: str) -> str:
     jvm, p, fs = _hadoop(spark, path)
     stream = fs.open(p)
     try:
@@ -77,7 +77,7 @@ def _read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def _publish(spark: SparkSession, path: str, text: str) -> bool:
+def publish_text(spark: SparkSession, path: str, text: str) -> bool:
     """Write a file under another name and rename it; False if the name is taken."""
     jvm, p, fs = _hadoop(spark, path)
     temporary = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
@@ -113,7 +113,7 @@ def read_snapshot(spark: SparkSession, path: str, version: int | None = None) ->
     version = version or newest_version(spark, path)
     if not version:
         return None
-    found = json.loads(_read_text(spark, f"{path}/{FOLDER}/{version:015d}.json"))
+    found = json.loads(read_text(spark, f"{path}/{FOLDER}/{version:015d}.json"))
     return Snapshot(path, version, found["entries"])
 
 
@@ -147,11 +147,25 @@ def commit(spark: SparkSession, path: str, add: dict | None = None, remove: Iter
             raise Conflict(f"{path}: no longer there: {sorted(gone)[:5]}")
         entries = {n: e for n, e in entries.items() if n not in remove} | add
         version = (now.version if now else 0) + 1
-        if _publish(spark, f"{path}/{FOLDER}/{version:015d}.json", json.dumps({"entries": entries})):
+        if publish_text(spark, f"{path}/{FOLDER}/{version:015d}.json", json.dumps({"entries": entries})):
             return Snapshot(path, version, entries)
     raise Conflict(f"{path}: {attempts} commits were overtaken")
 
 
+def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """The files of the table's newest snapshot; without snapshots, all Parquet files under ``path``
+    (root and every batch/version directory)."""
+    r = spark.read.option("recursiveFileLookup", "true")
+    if schema is not None:
+        r = r.schema(schema)
+    snapshot = read_snapshot(spark, path)
+    if snapshot is None:
+        return r.parquet(path)
+    if not snapshot.entries and schema is not None:
+        return spark.createDataFrame([], schema)
+    return r.parquet(*snapshot.data_paths())
+
+
 def append(spark: SparkSession, df: DataFrame, path: str, name: str | None = None) -> Snapshot:
     """Add rows to a table as one commit. The files come to lie in the table's own folder."""
     path = path.rstrip("/")

@@ -357,9 +357,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
             .where(~F.col("kept") | (F.col("text_hash") != F.col("_stay"))))
     pairs = lambda x: checked_broadcast(materialize(x.select(  # noqa: E731  two longs a row
         F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct(), "rows"), 2_000_000)
-    same = F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("_text"))
-    left = docs.withColumn("_text", F.xxhash64("text")).join(pairs(gone), same, "left_anti")
+    same = F.col("_doc").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("text_hash"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"))
+    left = rows.join(pairs(gone), same, "left_anti")
     repeated = pairs(marked.where("n_shingles > 0 and rows > 1"))
     once = left.join(repeated, same, "left_anti")
-    many = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_text"])
-    return once.unionByName(many).select(*docs.columns)
+    many = left.join(repeated, same, "left_semi").dropDuplicates(["id", "text_hash"])
+    return once.unionByName(many).select("row.*")

@@ -114,9 +114,8 @@ def mixed_rows(docs: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
     """The documents of the mix, with the columns of ``docs``: one row for each epoch that takes
     words of the document. The document at a source's cut is not cut but taken whole, so a
     source exceeds its budget by less than that document; documents without words are left out."""
-    rows = docs.withColumns({"_size": n_words("text"), "_key": _key(seed)})
-    inner = rows.select(F.struct(*docs.columns).alias("_row"), F.col("source"),
-                        F.col("_size").alias("size"), F.col("_key").alias("key"))
+    inner = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source"),
+                        n_words("text").alias("size"), _key(seed).alias("key"))
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
     return (_with_plan(inner, plan).where(F.col("taken") > 0)
             .select("_row", F.explode(F.sequence(F.lit(1), copies)).alias("_epoch")).select("_row.*"))

@@ -36,7 +36,10 @@ def op5_weak_pii(spark, sf_dir):
 
 
 def op6_exact_dedup(spark, sf_dir):
-    return exact_dedup.decisions(table(spark, sf_dir, "documents"), exact_dedup.new_index(spark))
+    index = exact_dedup.new_index(spark)
+    out = exact_dedup.decisions(table(spark, sf_dir, "documents"), index)
+    index.close()
+    return out
 
 
 def op7_backoff_lm(spark, sf_dir):

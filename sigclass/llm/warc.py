@@ -8,7 +8,10 @@ Reading: archives are cut into byte ranges, one task reads some of them. In its
 range it looks for the gzip magic number; a candidate is a member only if its
 header decodes and what it inflates begins like a WARC record, so bytes that
 look alike inside a member do not count. A range owns the records that begin in
-it and reads on past its end to finish the last one.
+it and reads on past its end to finish the last one. Members follow each other without
+gaps, so a member that begins as a WARC record and does not inflate to its end, and bytes
+between members that belong to none, are damage: ``read_archives`` raises, or with
+``strict=False`` passes over it, and ``damaged`` lists it.
 
 Defined results: a null page is empty. Equal payloads of at least ``least`` bytes:
 the row with the largest page_id is the response (rows that repeat that page_id
@@ -33,6 +36,8 @@ from sigclass.session import fresh_path, materialize, ship_package
 LEAST_REVISIT = 1000
 #: Begin of a gzip member: magic number and deflate (fixed values of RFC 1952).
 MAGIC = b"\x1f\x8b\x08"
+#: Schemes of Spark's file systems that Arrow knows by another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
@@ -40,9 +45,17 @@ READ = "page_id long, url string, record_type string, payload_bytes long, payloa
 def _file_system(path: str):
     """The file system of a path or URI and the path in it."""
     from pyarrow import fs
+    return fs.FileSystem.from_uri(_arrow_uri(path))
+
+
+def _arrow_uri(path: str) -> str:
+    """A path or URI of Spark's file systems as Arrow names it."""
     if path.startswith("file:"):
-        path = "/" + path[len("file:"):].lstrip("/")
-    return fs.FileSystem.from_uri(path)
+        return "/" + path[len("file:"):].lstrip("/")
+    scheme, sep, rest = path.partition("://")
+    if sep and scheme.startswith("wasb"):  # the same container by its other end point
+        rest = rest.replace(".blob.", ".dfs.", 1)
+    return SCHEMES.get(scheme, scheme) + sep + rest if sep else path
 
 
 def _record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
@@ -136,25 +149,39 @@ class _Window:
         return self.data[offset - self.at:offset - self.at + n]
 
 
+def _begins_as_record(window: _Window, offset: int) -> bool:
+    """Does what can be inflated from an offset begin like a WARC record? (In small steps: an error loses a step.)"""
+    inflate, out = zlib.decompressobj(31), b""
+    try:
+        for at in range(offset, offset + (1 << 14), 16):
+            out += inflate.decompress(window.get(at, 16))
+            if len(out) >= 5:
+                break
+    except zlib.error:
+        pass
+    return out.startswith(b"WARC/")
+
+
 def _inflate(window: _Window, offset: int):
-    """The member that begins at an offset and the offset after it; None if there is none."""
+    """The member that begins at an offset, the offset after it and None; None if there is none; and no member,
+    but the reason, if it begins as a record does and cannot be inflated to its end."""
     inflate, parts, at = zlib.decompressobj(31), [], offset
     checked = False
     try:
         while not inflate.eof:
             raw = window.get(at, 1 << 14)
             if not raw:
-                return None
+                return (None, at, "ends before its member does") if checked else None
             parts.append(inflate.decompress(raw))
             at += len(raw)
             if not checked and sum(map(len, parts[:2])) >= 5:
                 if not b"".join(parts[:2]).startswith(b"WARC/"):
                     return None
                 checked = True
-    except zlib.error:
-        return None
+    except zlib.error as e:
+        return (None, at, str(e)) if checked or _begins_as_record(window, offset) else None
     data = b"".join(parts)
-    return (data, at - len(inflate.unused_data)) if data.startswith(b"WARC/") else None
+    return (data, at - len(inflate.unused_data), None) if data.startswith(b"WARC/") else None
 
 
 def _parse(data: bytes):
@@ -177,9 +204,15 @@ def _parse(data: bytes):
 
 def _records(path: str, size: int, first: int, last: int):
     """The records that begin in a byte range."""
+    return (row for row, _ in _scan(path, size, first, last) if row)
+
+
+def _scan(path: str, size: int, first: int, last: int):
+    """The records that begin in a byte range, as (row, None), and its damage, as (None, (path, offset, reason))."""
     files, inner = _file_system(path)
     with files.open_input_file(inner) as file:
         window, at = _Window(file, size), first
+        follows = 0 if first == 0 else None  # where the next member begins, if that is known
         while at < last:
             chunk = window.get(at, min(1 << 16, last - at) + len(MAGIC) - 1)
             found = chunk.find(MAGIC)
@@ -188,16 +221,25 @@ def _records(path: str, size: int, first: int, last: int):
                 continue
             at += found
             member = _inflate(window, at) if at < last else None
-            if member is None:
-                at += 1
+            if member is None or member[2] is None and b"\r\nWARC-Type:" not in member[0].partition(b"\r\n\r\n")[0]:
+                at = at + 1 if member is None else member[1]  # no record, perhaps inside one
+                continue
+            if follows is not None and follows < at:
+                yield None, (path, follows, "bytes that belong to no record")
+            if member[2] is not None:
+                yield None, (path, at, member[2])
+                at, follows = at + 1, None
                 continue
             row = _parse(member[0])
             if row is not None:
-                yield row
-            at = member[1]
+                yield row, None
+            at = follows = member[1]
+        # the range of a record also looks at what follows it in a later range
+        if follows is not None and (follows < last or follows < size and window.get(follows, len(MAGIC)) != MAGIC):
+            yield None, (path, follows, "bytes that belong to no record")
 
 
-def _read(with_payload: bool, rows: int = 256):
+def _read(with_payload: bool, strict: bool, rows: int = 256):
     names = [x.split()[0] for x in READ.split(", ")]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
@@ -208,8 +250,11 @@ def _read(with_payload: bool, rows: int = 256):
         found = []
         for part in batches:
             for split in zip(*[part.column(c).to_pylist() for c in ("path", "size", "first", "last")]):
-                for row in _records(*split):
-                    found.append(row if with_payload else (*row[:-1], None))
+                for row, damage in _scan(*split):
+                    if damage and strict:
+                        raise ValueError("damaged archive {0} at byte {1}: {2}".format(*damage))
+                    if row:
+                        found.append(row if with_payload else (*row[:-1], None))
                     if len(found) == rows:
                         yield batch(found)
                         found = []
@@ -218,14 +263,34 @@ def _read(with_payload: bool, rows: int = 256):
     return read
 
 
-def read_archives(manifest: DataFrame, split_bytes: int = 4 << 20, with_payload: bool = True) -> DataFrame:
-    """The response and revisit records of the archives of a manifest (READ), by byte ranges."""
-    ranges = splits(manifest, split_bytes)
+def _damage(batches):
+    for part in batches:
+        for split in zip(*[part.column(c).to_pylist() for c in ("path", "size", "first", "last")]):
+            found = [d for _, d in _scan(*split) if d]
+            if found:
+                path, offset, reason = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(offset, pa.int64()), pa.array(reason)],
+                                                 ["path", "offset", "reason"])
+
+
+def _ranges(manifest: DataFrame, split_bytes: int) -> DataFrame:
     spark = manifest.sparkSession
     ship_package(spark)
     total = manifest.agg(F.sum("size")).first()[0] or 0
     tasks = max(spark.sparkContext.defaultParallelism, total // (4 * split_bytes) + 1)
-    return ranges.repartition(int(tasks)).mapInArrow(_read(with_payload), READ)
+    return splits(manifest, split_bytes).repartition(int(tasks))
+
+
+def damaged(manifest: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
+    """The damage of archives: path, offset, reason."""
+    return _ranges(manifest, split_bytes).mapInArrow(_damage, "path string, offset long, reason string")
+
+
+def read_archives(manifest: DataFrame, split_bytes: int = 4 << 20, with_payload: bool = True,
+                  strict: bool = True) -> DataFrame:
+    """The response and revisit records of the archives of a manifest (READ), by byte ranges. Damage is an error,
+    unless ``strict`` is false: then the other records are read."""
+    return _ranges(manifest, split_bytes).mapInArrow(_read(with_payload, strict), READ)
 
 
 def round_trip(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
 from sigclass.llm.tokens import Encoder
 from tests.llm import test_near_duplicates as near_tests
@@ -85,3 +87,33 @@ def test_run_and_every_stage_against_a_plain_version(spark, docs_of, labels_of,
     check_mix(plain, collected[3])
     assert last.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     check_pieces(Encoder(), [(r.doc_id, r.text) for r in collected[3]], last.collect())
+
+
+#: Names that the stages use for columns of their own.
+PRIVATE = ["row", "id", "text_hash", "digest", "keep_id", "keep_rows", "group_size", "size", "key", "taken", "epochs", "cut_key", "cut_words",
+           "cut_size", "target", "source_size", "comp", "kept", "n_shingles", "component_id", "place", "curve", "_row", "_of", "_doc",
+           "_hash", "_text", "_stay", "_key", "_size", "_epoch", "_digest", "_keep_id", "node", "n", "rows"]
+
+
+def test_stages_keep_columns_that_clash_with_their_own(spark, docs_of, labels_of, tmp_path):
+    rows, labels = fixture_rows()
+    docs = docs_of(rows).withColumns({n: F.concat(F.lit(n + " of "), F.col("doc_id")) for n in PRIVATE})
+    labels_of(labels).write.parquet(f"{tmp_path}/labels.parquet")
+    plain = {r.doc_id: r for r in docs.collect()}
+    for i, (name, stage) in enumerate(C.STAGES):
+        docs = C.materialize(stage(spark, docs, str(tmp_path)), "clash")
+        if name != "packing":
+            got = docs.collect()
+            assert docs.columns == [*COLUMNS, *PRIVATE] and got and all(r == plain[r.doc_id] for r in got), name
+    assert docs.columns[0] == "doc_id" and docs.count()
+
+
+def test_odd_rows_and_an_empty_table_go_through_all_stages(spark, docs_of, labels_of, odd_rows, tmp_path):
+    labels_of([(i, i % 2, 0) for i in range(1, 12)]).write.parquet(f"{tmp_path}/labels.parquet")
+    for name, rows in (("odd", odd_rows), ("empty", [])):
+        docs = docs_of(rows)
+        for _, stage in C.STAGES:
+            docs = C.materialize(stage(spark, docs, str(tmp_path)), name)
+        got = docs.collect()
+        assert docs.columns[0] == "doc_id" and (not got) >= (not rows)
+        assert {r.doc_id for r in got} <= {r[0] for r in rows}

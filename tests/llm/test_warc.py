@@ -65,6 +65,40 @@ def test_magic_numbers_inside_members_are_not_records(tmp_path):
         assert len(whole) == 2 and sum(r[0] == 2 for r in got) == 1
 
 
+def test_damage_is_never_silent(spark, tmp_path):
+    import zlib
+    payloads = [(b"%d " % i) * 2000 + bytes(range(256)) * 40 for i in range(3)]
+    members = [warc._member(warc._record(i, "u", p, hashlib.sha1(p).hexdigest(), None)) for i, p in enumerate(payloads)]
+    whole = b"".join(members)
+    begins = [0, len(members[0]), len(members[0]) + len(members[1])]
+    flipped = bytearray(whole)
+    flipped[begins[1] + len(members[1]) // 2] ^= 0xFF
+    headless = bytearray(whole)
+    headless[begins[1]] ^= 0xFF
+    cases = {"whole": (whole, [0, 1, 2], []), "cut": (whole[:-20], [0, 1], [begins[2]]), "flipped": (bytes(flipped), [0, 2], [begins[1]]),
+             "headless": (bytes(headless), [0, 2], [begins[1]]), "tail": (whole + b"\0" * 30, [0, 1, 2], [len(whole)])}
+    for name, (data, records, damage) in cases.items():
+        (tmp_path / name).write_bytes(data)
+        manifest = spark.createDataFrame([(str(tmp_path / name), len(data))], "path string, size long")
+        for split in (97, 1 << 20):
+            got = warc.read_archives(manifest, split, strict=False).collect()
+            assert sorted(r.page_id for r in got) == records, (name, split)
+            found = warc.damaged(manifest, split).collect()
+            assert all(r.path == str(tmp_path / name) and r.reason for r in found)
+            if split > 97:
+                assert [r.offset for r in found] == damage, name
+            assert bool(found) == bool(damage), (name, split)
+        if damage:
+            with pytest.raises(Exception, match="damaged archive"):
+                warc.read_archives(manifest).collect()
+
+
+def test_schemes_of_spark_are_known():
+    assert warc._arrow_uri("s3a://b/k") == "s3://b/k" and warc._arrow_uri("hdfs://n:1/p") == "hdfs://n:1/p"
+    assert warc._arrow_uri("wasbs://c@a.blob.core.windows.net/p") == "abfss://c@a.dfs.core.windows.net/p"
+    assert warc._arrow_uri("file:///a/b") == "/a/b" == warc._arrow_uri("/a/b") and warc._arrow_uri("gs://b/k") == "gs://b/k"
+
+
 def test_archives_are_standard_gzip_members(spark):
     rows = pages()[:40]
     manifest = warc.write_archives(spark.createDataFrame(rows, SCHEMA), fresh_path(spark, "warc-std"))

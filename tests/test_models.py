@@ -118,3 +118,42 @@ def test_every_row_stays_when_scored(spark):
     assert out.where("userid is null and not predictedlabels['MLPerceptron'] = 'Generating Model'").count() == 0
     assert out.where("features is null and not predictedlabels['NaiveBayes'] = 'Generating Model'").count() == 0
     assert out.where("predictedlabels['MLPerceptron'] <> 'Generating Model'").count() > 0
+
+
+def test_many_users_share_few_groups(spark):
+    """100,000 users with a row each, every one with its own forest and perceptron: some hundred groups,
+    each row scored by its own user's models."""
+    from sigclass.operators.registry import REGISTRY
+    n = 100_000
+    users = spark.range(n).select(F.col("id"), F.concat(F.lit("u"), "id").alias("userid"))
+    cut = (F.col("id") % 10).cast("double")
+    none = F.lit(0).cast("long")
+    forest = users.select(
+        "userid", F.lit("rf").alias("model_type"),
+        F.when(F.col("id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b"), F.lit("a"))).alias("labels"),
+        # channel 1 is categorical for every third user: 7.0 -> 1, 9.0 -> 0, unseen -> 2
+        F.when(F.col("id") % 3 == 0, F.create_map(F.lit(1), F.create_map(F.lit(9.0), F.lit(0.0), F.lit(7.0), F.lit(1.0)))).alias("cat_maps"),
+        F.struct(F.array(F.lit(0)).alias("roots"), F.array(F.lit(1), F.lit(-1), F.lit(-1)).alias("left"),
+                 F.array(F.lit(2), F.lit(-1), F.lit(-1)).alias("right"), F.array(F.lit(1), F.lit(0), F.lit(0)).alias("feature"),
+                 F.array(F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise(cut), F.lit(0.0), F.lit(0.0)).alias("threshold"),
+                 F.array(none - 1, none - 1, none - 1).alias("cats"),
+                 F.array(F.lit(0.5), F.lit(0.5), F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("probs")).alias("rf"))
+    # a perceptron without hidden layers: class 1 where x0 + bias > 0
+    perceptron = users.where("id % 5 <> 0").select(
+        "userid", F.lit("mlp").alias("model_type"), F.array(F.lit("no"), F.lit("yes")).alias("labels"),
+        F.array(F.lit(2), F.lit(2)).alias("mlp_layers"),
+        F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0), -cut).alias("mlp_weights"))
+    models = jobs.registry_rows(forest).unionByName(jobs.registry_rows(perceptron))
+    assert models.columns == REGISTRY.fieldNames()
+    x0, x1 = (F.col("id") % 13).cast("double"), F.when(F.col("id") % 4 == 0, F.lit(7.0)).otherwise((F.col("id") % 11).cast("double"))
+    rows = users.select(F.col("userid").alias("pk"), "userid", "id", F.array(x0, x1).alias("features"))
+    out = scorers.score(rows, models, n_classes=2, n_channels=2)
+    code = F.when(F.col("id") % 3 == 0, F.when(x1 == 9.0, 0.0).when(x1 == 7.0, 1.0).otherwise(2.0)).otherwise(x1)
+    right = F.when(code <= F.when(F.col("id") % 3 == 0, 0.5).otherwise(cut), 0).otherwise(1)
+    rf = F.when((right == 1) == (F.col("id") % 2 == 0), "b").otherwise("a")
+    mlp = F.when(F.col("id") % 5 != 0, F.when(x0 > cut, "yes").otherwise("no"))
+    wrong = out.where(~rf.eqNullSafe(F.col("rf_label")) | ~mlp.eqNullSafe(F.col("mlp_label")))
+    assert out.count() == n and wrong.count() == 0
+    assert scorers.n_buckets(n, n, 100_000, 500) == 200
+    assert scorers.n_buckets(10**10, 10, 100_000, 500) == 200_000 and scorers.n_buckets(0, 0, 100, 5) == 1
+

@@ -325,3 +325,7 @@ SQL.update({name: SQL[same] for name, same in (
     ("channel_index_incremental", "channel_index_fit"), ("invalid_packets_stored", "invalid_packets"),
     ("session_packets_pruned", "scan_session_packets"), ("waiting_instructions", "pending_instructions"),
     ("current_models_merged", "current_model_per_user"), ("reclassify_waiting", "reclassify_pending"))})
+SQL["stream_accounts"] = _with(CAL.replace("cal AS", "elig AS"), PKT, FAULT) + \
+    """SELECT 'calibration' source,
+              CASE WHEN cast(split_part(pk, '-', 1) AS bigint) % 50 = 7 THEN 'malformed json' ELSE coalesce(reason, 'stored') END outcome,
+              count(*) n FROM fault GROUP BY 1, 2"""

@@ -18,6 +18,9 @@ from sigclass.plans.queries import _channels, nb_registry, present
 from sigclass.session import fresh_path
 from sigclass.sources import fixtures as fx
 from sigclass.sources import snapshots, tables
+from sigclass.sources.streams import file_topic
+from sigclass.streaming.accounts import read_accounts
+from sigclass.streaming.ingest import start_calibration_ingest
 
 #: Commits into which a query's input is cut.
 PARTS = 3
@@ -113,6 +116,16 @@ def reclassify_waiting(spark, sf):
         F.col("predictedlabels")["NaiveBayes"].alias("nb_label"), "pending")
 
 
+def stream_accounts(spark, sf):
+    """What the ingest stream made of every message, in three micro-batches, by outcome."""
+    base = fresh_path(spark, "accounts")
+    fx.faulty_json_lines(spark, sf).repartition(PARTS).write.text(f"{base}/topic")
+    query = start_calibration_ingest(spark, file_topic(spark, f"{base}/topic", 1), f"{base}/table", f"{base}/quarantine",
+                                     f"{base}/checkpoint", trigger={"availableNow": True})
+    query.awaitTermination()
+    return read_accounts(spark, f"{base}/table").groupBy("source", "outcome").agg(F.sum("n").alias("n"))
+
+
 STATE_QUERIES = {f.__name__: f for f in (
     nb_train_incremental, label_index_incremental, channel_index_incremental, invalid_packets_stored, session_packets_pruned,
-    waiting_instructions, current_models_merged, reclassify_waiting)}
+    waiting_instructions, current_models_merged, reclassify_waiting, stream_accounts)}

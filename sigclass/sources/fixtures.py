@@ -153,6 +153,16 @@ def labelled_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("value"))
 
 
+def faulty_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets of ``faulty_calibration_packets`` as messages; those of every 50th order are cut short."""
+    p = faulty_calibration_packets(spark, sf_dir)
+    js = F.to_json(F.struct(F.col("eeg").alias("DataPacketValue"), F.col("label").alias("Label"),
+                            F.col("userid").alias("userId"), F.col("calibrationid").alias("calibrationId")))
+    cut = F.split("pk", "-")[0].cast("bigint") % 50 == 7
+    return p.select(js.alias("js"), cut.alias("cut")).select(
+        F.when(F.col("cut"), F.expr("substring(js, 1, length(js) - 7)")).otherwise(F.col("js")).alias("value"))
+
+
 def unlabelled_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unlabelled packets as JSON messages; rows of error events are cut short (malformed)."""
     c = instruction_packet_channels(spark, sf_dir)

@@ -329,3 +329,18 @@ SQL["stream_accounts"] = _with(CAL.replace("cal AS", "elig AS"), PKT, FAULT) + \
     """SELECT 'calibration' source,
               CASE WHEN cast(split_part(pk, '-', 1) AS bigint) % 50 = 7 THEN 'malformed json' ELSE coalesce(reason, 'stored') END outcome,
               count(*) n FROM fault GROUP BY 1, 2"""
+SQL["cycle_reports"] = _with(*MET, WM) + \
+    "SELECT r.calibrationid, c.userid, r.model, r.metric, r.class, round(r.value, 6) AS value, true modelsgenerated, " \
+    "true has_time, true has_run FROM (" + \
+    " UNION ALL ".join(f"SELECT calibrationid, model, '{m}' metric, class, \"{m}\" AS value FROM cm"
+                       for m in ("precision", "recall", "f1", "fpr", "tpr")) + " UNION ALL " + \
+    " UNION ALL ".join(f"SELECT calibrationid, model, '{m}' metric, cast(NULL AS double) class, {m} AS value FROM wm"
+                       for m in ("accuracy", "weighted_precision", "weighted_recall", "weighted_f1",
+                                 "weighted_fpr", "weighted_tpr")) + ") r JOIN cal c ON c.calibrationid = r.calibrationid"
+SQL["packet_keys"] = _with(PKT) + \
+    """SELECT pk, sha256(concat_ws('|', 'kafka', 'calibration', cast(cast(split_part(pk, '-', 1) AS bigint) % 4 AS varchar),
+                                  split_part(pk, '-', 1) || split_part(pk, '-', 2))) packet_key FROM pkt"""
+SQL["label_numbers"] = _with(PKT, """faulty AS (
+  SELECT pk, CASE cast(split_part(pk, '-', 1) AS bigint) % 50 WHEN 2 THEN 'Asleep' WHEN 3 THEN NULL ELSE label END label FROM pkt)""") + \
+    """SELECT pk, label, CASE label WHEN 'Medium' THEN 1.0 WHEN 'Deep' THEN 2.0 ELSE 0.0 END number,
+              CASE label WHEN 'Medium' THEN 'Medium' WHEN 'Deep' THEN 'Deep' ELSE 'Shallow' END AS name FROM faulty"""

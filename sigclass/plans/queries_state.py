@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigclass.functions.labels import fixed_label_name, fixed_label_number
+from sigclass.functions.packets import packet_key
 from sigclass.operators import prepare, registry
 from sigclass.operators.joins import join_small
 from sigclass.plans import jobs
@@ -126,6 +128,39 @@ def stream_accounts(spark, sf):
     return read_accounts(spark, f"{base}/table").groupBy("source", "outcome").agg(F.sum("n").alias("n"))
 
 
+def cycle_reports(spark, sf):
+    """The metrics table that a cycle over stored tables leaves, with the report's user, time and run; and
+    what the session table says after it."""
+    base = fresh_path(spark, "cycle")
+    paths = tables.TablePaths(**{k: f"{base}/{k}" for k in (
+        "calibrations", "packets", "instructions", "registry", "metrics", "status")})
+    fx.calibrations(spark, sf).write.parquet(paths.calibrations)
+    for i, part in enumerate(_in_parts(fx.calibration_packets(spark, sf), 2)):
+        tables.write_packets(part, paths.packets, f"batch_{i:012d}")
+    jobs.run_cycle(spark, paths, model_types=["nb"])
+    report = tables.read_parquet(spark, paths.metrics)
+    ready = tables.read_calibrations(spark, paths.calibrations).select("calibrationid", "modelsgenerated")
+    rows = report.join(ready, "calibrationid").withColumns(
+        {"has_time": F.col("trained_at").isNotNull(), "has_run": F.col("run").isNotNull()})
+    return present(rows.select("calibrationid", "userid", "model", "metric", "class", "value", "modelsgenerated",
+                               "has_time", "has_run"))
+
+
+def packet_keys(spark, sf):
+    """Keys of packets from their source coordinates (topic, partition and offset, as text)."""
+    p = fx.calibration_packets(spark, sf).select("pk", F.split("pk", "-").alias("part"))
+    coords = F.array(F.lit("kafka"), F.lit("calibration"), (F.col("part")[0].cast("bigint") % 4).cast("string"),
+                     F.concat(F.col("part")[0], F.col("part")[1]))
+    return p.select("pk", packet_key(coords).alias("packet_key"))
+
+
+def label_numbers(spark, sf):
+    """The fixed class number of every packet's label (an unknown one is 0), and back."""
+    p = fx.faulty_calibration_packets(spark, sf).select("pk", "label", fixed_label_number("label").alias("number"))
+    return p.select("pk", "label", "number", fixed_label_name("number").alias("name"))
+
+
 STATE_QUERIES = {f.__name__: f for f in (
     nb_train_incremental, label_index_incremental, channel_index_incremental, invalid_packets_stored, session_packets_pruned,
-    waiting_instructions, current_models_merged, reclassify_waiting, stream_accounts)}
+    waiting_instructions, current_models_merged, reclassify_waiting, stream_accounts, cycle_reports, packet_keys,
+    label_numbers)}

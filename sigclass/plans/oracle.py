@@ -344,3 +344,5 @@ SQL["label_numbers"] = _with(PKT, """faulty AS (
   SELECT pk, CASE cast(split_part(pk, '-', 1) AS bigint) % 50 WHEN 2 THEN 'Asleep' WHEN 3 THEN NULL ELSE label END label FROM pkt)""") + \
     """SELECT pk, label, CASE label WHEN 'Medium' THEN 1.0 WHEN 'Deep' THEN 2.0 ELSE 0.0 END number,
               CASE label WHEN 'Medium' THEN 'Medium' WHEN 'Deep' THEN 'Deep' ELSE 'Shallow' END AS name FROM faulty"""
+SQL["whole_pipeline"] = _with(PKT) + \
+    "SELECT pk, true same FROM pkt WHERE cast('0x' || substring(md5(pk), 1, 8) AS bigint) % 100 >= 60"

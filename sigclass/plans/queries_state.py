@@ -7,13 +7,15 @@ is that of the queries in ``queries``.
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigclass.functions.labels import fixed_label_name, fixed_label_number
+from sigclass.functions.labels import decode, fixed_label_name, fixed_label_number
 from sigclass.functions.packets import packet_key
 from sigclass.operators import prepare, registry
 from sigclass.operators.joins import join_small
+from sigclass.operators.ml_stages import save_whole_models
 from sigclass.plans import jobs
 from sigclass.plans.flow import Flow
 from sigclass.plans.queries import _channels, nb_registry, present
@@ -160,7 +162,22 @@ def label_numbers(spark, sf):
     return p.select("pk", "label", "number", fixed_label_name("number").alias("name"))
 
 
+def whole_pipeline(spark, sf):
+    """M4/K5: a perceptron trained on all packets as one session, saved as a whole pipeline, loaded and applied to
+    raw packets: for each test packet, whether its label name is the one that the training run predicted."""
+    cal, packets = fx.single_session(spark, sf)
+    run = jobs.train_pending(spark, cal, packets, model_types=["mlp"])
+    path = fresh_path(spark, "whole-models")
+    save_whole_models(spark, run.registry, path)
+    folder = run.registry.first()["model_path"].rsplit("/", 2)[1:]
+    loaded = PipelineModel.load("/".join([path, *folder]))
+    ours = loaded.transform(packets.select("pk", "features")).select("pk", "predicted_label")
+    labels = run.registry.select("calibrationid", "labels")
+    given = jobs.read_pairs(spark, run.root).join(labels, "calibrationid").select("pk", decode("predicted").alias("given"))
+    return given.join(ours, "pk", "left").select("pk", F.col("given").eqNullSafe(F.col("predicted_label")).alias("same"))
+
+
 STATE_QUERIES = {f.__name__: f for f in (
     nb_train_incremental, label_index_incremental, channel_index_incremental, invalid_packets_stored, session_packets_pruned,
     waiting_instructions, current_models_merged, reclassify_waiting, stream_accounts, cycle_reports, packet_keys,
-    label_numbers)}
+    label_numbers, whole_pipeline)}

@@ -157,3 +157,29 @@ def test_many_users_share_few_groups(spark):
     assert scorers.n_buckets(n, n, 100_000, 500) == 200
     assert scorers.n_buckets(10**10, 10, 100_000, 500) == 200_000 and scorers.n_buckets(0, 0, 100, 5) == 1
 
+
+def test_a_saved_pipeline_goes_from_packets_to_labels(spark):
+    """M4: indexers, classifier and decoder saved and loaded as one; an indexer fitted by itself agrees."""
+    from pyspark.ml import Pipeline, PipelineModel
+    from sigclass.operators import ml_stages as S
+    from sigclass.operators.mllib_train import TrainConfig, estimator
+    from sigclass.session import fresh_path
+    packets = fx.calibration_packets(spark, SF001).where("calibrationid = '4'").persist()
+    flow = Flow(fx.calibrations(spark, SF001), packets)
+    cal = flow.calibrations.where("calibrationid = '4'").withColumns({"modelsgenerated": F.lit(False), "enddate": F.col("startdate")})
+    flow = Flow(cal, packets)
+    spec = flow.spec.first()
+    fitted = S.SessionIndexer().fit(packets)
+    assert fitted.getLabels() == list(spec.labels)
+    assert {j: {v: float(c) for c, v in enumerate(m)} for j, m in fitted.codes().items()} == dict(spec.cat_maps or {}) != {}
+    indexed = fitted.transform(packets)
+    assert sorted((r.pk, r.label_idx, list(r.fv)) for r in indexed.select("pk", "label_idx", "fv").collect()) == \
+        sorted((r.pk, r.label_idx, list(r.features_idx)) for r in flow.indexed.collect())
+    whole = Pipeline(stages=[S.SessionIndexer(), estimator("rf", TrainConfig()), S.LabelDecoder(labels=fitted.getLabels())])
+    path = fresh_path(spark, "t-pipeline")
+    model = whole.fit(packets)
+    model.save(path)
+    raw = packets.select("pk", "features")
+    loaded = PipelineModel.load(path).transform(raw).select("pk", "predicted_label")
+    assert sorted(loaded.collect()) == sorted(model.transform(raw).select("pk", "predicted_label").collect())
+    assert loaded.where("predicted_label is null").count() == 0

@@ -346,3 +346,7 @@ SQL["label_numbers"] = _with(PKT, """faulty AS (
               CASE label WHEN 'Medium' THEN 'Medium' WHEN 'Deep' THEN 'Deep' ELSE 'Shallow' END AS name FROM faulty"""
 SQL["whole_pipeline"] = _with(PKT) + \
     "SELECT pk, true same FROM pkt WHERE cast('0x' || substring(md5(pk), 1, 8) AS bigint) % 100 >= 60"
+SQL["archived_topic_ingest"] = _with(PKT, """msg AS (
+  SELECT cast(split_part(pk, '-', 1) AS bigint) o, cast(split_part(pk, '-', 2) AS bigint) l, * FROM pkt)""") + \
+    """SELECT sha256(concat_ws('|', 'kafka', 'calibration', cast(o % 4 AS varchar), cast(o * 10 + l AS varchar))) pk,
+              calibrationid, userid, label FROM msg"""

@@ -22,7 +22,7 @@ from sigclass.plans.queries import _channels, nb_registry, present
 from sigclass.session import fresh_path
 from sigclass.sources import fixtures as fx
 from sigclass.sources import snapshots, tables
-from sigclass.sources.streams import file_topic
+from sigclass.sources.streams import archive, archived_topic, file_topic
 from sigclass.streaming.accounts import read_accounts
 from sigclass.streaming.ingest import start_calibration_ingest
 
@@ -130,6 +130,17 @@ def stream_accounts(spark, sf):
     return read_accounts(spark, f"{base}/table").groupBy("source", "outcome").agg(F.sum("n").alias("n"))
 
 
+def archived_topic_ingest(spark, sf):
+    """A topic's archive through the ingest stream, some segments a micro-batch: keys and labels of the
+    stored packets. Keys follow from topic, partition and offset alone."""
+    base = fresh_path(spark, "archive")
+    archive(fx.archived_messages(spark, sf), f"{base}/topic", 100_000)
+    query = start_calibration_ingest(spark, archived_topic(spark, f"{base}/topic", 4), f"{base}/table", f"{base}/quarantine",
+                                     f"{base}/checkpoint", trigger={"availableNow": True})
+    query.awaitTermination()
+    return tables.read_packets(spark, f"{base}/table").select("pk", "calibrationid", "userid", "label")
+
+
 def cycle_reports(spark, sf):
     """The metrics table that a cycle over stored tables leaves, with the report's user, time and run; and
     what the session table says after it."""
@@ -179,5 +190,5 @@ def whole_pipeline(spark, sf):
 
 STATE_QUERIES = {f.__name__: f for f in (
     nb_train_incremental, label_index_incremental, channel_index_incremental, invalid_packets_stored, session_packets_pruned,
-    waiting_instructions, current_models_merged, reclassify_waiting, stream_accounts, cycle_reports, packet_keys,
+    waiting_instructions, current_models_merged, reclassify_waiting, stream_accounts, archived_topic_ingest, cycle_reports, packet_keys,
     label_numbers, whole_pipeline)}

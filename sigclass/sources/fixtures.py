@@ -153,6 +153,16 @@ def labelled_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("value"))
 
 
+def archived_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calibration topic's messages as an archive has them: partition and offset from order and line."""
+    p = calibration_packets(spark, sf_dir).withColumn("part", F.split("pk", "-"))
+    order, line = F.col("part")[0].cast("bigint"), F.col("part")[1].cast("bigint")
+    return p.select(F.lit("calibration").alias("topic"), (order % 4).cast("int").alias("partition"),
+                    (order * 10 + line).alias("offset"), F.to_json(F.struct(
+                        F.col("eeg").alias("DataPacketValue"), F.col("label").alias("Label"),
+                        F.col("userid").alias("userId"), F.col("calibrationid").alias("calibrationId"))).alias("value"))
+
+
 def faulty_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packets of ``faulty_calibration_packets`` as messages; those of every 50th order are cut short."""
     p = faulty_calibration_packets(spark, sf_dir)

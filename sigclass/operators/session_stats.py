@@ -2,17 +2,17 @@
 
 Each micro-batch (and each compaction) leaves three small tables beside its packets:
 
-- ``profile``: per session the rows by label, the packets that cannot be used, and an HLL
-  sketch per channel (as a binary, ``hll_sketch_agg``);
-- ``values``: what ``prepare.fit_pass`` gives for the batch: per session, label and side of the split the
-  rows, sums and minima, and the counts of each value of the channels that may be categorical.
-
+- ``profile``: what ``prepare.session_profile`` gives for the part: per session the rows by label, the packets
+  that cannot be used, and an estimate of each channel's number of values;
+- ``values``: what ``prepare.fit_pass`` gives for it: per session, label and side of the split the rows, sums
+  and minima, and the counts of each value of the channels that may be categorical;
 - ``invalid``: the packets that cannot be used, by session and reason.
 
-They merge by addition (sketches by ``hll_union_agg``), so the merged tables equal those of one scan
-over all packets: a channel that has at most ``MAX_CATEGORIES`` values in a session has no more in any
-part of it, so its values are in every part's table; and a sketch that holds so few values counts them
-exactly. Channels whose merged sketch has more are dropped, as in the scan.
+They merge by addition, so the merged tables equal those of one scan over all packets. A channel with at most
+``MAX_CATEGORIES`` values in a session has no more in any part of it, so no part's estimate rules it out and its
+values are in every part's table; the merged values are then counted exactly. A channel that one part rules
+out is dropped. So sets of at most six values stand where sketches would have to be merged: they are
+exact, smaller, and the aggregates stay compiled hash aggregates.
 
 A part has a few rows for each session that occurs in it, whatever its number of packets.
 """
@@ -24,42 +24,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigclass.functions.packets import NOT_FINITE
 from sigclass.operators import prepare
 from sigclass.schemas import LABELS, MAX_CATEGORIES, N_CHANNELS, TRAIN_PERCENT
 
-#: 2**8 registers: sketches need only tell few values from many.
-LG_K = 8
-
-
-def batch_profile(frame: DataFrame, n_channels: int = N_CHANNELS) -> DataFrame:
-    """Per session of a frame (calibrationid, label, features, reason, valid): label counts l0.., unusable
-    packets, and a sketch k0.. of each channel's values."""
-    f, valid = F.col("features"), F.col("valid")
-    aggs = [F.count_if(valid & (F.col("label") == F.lit(lab))).alias(f"l{i}") for i, lab in enumerate(LABELS)]
-    aggs += [F.hll_sketch_agg(F.when(valid, (F.get(f, F.lit(j)) + F.lit(0.0)).cast("string")), F.lit(LG_K)).alias(f"k{j}")
-             for j in range(n_channels)]
-    aggs += [F.count_if(~valid).alias("n_invalid"),
-             F.count_if(F.coalesce(F.col("reason") == NOT_FINITE, F.lit(False))).alias("n_not_finite")]
-    return frame.groupBy("calibrationid").agg(*aggs)
-
-
-def _as_profile(merged: DataFrame, n_channels: int) -> DataFrame:
-    """``prepare.session_profile``'s columns from label counts and sketches."""
-    counts = F.filter(F.array(*[F.struct(F.lit(lab).alias("label"), F.col(f"l{i}").alias("n"))
-                                for i, lab in enumerate(LABELS)]), lambda e: e["n"] > 0)
-    return merged.select("calibrationid", counts.alias("label_counts"),
-                         F.array(*[F.hll_sketch_estimate(f"k{j}") for j in range(n_channels)]).alias("approx_distinct"),
-                         "n_invalid", "n_not_finite")
-
-
 def write_part(frame: DataFrame, path: str, n_channels: int = N_CHANNELS, train_percent: int = TRAIN_PERCENT) -> None:
     """The statistics of one part of the packets (a frame of ``prepare.packet_frame``)."""
     spark = frame.sparkSession
-    batch_profile(frame, n_channels).write.mode("overwrite").parquet(f"{path}/profile")
-    profile = _as_profile(spark.read.parquet(f"{path}/profile"), n_channels)
+    prepare.session_profile(frame, n_channels).write.mode("overwrite").parquet(f"{path}/profile")
+    profile = spark.read.parquet(f"{path}/profile")
     prepare.fit_pass(frame, profile, MAX_CATEGORIES, n_channels, train_percent).write.mode("overwrite").parquet(f"{path}/values")
-    prepare.invalid_packets(frame).write.mode("overwrite").parquet(f"{path}/invalid")
+    # the ingest stores usable packets only: then there is nothing to look for
+    some = bool(profile.agg(F.sum("n_invalid")).first()[0])
+    prepare.invalid_packets(frame if some else frame.limit(0)).write.mode("overwrite").parquet(f"{path}/invalid")
 
 
 @dataclass
@@ -73,21 +49,23 @@ class SessionStatistics:
         parts = self.spark.read.parquet(*[f"{p}/{kind}" for p in self.paths])
         return parts.join(sessions.select("calibrationid"), "calibrationid", "left_semi")
 
-    def merged_profile(self, sessions: DataFrame) -> DataFrame:
-        sums = [f"l{i}" for i in range(len(LABELS))] + ["n_invalid", "n_not_finite"]
-        return self._parts("profile", sessions).groupBy("calibrationid").agg(
-            *[F.sum(c).alias(c) for c in sums],
-            *[F.hll_union_agg(f"k{j}", F.lit(False)).alias(f"k{j}") for j in range(self.n_channels)])
+    def profile(self, sessions: DataFrame) -> DataFrame:
+        """What ``prepare.session_profile`` gives for the sessions' packets; of a channel's estimates the largest."""
+        of = lambda lab: F.get(F.filter("label_counts", lambda e: e["label"] == lab), F.lit(0))["n"]
+        merged = self._parts("profile", sessions).groupBy("calibrationid").agg(
+            *[F.coalesce(F.sum(of(lab)), F.lit(0)).alias(f"l{i}") for i, lab in enumerate(LABELS)],
+            *[F.max(F.get("approx_distinct", F.lit(j))).alias(f"d{j}") for j in range(self.n_channels)],
+            F.sum("n_invalid").alias("n_invalid"), F.sum("n_not_finite").alias("n_not_finite"))
+        counts = F.array(*[F.struct(F.lit(lab).alias("label"), F.col(f"l{i}").alias("n")) for i, lab in enumerate(LABELS)])
+        return merged.select("calibrationid", F.filter(counts, lambda e: e["n"] > 0).alias("label_counts"),
+                             F.array(*[F.col(f"d{j}") for j in range(self.n_channels)]).alias("approx_distinct"),
+                             "n_invalid", "n_not_finite")
 
     def merged_values(self, sessions: DataFrame) -> DataFrame:
         aggs = [F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(self.n_channels)],
                 *[F.min(f"m{i}").alias(f"m{i}") for i in range(self.n_channels)]]
         return self._parts("values", sessions).groupBy("calibrationid", "label", "is_train", "channel", "value").agg(*aggs)
 
-    def profile(self, sessions: DataFrame) -> DataFrame:
-        """What ``prepare.session_profile`` gives for the sessions' packets."""
-        return _as_profile(self.merged_profile(sessions), self.n_channels)
-
     def fit_summary(self, sessions: DataFrame, profile: DataFrame, max_categories: int = MAX_CATEGORIES) -> DataFrame:
         """What ``prepare.fit_pass`` gives for the sessions' packets."""
         may_be = prepare.channel_candidates(profile, max_categories)
@@ -101,6 +79,6 @@ class SessionStatistics:
     def write_merged(self, path: str) -> None:
         """All parts as one (for compaction)."""
         everyone = self.spark.read.parquet(*[f"{p}/profile" for p in self.paths]).select("calibrationid").distinct()
-        self.merged_profile(everyone).write.mode("overwrite").parquet(f"{path}/profile")
+        self.profile(everyone).write.mode("overwrite").parquet(f"{path}/profile")
         self.merged_values(everyone).write.mode("overwrite").parquet(f"{path}/values")
         self.invalid(everyone).write.mode("overwrite").parquet(f"{path}/invalid")

@@ -154,8 +154,8 @@ def commit(spark: SparkSession, path: str, add: dict | None = None, remove: Iter
 
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """The files of the table's newest snapshot; without snapshots, all Parquet files under ``path``
-    (root and every batch/version directory)."""
-    r = spark.read.option("recursiveFileLookup", "true")
+    (root and every batch/version directory). Without a schema, the files' schemas are merged."""
+    r = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true" if schema is None else "false")
     if schema is not None:
         r = r.schema(schema)
     snapshot = read_snapshot(spark, path)

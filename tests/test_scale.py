@@ -1,0 +1,97 @@
+"""What keeps the queries' cost in proportion to the input: compiled scoring, no shuffle of lines, no file of a third of all rows."""
+
+import contextlib
+import datetime
+import io
+import os
+import re
+
+import pyarrow as pa
+
+from sigclass.functions.packets import vector_ok
+from sigclass.llm.tokens import slices
+from sigclass.operators import naive_bayes, prepare
+from sigclass.plans import queries_state
+from sigclass.plans.flow import Flow
+from sigclass.session import fresh_path
+from sigclass.sources import fixtures as fx
+
+INF = float("inf")
+
+
+def _tables(spark, n=400, suppliers=(1, 2, 4, 4, 5), parts=8):
+    """Lines and suppliers of our own rows; supplier 4 comes twice, 5 has no lines."""
+    path = fresh_path(spark, "t-scale")
+    day = datetime.datetime(2024, 1, 1)
+    lines = [(i, i % 7, (1, 2, 4)[i % 3], i % 5, float(i % 50 + 1), 100.0 + i, (i % 11) / 100, (i % 9) / 100, "NAR"[i % 3],
+              day + datetime.timedelta(days=i)) for i in range(n)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long, l_quantity double, "
+                          "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp") \
+        .repartition(parts).write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame([(s, 1) for s in suppliers], "s_suppkey long, s_nationkey long").write.parquet(f"{path}/supplier.parquet")
+    return path
+
+
+def test_scoring_fits_a_compiled_method(spark):
+    sf = _tables(spark)
+    fl = Flow(fx.calibrations(spark, sf), fx.calibration_packets(spark, sf))
+    pred = fl.nb_predictions.select("calibrationid", "label_idx", "prediction")
+    out = io.StringIO()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # its plans show their code only after they ran
+    try:
+        with contextlib.redirect_stdout(out):
+            pred.explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())]
+    assert sizes and max(sizes) <= 8000  # HotSpot's limit
+
+
+def test_lines_are_aggregated_before_they_are_joined(spark):
+    sf = _tables(spark)
+    df = fx.calibrations(spark, sf)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("min(l_shipdate")  # the aggregate is below the join
+    rows = {r.calibrationid: (r.startdate, r.enddate) for r in df.collect()}
+    assert len(rows) == 4 and rows["5"] == (None, None) and rows["1"][0] == datetime.datetime(2024, 1, 1)
+
+
+def test_column_forms_equal_the_map_forms(spark):
+    rows = spark.createDataFrame(
+        [([1.0, 2.0], {0: {1.0: 0.0, 3.0: 1.0}}), ([9.0, 2.0], {0: {1.0: 0.0, 3.0: 1.0}}), ([-0.0, 5.0], {0: {0.0: 0.0}}),
+         ([1.0], {1: {1.0: 0.0}}), ([1.0, None], {}), ([1.0, 2.0], None)], "f array<double>, m map<int, map<double, double>>")
+    own = rows.select("*", *prepare.category_columns("m", 2))
+    got = own.select(prepare.apply_categories("f", "m", 2).alias("a"), *[
+        c.alias(f"x{i}") for i, c in enumerate(prepare.apply_category_columns("f", 2))]).collect()
+    assert [list(r.a) for r in got] == [[r.x0, r.x1] for r in got]
+
+
+def test_argmax_takes_the_first_on_ties_and_leaves_out_missing_classes(spark):
+    two = [(0.0, -1.0, [0.5, -2.0]), (1.0, -1.0, [0.5, -2.0])]
+    rows = spark.createDataFrame([([1.0, 1.0], two), ([1.0, 0.0], [two[0], (1.0, 0.0, [0.5, 0.0])]), (None, two), ([1e308, 1e308], two)],
+                                 "f array<double>, classes array<struct<label_idx: double, pi: double, theta: array<double>>>")
+    m = rows.select("f", *naive_bayes.class_columns("classes", 3, 2))
+    got = [r.p for r in naive_bayes.with_prediction(m, "f", "p", 3, 2).collect()]
+    assert got == [0.0, 1.0, None, 0.0]
+
+
+def test_vector_ok(spark):
+    vectors = [[1.0, -0.0], [1.0, None], [1.0, float("nan")], [INF, 1.0], [-INF, INF], [1.0], [1.0, 2.0, 3.0], [1.0, 2.0, None], None]
+    rows = spark.createDataFrame([(v,) for v in vectors], "features array<double>")
+    assert [r[0] for r in rows.select(vector_ok("features", 2)).collect()] == [True] + [False] * 8
+
+
+def test_topic_of_many_files_in_three_batches(spark, monkeypatch):
+    sf, base = _tables(spark), fresh_path(spark, "t-accounts")
+    monkeypatch.setattr(queries_state, "fresh_path", lambda s, name: base)
+    counts = queries_state.stream_accounts(spark, sf).collect()
+    assert sum(r.n for r in counts) == 2 * 400 - 267  # supplier 4 comes twice
+    files = [f for f in os.listdir(f"{base}/topic".replace("file:", "")) if f.endswith(".txt")]
+    batches = queries_state.read_accounts(spark, f"{base}/table").select("batch_id").distinct().count()
+    assert len(files) > queries_state.PARTS and batches <= queries_state.PARTS
+
+
+def test_slices_are_small():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array([b"x" * (1 << 20)] * 20)], ["doc_id", "text"])
+    parts = list(slices(batch))
+    assert sum(p.num_rows for p in parts) == 20 and max(p.num_rows for p in parts) <= 4

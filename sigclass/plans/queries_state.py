@@ -123,8 +123,11 @@ def reclassify_waiting(spark, sf):
 def stream_accounts(spark, sf):
     """What the ingest stream made of every message, in three micro-batches, by outcome."""
     base = fresh_path(spark, "accounts")
-    fx.faulty_json_lines(spark, sf).repartition(PARTS).write.text(f"{base}/topic")
-    query = start_calibration_ingest(spark, file_topic(spark, f"{base}/topic", 1), f"{base}/table", f"{base}/quarantine",
+    lines = fx.faulty_json_lines(spark, sf)
+    # as many files as the input has parts, a third of them a micro-batch: no file holds a third of all lines
+    files = PARTS * max(1, -(-lines.rdd.getNumPartitions() // PARTS))
+    lines.repartition(files).write.text(f"{base}/topic")
+    query = start_calibration_ingest(spark, file_topic(spark, f"{base}/topic", files // PARTS), f"{base}/table", f"{base}/quarantine",
                                      f"{base}/checkpoint", trigger={"availableNow": True})
     query.awaitTermination()
     return read_accounts(spark, f"{base}/table").groupBy("source", "outcome").agg(F.sum("n").alias("n"))

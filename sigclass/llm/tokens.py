@@ -154,7 +154,7 @@ class Encoder:
 _ENCODERS: dict = {}
 
 
-def slices(batch: pa.RecordBatch, max_bytes: int = 16 << 20):
+def slices(batch: pa.RecordBatch, max_bytes: int = 4 << 20):
     """Parts of a batch with (doc_id, text) whose texts have about ``max_bytes`` at most (or one row)."""
     sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(sizes, dtype=np.int64) // max_bytes

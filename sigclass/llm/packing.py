@@ -34,6 +34,8 @@ VECTOR_BITS = 10
 VECTOR = 1 << VECTOR_BITS
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
+#: Bytes of text that are encoded at once: with 16 MB, packing in the pipeline outgrew an executor's memory.
+SLICE_BYTES = 8 << 20
 #: Sequences of one range are numbered from its number times this.
 RANGE_SPAN = 1 << 32
 
@@ -106,7 +108,7 @@ def _pack(vocabulary: str | None, length: int, end_id: int):
         end = np.array([end_id], "<u4").tobytes()
         first = TaskContext.get().partitionId() * RANGE_SPAN
         at = 0  # ids of this range so far
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in (part for whole in batches for part in slices(whole, SLICE_BYTES)):
             out = []
             ids, ends = encode(batch.column("text"))
             ids, before = memoryview(ids.tobytes()), 0

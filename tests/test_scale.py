@@ -9,6 +9,7 @@ import re
 import pyarrow as pa
 
 from sigclass.functions.packets import vector_ok
+from sigclass.llm import packing
 from sigclass.llm.tokens import slices
 from sigclass.operators import naive_bayes, prepare
 from sigclass.plans import queries_state
@@ -93,5 +94,5 @@ def test_topic_of_many_files_in_three_batches(spark, monkeypatch):
 
 def test_slices_are_small():
     batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array([b"x" * (1 << 20)] * 20)], ["doc_id", "text"])
-    parts = list(slices(batch))
-    assert sum(p.num_rows for p in parts) == 20 and max(p.num_rows for p in parts) <= 4
+    parts = list(slices(batch, packing.SLICE_BYTES))
+    assert sum(p.num_rows for p in parts) == 20 and max(p.num_rows for p in parts) <= 9

@@ -40,8 +40,8 @@ def vector_ok(values: Column | str = "features", width: int = N_CHANNELS) -> Col
     Zero times a number is zero, or NaN if it is not finite, and NULL if there is none: one sum tests all
     of them (unrolled, as lambdas are interpreted) in code that is short enough for a compiled method."""
     v = F.col(values) if isinstance(values, str) else values
-    zero = F.lit(0.0)
-    for j in range(width):
+    zero = F.get(v, F.lit(0)) * F.lit(0.0)
+    for j in range(1, width):
         zero = zero + F.get(v, F.lit(j)) * F.lit(0.0)
     return F.coalesce(v.isNotNull() & (F.size(v) == width) & (zero == 0.0), F.lit(False))
 

@@ -89,8 +89,8 @@ def with_prediction(rows: DataFrame, features: str | list[str], out: str, n_clas
     f = [F.get(F.col(features), F.lit(j)) for j in range(n_channels)] if isinstance(features, str) else [F.col(x) for x in features]
 
     def score(k):
-        dot = F.lit(0.0)
-        for j in range(n_channels):
+        dot = F.col(f"_theta{k}_0") * f[0]
+        for j in range(1, n_channels):
             dot = dot + F.col(f"_theta{k}_{j}") * f[j]
         return dot + F.col(f"_pi{k}")
 

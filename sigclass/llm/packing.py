@@ -34,8 +34,9 @@ VECTOR_BITS = 10
 VECTOR = 1 << VECTOR_BITS
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
-#: Bytes of text that are encoded at once: with 16 MB, packing in the pipeline outgrew an executor's memory.
-SLICE_BYTES = 8 << 20
+#: Bytes of text that are encoded at once, and words that a worker remembers: with 8 MB and a million words, packing
+#: in the pipeline outgrew an executor's memory, most of which earlier stages hold.
+SLICE_BYTES, MAX_PIECES = 2 << 20, 200_000
 #: Sequences of one range are numbered from its number times this.
 RANGE_SPAN = 1 << 32
 
@@ -104,7 +105,7 @@ def _pack(vocabulary: str | None, length: int, end_id: int):
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def pack(batches):
-        encode = encoder(vocabulary).batch
+        encode = encoder(vocabulary, MAX_PIECES).batch
         end = np.array([end_id], "<u4").tobytes()
         first = TaskContext.get().partitionId() * RANGE_SPAN
         at = 0  # ids of this range so far

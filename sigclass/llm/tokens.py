@@ -164,8 +164,9 @@ def slices(batch: pa.RecordBatch, max_bytes: int = 16 << 20):
             yield batch.slice(a, b - a)
 
 
-def encoder(vocabulary: str | None = None) -> Encoder:
-    """One encoder for each vocabulary and Python worker."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = Encoder(vocabulary)
-    return _ENCODERS[vocabulary]
+def encoder(vocabulary: str | None = None, max_pieces: int = 1_000_000) -> Encoder:
+    """One encoder for each vocabulary, number of remembered words and Python worker."""
+    key = vocabulary, max_pieces
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(vocabulary, max_pieces)
+    return _ENCODERS[key]

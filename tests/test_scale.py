@@ -9,7 +9,7 @@ import re
 import pyarrow as pa
 
 from sigclass.functions.packets import vector_ok
-from sigclass.llm import packing
+from sigclass.llm import packing, tokens
 from sigclass.llm.tokens import slices
 from sigclass.operators import naive_bayes, prepare
 from sigclass.plans import queries_state
@@ -96,3 +96,29 @@ def test_slices_are_small():
     batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array([b"x" * (1 << 20)] * 20)], ["doc_id", "text"])
     parts = list(slices(batch, packing.SLICE_BYTES))
     assert sum(p.num_rows for p in parts) == 20 and max(p.num_rows for p in parts) <= 9
+
+
+def test_packing_encodes_little_at_once_and_remembers_few_words(monkeypatch):
+    seen, made = [], []
+
+    class Recorder(tokens.Encoder):
+        def __init__(self, vocabulary, max_pieces):
+            made.append(max_pieces)
+            super().__init__(vocabulary, max_pieces)
+
+        def batch(self, texts):
+            seen.append(sum(len(t) for t in texts.to_pylist()))
+            return super().batch(texts)
+
+    class Context:
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(tokens, "Encoder", Recorder)
+    monkeypatch.setattr(tokens, "_ENCODERS", {})
+    monkeypatch.setattr(packing.TaskContext, "get", staticmethod(Context))
+    texts = [b"some words " * 10_000] * 100
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(texts)], ["doc_id", "text"])
+    pieces = pa.Table.from_batches(list(packing._pack(None, 1024, 0)([batch]))).to_pylist()
+    assert sum(seen) == sum(map(len, texts)) and max(seen) < 3 << 20 and max(made) <= 200_000
+    assert {p["doc_id"] for p in pieces} == set(range(100))
+    assert sum(p["length"] for p in pieces) == sum(p["doc_tokens"] for p in pieces if p["start"] == 0)

@@ -2,8 +2,8 @@
 
 Texts are cut into words where white space follows other characters: a byte-level BPE never
 merges across such a place. The words of an Arrow batch of texts are dictionary-encoded, each
-distinct one is encoded by the model of the ``tokenizers`` library (the last ones are remembered
-between batches), and the texts' ids are gathered by the dictionary's indices. Texts with runs of
+distinct one is encoded by the model of the ``tokenizers`` library (words of earlier batches are
+remembered in flat arrays), and the texts' ids are gathered by the dictionary's indices. Texts with runs of
 white space are cut one by one; those with white space beyond the ASCII kinds go through the library
 whole, as there its runs may differ; so do texts that contain the string of an added token, which
 the library takes out first.
@@ -26,6 +26,8 @@ _ODD = (r"  |\n | \n|[\t\r\x0b\x0c\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa
 #: At most one space or line break, letters, then signs: pre-tokens of their own.
 _LETTERS_SIGNS = re.compile("([ \n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\\[-`{-~]{0,8})").fullmatch
 _BREAK = re.compile("[ \n\t\r]").search
+#: Bytes of batches' words and their ids that an encoder remembers: about 800,000 words.
+KNOWN_BYTES = 24 << 20
 #: Stands before a text's first word, which has no space before it.
 _FIRST = b"\x1f"
 #: Characters whose UTF-8 forms have every byte that UTF-8 uses between them.
@@ -59,11 +61,47 @@ class _Memo(dict):
         return value
 
 
+class _Known:
+    """Words of batches and their ids, in flat arrays: some 30 bytes a word, a tenth of a dictionary's entry.
+
+    ``make`` gives the ids of a word. Beyond ``max_bytes`` all are forgotten before the next batch."""
+
+    def __init__(self, make, max_bytes: int):
+        self.make, self.max_bytes = make, max_bytes
+        self.clear()
+
+    def clear(self) -> None:
+        self.words = pa.array([], pa.large_binary())
+        self.ids, self.ends = np.empty(0, "<u4"), np.empty(0, np.int64)
+
+    @property
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.ids.nbytes + self.ends.nbytes
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where each of the distinct words stands in ``words``, ``ends`` and (up to its end) ``ids``."""
+        if self.nbytes > self.max_bytes:
+            self.clear()
+        found = pc.index_in(words, value_set=self.words)
+        new = found.is_null().to_numpy(zero_copy_only=False)
+        places = found.fill_null(0).to_numpy().astype(np.int64)
+        if new.any():
+            fresh = words.filter(pa.array(new))
+            made = list(map(self.make, fresh.to_pylist()))
+            places[new] = len(self.words) + np.arange(len(made))
+            sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+            self.ends = np.append(self.ends, len(self.ids) + np.cumsum(sizes))
+            self.ids = np.append(self.ids, np.frombuffer(b"".join(made), "<u4"))
+            self.words = pa.concat_arrays([self.words, fresh])
+        return places
+
+
 class Encoder:
     """Maps texts to their ids (unsigned 32-bit, little-endian).
 
     ``vocabulary`` is the path of a tokenizer file; None takes ``default_vocabulary()`` where it
-    runs. At most ``max_pieces`` words are remembered; forgetting changes no result.
+    runs. At most ``max_pieces`` words of single texts and parts of words are remembered, and ``KNOWN_BYTES`` of
+    batches' words (and those of one batch more); forgetting changes no result.
     """
 
     def __init__(self, vocabulary: str | None = None, max_pieces: int = 1_000_000):
@@ -79,6 +117,7 @@ class Encoder:
             self.alphabet.update(zip(c.encode(), self.split(c)[0][0]))
         #: A word (UTF-8) and its ids: with a space before it, unless it begins with a line break or _FIRST.
         self.words = _Memo(self._word, max(1, max_pieces // 2))
+        self.known = _Known(self._word, KNOWN_BYTES)
 
     def __len__(self) -> int:
         return len(self.words) + len(self.words.old)
@@ -130,13 +169,12 @@ class Encoder:
         first, nothing = pa.scalar(_FIRST, pa.large_binary()), pa.scalar(b"", pa.large_binary())
         words = pc.split_pattern(pc.binary_join_element_wise(first, plain, nothing), b" ")
         cells = words.flatten().dictionary_encode()
-        known = list(map(self.words.__getitem__, cells.dictionary.to_pylist()))
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        of_known, index = np.frombuffer(b"".join(known), "<u4"), cells.indices.to_numpy()
-        n = sizes[index]
+        known, index = self.known.places(cells.dictionary), cells.indices.to_numpy()
+        sizes = np.diff(self.known.ends, prepend=0)
+        n = sizes[known][index]
         ends = np.cumsum(n)
-        starts = (np.cumsum(sizes) - sizes)[index]
-        ids = of_known[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - n), n)]
+        starts = (self.known.ends - sizes)[known][index]
+        ids = self.known.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - n), n)]
         word_ends = np.diff(words.offsets.to_numpy()).cumsum()
         text_ends = np.append(0, ends)[word_ends]
         odd = odd.to_numpy(zero_copy_only=False)

@@ -203,3 +203,20 @@ def test_orc_files_hold_the_ids_in_order_with_their_indexes(spark, docs_of, enc)
     plan = O.read_ids(spark, path).where("doc_id = 17")
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,17)]" in plan._jdf.queryExecution().toString()
     assert plan.count() == 1
+
+
+def test_words_of_earlier_slices_are_not_encoded_again(monkeypatch):
+    """Slices of many different words: each word is encoded once, though few entries of single words may be held."""
+    enc = Encoder(max_pieces=10)
+    made = []
+    make = enc.known.make
+    enc.known.make = lambda word: made.append(word) or make(word)
+    texts = [" ".join(f"w{i}x{j}" for i in range(50)) for j in range(4)]
+    for _ in range(3):
+        for t in texts:
+            ids, ends = enc.batch(pa.array([t, t]))
+            assert ids.tobytes() == enc.whole(t) * 2 and ends.tolist() == [len(ids) // 2, len(ids)]
+    assert len(made) == len(set(made)) == 4 * 50
+    enc.known.max_bytes = 0  # forgets before every batch: the same ids, and no more than a batch's words are held
+    for t in texts:
+        assert enc.batch(pa.array([t]))[0].tobytes() == enc.whole(t) and len(enc.known.words) == 50

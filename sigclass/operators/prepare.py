@@ -9,8 +9,8 @@ once; no per-session loop and no collect.
 Grouping never puts a session's packets into one task: every aggregation
 over packets is a hash aggregate with a map-side partial step, and the only
 window functions run over per-session summaries bounded by the label domain
-or by MAX_CATEGORIES. Label counts and per-channel HLL sketches come from one
-pass (``session_profile``); only channels the sketch cannot rule out as
+or by MAX_CATEGORIES. Label counts and a bitmap of hashed values per channel come from
+one pass (``session_profile``); only channels the bitmap cannot rule out as
 continuous are deduplicated exactly — either on their own
 (``channel_index_fit``) or inside the training pass (``fit_pass``), which
 also yields the per-class sufficient statistics for naive Bayes.
@@ -27,6 +27,9 @@ from sigclass.functions.split import is_train
 from sigclass.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_small
 from sigclass.schemas import LABELS, MAX_CATEGORIES, N_CHANNELS, TRAIN_PERCENT
 
+#: Bits of a channel's bitmap of hashed values: those of a long.
+BITMAP = 64
+
 
 # --------------------------------------------------------------------- filters
 
@@ -89,32 +92,37 @@ def invalid_packets(frame: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ session profile
 
+def value_bit(x: Column) -> Column:
+    """The bit that a channel's value sets in its session's bitmap (NULL sets none)."""
+    place = F.pmod(F.xxhash64(x + F.lit(0.0)), F.lit(BITMAP)).cast("int")
+    return F.when(x.isNotNull(), F.call_function("shiftleft", F.lit(1).cast("long"), place))
+
+
 def session_profile(frame: DataFrame, n_channels: int = N_CHANNELS,
                     features: str = "features") -> DataFrame:
-    """One pass over the packets: per session, label counts and an HLL estimate per channel.
+    """One pass over the packets: per session, label counts and a lower bound of each channel's number of values.
 
     Output: calibrationid, label_counts array<struct<label, n>> (labels with
     n > 0), approx_distinct array<long> (one per channel), n_invalid and
     n_not_finite (packets left out, and those of them with a value that is not
-    finite). Only valid packets enter the first two. ``approx_count_distinct``
-    is HyperLogLog++; at low cardinality it uses linear counting, whose estimate
-    for k <= MAX_CATEGORIES distinct values is at most m·ln(m/(m-k)) < k + 0.5,
-    so an estimate above MAX_CATEGORIES proves a channel continuous. -0.0 is
+    finite). Only valid packets enter the first two. Each value of a channel sets one of
+    ``BITMAP`` bits, by its hash; the bits set are never more than the values, so more than
+    MAX_CATEGORIES of them prove a channel continuous. Bitmaps are
+    longs, so this stays a compiled hash aggregate with 8 bytes a channel. -0.0 is
     folded into 0.0 first (x + 0.0) so both count as one value, as in grouping.
     """
     f = F.col(features)
     valid = F.col("valid") if "valid" in frame.columns else F.lit(True)
     reason = F.col("reason") if "reason" in frame.columns else F.lit(None).cast("string")
     aggs = [F.count_if(valid & (F.col("label") == F.lit(lab))).alias(f"_l{i}") for i, lab in enumerate(LABELS)]
-    aggs += [F.approx_count_distinct(F.when(valid, F.get(f, F.lit(j)) + F.lit(0.0))).alias(f"_d{j}")
-             for j in range(n_channels)]
+    aggs += [F.bit_or(F.when(valid, value_bit(F.get(f, F.lit(j))))).alias(f"_d{j}") for j in range(n_channels)]
     aggs += [F.count_if(~valid).alias("n_invalid"), F.count_if(reason == NOT_FINITE).alias("n_not_finite")]
     g = frame.groupBy("calibrationid").agg(*aggs)
     counts = F.filter(F.array(*[F.struct(F.lit(lab).alias("label"), F.col(f"_l{i}").alias("n"))
                                 for i, lab in enumerate(LABELS)]), lambda e: e["n"] > 0)
     return g.select("calibrationid", counts.alias("label_counts"),
-                    F.array(*[F.col(f"_d{j}") for j in range(n_channels)]).alias("approx_distinct"),
-                    "n_invalid", "n_not_finite")
+                    F.array(*[F.coalesce(F.bit_count(f"_d{j}"), F.lit(0)).cast("long") for j in range(n_channels)]).alias(
+                        "approx_distinct"), "n_invalid", "n_not_finite")
 
 
 # ---------------------------------------------------------------- label index
@@ -142,7 +150,7 @@ def label_orders(label_index: DataFrame) -> DataFrame:
 # -------------------------------------------------------------- channel index
 
 def channel_candidates(profile: DataFrame, max_categories: int = MAX_CATEGORIES) -> DataFrame:
-    """(calibrationid, cand array<int>): channels whose HLL estimate does not rule out categorical."""
+    """(calibrationid, cand array<int>): channels whose bitmap does not rule out categorical."""
     idx = F.sequence(F.lit(0), F.size("approx_distinct") - 1)
     return profile.select("calibrationid", F.filter(
         idx, lambda j: F.element_at("approx_distinct", j + 1) <= max_categories).alias("cand"))
@@ -174,7 +182,7 @@ def channel_index_fit(frame: DataFrame, max_categories: int = MAX_CATEGORIES,
     A channel is categorical in a session when it takes at most
     ``max_categories`` distinct values there. Codes are 0..k-1 in ascending
     value order, except that 0.0, when present, always gets code 0. Channels
-    proven continuous by the profile's HLL estimate are skipped; the rest
+    proven continuous by the profile's bitmap are skipped; the rest
     are counted exactly, and only channels with at most ``max_categories``
     values are ranked, so no window partition holds more rows than that.
     """

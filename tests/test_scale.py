@@ -11,11 +11,12 @@ import pyarrow as pa
 from sigclass.functions.packets import vector_ok
 from sigclass.llm import packing, tokens
 from sigclass.llm.tokens import slices
-from sigclass.operators import naive_bayes, prepare
+from sigclass.operators import file_index, naive_bayes, prepare
 from sigclass.plans import queries_state
 from sigclass.plans.flow import Flow
 from sigclass.session import fresh_path
 from sigclass.sources import fixtures as fx
+from sigclass.sources import snapshots, tables
 
 INF = float("inf")
 
@@ -122,3 +123,45 @@ def test_packing_encodes_little_at_once_and_remembers_few_words(monkeypatch):
     assert sum(seen) == sum(map(len, texts)) and max(seen) < 3 << 20 and max(made) <= 200_000
     assert {p["doc_id"] for p in pieces} == set(range(100))
     assert sum(p["length"] for p in pieces) == sum(p["doc_tokens"] for p in pieces if p["start"] == 0)
+
+
+def _plan_lines(spark, df, what):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if what in x]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_profile_is_a_compiled_aggregate_with_a_long_for_each_channel(spark):
+    rows = [("a", "Deep", [float(i % 6), float(i), -0.0 if i % 2 else 0.0, None], True) for i in range(500)]
+    rows += [("b", None, [1.0, 2.0, 3.0, 4.0], False)]
+    df = spark.createDataFrame(rows, "calibrationid string, label string, features array<double>, valid boolean")
+    got = {r.calibrationid: r for r in prepare.session_profile(df, 4).collect()}
+    bounds = got["a"].approx_distinct
+    assert bounds[0] <= 6 < bounds[1] <= 64 and bounds[2:] == [1, 0]
+    assert got["b"].approx_distinct == [0] * 4 and got["b"].n_invalid == 1
+    partial, = _plan_lines(spark, prepare.session_profile(df, 4), "partial_")
+    assert "*(" in partial and "HashAggregate" in partial and "partial_bit_or" in partial
+
+
+def test_file_index_sorts_sessions_not_packets(spark):
+    path = fresh_path(spark, "t-index")
+    spark.createDataFrame([(str(i % 5) if i % 7 else None,) for i in range(100)], "calibrationid string").coalesce(1).write.parquet(path)
+    index = file_index.index_of(spark, path, "e")
+    assert sorted((r.low, r.high, r.n) for r in index.collect()) == [
+        (str(k), str(k), sum(1 for i in range(100) if i % 7 and i % 5 == k)) for k in range(5)]
+    lowest = _plan_lines(spark, index, "Aggregate(")[-1]
+    assert "HashAggregate" in lowest and "calibrationid" in lowest
+
+
+def test_compaction_has_fewer_tasks_than_small_files(spark):
+    path = fresh_path(spark, "t-compact")
+    packets = fx.calibration_packets(spark, _tables(spark))
+    for i in range(2):
+        tables.write_packets(packets, path, f"batch_{i}")
+    tables.compact_packets_table(spark, path, rows_per_file=50)
+    files = {f.rsplit("/", 1)[1] for f in tables.read_packets(spark, path).inputFiles()}
+    stored = spark.read.parquet(*snapshots.read_snapshot(spark, path).data_paths()).groupBy("_metadata.file_name").count().collect()
+    assert sum(r["count"] for r in stored) == 2 * packets.count() and max(r["count"] for r in stored) <= 50
+    assert len({f.split("-")[1] for f in files}) < len(files)

@@ -18,3 +18,12 @@ def spark():
                     extra={"spark.driver.memory": "8g"})
     yield s
     s.stop()
+
+
+@pytest.fixture(scope="module", autouse=True)
+def no_cached_tables_are_left():
+    """Tables that a module's tests cached are dropped after it: a later test looks at all that is cached."""
+    from pyspark.sql import SparkSession
+    yield
+    if s := SparkSession.getActiveSession():
+        s.catalog.clearCache()
